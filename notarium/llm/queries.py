@@ -4,15 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import tokenizer
+from notarium.llm import near_duplicates, tokenizer
 from notarium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+SOURCES = ("vq_documents", "vq_chunks")
+
+
+def _source(scope: str = "scope") -> Column:
+    """Name of the table behind a scope number."""
+    return F.element_at(F.array(*[F.lit(s) for s in SOURCES]), F.col(scope).cast("int") + 1)
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(scope, id, text) of all notes and chunks."""
+    notes = table(spark, folder, "vq_documents").select(F.lit(0).alias("scope"), "id", F.col("markdown_text").alias("text"))
+    chunks = table(spark, folder, "vq_chunks").select(F.lit(1).alias("scope"), "id", F.col("text_content").alias("text"))
+    return notes.unionByName(chunks)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of notes, and of chunks, with a similarity of 0.6 or more over sequences of three words."""
+    members, pairs = near_duplicates.similar(
+        _texts(spark, folder), "scope", "id", "text", threshold=0.6, words=3, min_words=20
+    )
+    found = near_duplicates.all_pairs(members, pairs)
+    return found.select(_source().alias("source_table"), "id_a", "id_b")
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every note or chunk that is like another one (five words, 0.8), with the id of its group and its number of links."""
+    members, pairs = near_duplicates.similar(_texts(spark, folder), "scope", "id", "text")
+    found = near_duplicates.groups(members, pairs)
+    return found.select(_source().alias("source_table"), "id", "class_id", F.col("links").cast("bigint").alias("links"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode(table(spark, folder, "documents"))
@@ -25,7 +56,7 @@ def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_ids": p7_ids, "p7_decoded": p7_decoded}
+    return {"p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p7_decoded": p7_decoded}
 
 
 def oracle_sql() -> dict[str, str]:
