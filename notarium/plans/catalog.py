@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notarium.plans import records
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: list = []
+_MODULES = [records]
 
 
 def queries() -> dict[str, Query]:
