@@ -154,13 +154,13 @@ def _full_sets(words: int, min_words: int):
     return run
 
 
-def _pairs_in(rows: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
-    """Pairs of rows with equal keys that pass the tests of size and signature."""
+def _pairs_in(rows: DataFrame, threshold: float, keys: list[str], also: str = "true") -> DataFrame:
+    """Pairs of rows l and r with equal keys that pass the tests of size and signature, and `also`."""
     p = (1 + threshold) / 2
     agree = math.floor(SIGNATURE_BITS * p - 4 * math.sqrt(SIGNATURE_BITS * p * (1 - p)))
     left, right = rows.alias("l"), rows.alias("r")
     differ = F.bit_count(F.expr("l.s1 ^ r.s1")) + F.bit_count(F.expr("l.s2 ^ r.s2"))
-    on = F.col("l.id") < F.col("r.id")
+    on = (F.col("l.id") < F.col("r.id")) & F.expr(also)
     for key in keys:
         on = on & (F.col(f"l.{key}") == F.col(f"r.{key}"))
     return left.join(
@@ -171,7 +171,23 @@ def _pairs_in(rows: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
     ).select("l.scope", F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
-def candidate_pairs(reps: DataFrame, threshold: float, small: int = 32, depth: int = 3) -> DataFrame:
+def _next(rows: DataFrame, carried: list[str], threshold: float | None) -> DataFrame:
+    """Each path continued by sampled later tokens of the set's `rest`; `rest` keeps what comes after the new token.
+
+    A set with m tokens left takes each with chance 1 / (t m), by a hash of path and token that other sets see alike, so the
+    paths of a set grow by a constant factor however large its buckets are. No threshold: all tokens are taken.
+    """
+    left = F.size("rest")
+    rows = rows.select(*carried, "path", "rest", F.posexplode("rest").alias("i", "token"))
+    rows = rows.withColumn("next", F.xxhash64("path", "token") if threshold else F.col("token"))
+    if threshold:
+        draw = F.pmod(F.xxhash64(F.lit(11), "next"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+        rows = rows.where(draw < 1 / (threshold * left))
+    rest = F.slice("rest", F.col("i") + 2, F.greatest(left - 1 - F.col("i"), F.lit(0)))
+    return rows.select(*carried, F.col("next").alias("path"), rest.alias("rest"))
+
+
+def candidate_pairs(reps: DataFrame, threshold: float, small: int = 64, depth: int = 3) -> DataFrame:
     """Distinct pairs (scope, a, b), a < b, which the chosen-path recursion brings together."""
     carried = ["scope", "id", "n", "s1", "s2"]
     found = None
@@ -189,12 +205,9 @@ def candidate_pairs(reps: DataFrame, threshold: float, small: int = 32, depth: i
                 *[F.first(c).alias(c) for c in ("n", "s1", "s2")],
                 F.array_sort(F.collect_list("path")).alias("rest"),
             )
-            frontier = own.select(*carried, "rest", F.posexplode("rest").alias("i", "path"))
-            frontier = frontier.select(
-                *carried, "path", F.slice("rest", F.col("i") + 2, F.greatest(F.size("rest") - 1 - F.col("i"), F.lit(0))).alias("rest")
-            )
+            frontier = _next(own.withColumn("path", F.lit(0).cast("bigint")), carried, None)
         elif level == depth:
-            # still large: all members against each other, in blocks of about `small` squared comparisons a row
+            # still large: all members against each other, in cells of two blocks of about 512 rows
             blocks = F.least(F.ceil(F.col("members") / 512), F.lit(4096)).cast("int")
             block = F.pmod(F.xxhash64("scope", "id"), blocks)
             sides = large.withColumn("block", block).withColumn("blocks", blocks)
@@ -206,18 +219,14 @@ def candidate_pairs(reps: DataFrame, threshold: float, small: int = 32, depth: i
                         lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")),
                     )
                 ),
-            ).select("path", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), *carried)
-            found = found.unionByName(_pairs_in(rows, threshold, ["path", "x", "y"]))
+            ).select("path", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "block", *carried)
+            apart = "l.x = l.y OR l.block <> r.block"  # rows of one block meet in its own cell only
+            found = found.unionByName(_pairs_in(rows, threshold, ["path", "x", "y"], apart))
             break
         else:
             frontier = large.select(*carried, "path", "rest")
         # one step further along each path
-        frontier = frontier.select(*carried, "path", "rest", F.posexplode("rest").alias("i", "next"))
-        frontier = frontier.select(
-            *carried,
-            F.xxhash64("path", "next").alias("path"),
-            F.slice("rest", F.col("i") + 2, F.greatest(F.size("rest") - 1 - F.col("i"), F.lit(0))).alias("rest"),
-        )
+        frontier = _next(frontier, carried, threshold)
     return found.distinct()
 
 
@@ -230,7 +239,7 @@ def similar(
     words: int = 5,
     min_words: int = 20,
     recall: float = 0.9999,
-    small: int = 32,
+    small: int = 64,
     depth: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets and the pairs of similar representatives.
