@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.llm import markup, near_duplicates, rank_fusion, splitting, tokenizer
+from notarium.llm import markup, mixing, near_duplicates, rank_fusion, splitting, tokenizer, truncation
 from notarium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,26 @@ def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.decode_ids(ids).select("doc_id", "text")
 
 
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Selected documents with repeats, so that sources have their target shares of all tokens."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and real share of every source."""
+    return mixing.shares(p8_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text stops before its own end."""
+    return truncation.found(table(spark, folder, "documents"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts texts."""
+    return truncation.rates(table(spark, folder, "documents"))
+
+
 _LATEST = """
 WITH latest AS (
   SELECT query_id, point_id, hit_id,
@@ -157,7 +177,7 @@ FROM scored
 
 def queries() -> dict[str, Query]:
     """Name to query; the first of each problem is its main one."""
-    runs = (p1_found, p1_clean, p3_found, p3_ranking, p5_found, p5_pieces, p6_found, p6_groups, p7_ids, p7_decoded)
+    runs = (p1_found, p1_clean, p3_found, p3_ranking, p5_found, p5_pieces, p6_found, p6_groups, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_rates)
     return {run.__name__: run for run in runs}
 
 
