@@ -1,0 +1,108 @@
+"""Knowledge objects extracted from chunks: merging repeats and rendering their text."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+from typing import Protocol
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SUMMARIES = ("segment_summary", "document_summary")
+#: Per type: (label, field, is a list), in the order of the text.
+BODIES = {
+    "segment_summary": [("Summary", "summary", False)],
+    "document_summary": [("Summary", "summary", False), ("Key topics", "key_topics", True)],
+    "concept": [("Definition", "definition", False), ("Signals", "signals", True), ("Applications", "applications", True)],
+    "principle": [("Statement", "statement", False), ("Rationale", "rationale", False), ("Caveats", "caveats", True)],
+    "method": [("Goal", "goal", False), ("Inputs", "inputs", True), ("Steps", "steps", True), ("Outputs", "outputs", True), ("Mistakes", "mistakes", True)],
+    "sop": [("Prerequisites", "prerequisites", True), ("Steps", "steps", True), ("Success criteria", "success_criteria", True), ("Failure modes", "failure_modes", True)],
+}
+
+
+def normal_title(title: Column) -> Column:
+    """Title as compared: lower case, single blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
+
+
+def merge_objects(objects: DataFrame) -> DataFrame:
+    """One object per document, type and normal title: all chunk ids, the widest lines, the greatest confidence, and the
+    longest body (of equal ones the first id). Summaries and untitled objects are never merged.
+
+    objects has id, document_id, object_type, title, body_text, source_chunk_ids, line_start, line_end, confidence.
+    """
+    alone = F.col("object_type").isin(*SUMMARIES) | (normal_title(F.col("title")) == "") | (F.coalesce("object_type", F.lit("")) == "")
+    key = F.when(alone, F.concat(F.lit("\x00"), F.col("id").cast("string"))).otherwise(normal_title(F.col("title")))
+    best = F.struct(F.length(F.coalesce("body_text", F.lit(""))).alias("n"), (-F.col("id")).alias("i"), "body_text", "title", "id")
+    return (
+        objects.withColumn("key", key)
+        .groupBy("document_id", "object_type", "key")
+        .agg(
+            F.min("id").alias("id"),
+            F.max(best).alias("best"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids")))).alias("source_chunk_ids"),
+            F.min("line_start").alias("line_start"),
+            F.max("line_end").alias("line_end"),
+            F.max("confidence").alias("confidence"),
+        )
+        .select("id", "document_id", "object_type", "best.title", "best.body_text", "source_chunk_ids", "line_start", "line_end", "confidence")
+    )
+
+
+def body_text(object_type: str, payload: Column) -> Column:
+    """Text of an object from its JSON payload, one labelled line per field that is there."""
+    lines = [F.when(F.trim(F.get_json_object(payload, "$.title")) != "", F.concat(F.lit("Title: "), F.trim(F.get_json_object(payload, "$.title"))))]
+    for label, field, many in BODIES.get(object_type, []):
+        raw = F.get_json_object(payload, f"$.{field}")
+        if many:
+            items = F.filter(F.transform(F.from_json(raw, "array<string>"), F.trim), lambda x: x != "")
+            raw = F.when(F.size(items) > 0, F.array_join(items, "; "))
+        lines.append(F.when(F.trim(raw) != "", F.concat(F.lit(f"{label}: "), F.trim(raw))))
+    return F.concat_ws("\n", *lines)
+
+
+class Extractor(Protocol):
+    """Turns the text of a chunk into objects: dicts with object_type, title, body_text and confidence."""
+
+    def __call__(self, text: str) -> Iterable[dict]: ...
+
+
+def extract_objects(chunks: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
+    """Objects of every chunk by an extractor that each partition makes once; confidence is held to 0..1.
+
+    chunks has id, document_id, text_content, start_line, end_line.
+    """
+    fields = "chunk_id bigint, document_id bigint, object_type string, title string, body_text string, confidence double, line_start int, line_end int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extractor = make()
+        names = [f.strip().split()[0] for f in fields.split(",")]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                for o in extractor(r["text_content"] or ""):
+                    sure = min(1.0, max(0.0, float(o.get("confidence") or 0.0)))
+                    rows.append((r["id"], r["document_id"], o.get("object_type"), o.get("title"), o.get("body_text"), sure, r["start_line"], r["end_line"]))
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return chunks.select("id", "document_id", "text_content", "start_line", "end_line").mapInArrow(run, fields)
+
+
+def objects_from_sections(chunks: DataFrame) -> DataFrame:
+    """Offline stand-in for extraction: a concept per titled chunk and a summary per chunk, in plain columns.
+
+    Gives id, document_id, object_type, title, body_text, source_chunk_ids, line_start, line_end, confidence.
+    """
+    common = [F.array("id").alias("source_chunk_ids"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end")]
+    concept = chunks.where(F.coalesce(F.trim("section_title"), F.lit("")) != "").select(
+        (F.col("id") * 2).alias("id"), "document_id", F.lit("concept").alias("object_type"), F.col("section_title").alias("title"),
+        F.substring("text_content", 1, 200).alias("body_text"), *common, F.round(1 / (1 + F.col("chunk_index")), 6).alias("confidence"),
+    )
+    summary = chunks.select(
+        (F.col("id") * 2 + 1).alias("id"), "document_id", F.lit("segment_summary").alias("object_type"), F.col("section_title").alias("title"),
+        F.substring("text_content", 1, 120).alias("body_text"), *common, F.lit(0.5).alias("confidence"),
+    )
+    return concept.unionByName(summary)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notarium.plans import records
+from notarium.plans import records, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [records]
+_MODULES = [records, store]
 
 
 def queries() -> dict[str, Query]:
