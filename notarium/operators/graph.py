@@ -48,6 +48,9 @@ def links_in(text: Column, frontmatter: Column | None = None) -> Column:
             F.lit(confidence).alias("confidence"),
         )
 
+    def named(kind: str):
+        return lambda v: edge(normal_target(v), kind, F.lit(""), "frontmatter", 0.9)
+
     def wiki(inner: Column) -> Column:
         parts = F.split(inner, r"\|", 2)
         kind = F.regexp_extract(inner, r"^([A-Za-z][\w-]*):", 1)
@@ -71,7 +74,7 @@ def links_in(text: Column, frontmatter: Column | None = None) -> Column:
         for field, kind in sorted(FIELDS.items()):
             value = F.try_element_at(frontmatter, F.lit(field))
             names = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda v: F.trim(F.regexp_replace(v, r"[\[\]\"']", ""))), lambda v: v != "")
-            found = F.concat(found, F.transform(names, lambda v, k=kind: edge(normal_target(v), k, F.lit(""), "frontmatter", 0.9)))
+            found = F.concat(found, F.transform(names, named(kind)))
     return F.array_distinct(F.filter(found.cast(f"array<{EDGE}>"), lambda x: x["target"] != ""))
 
 

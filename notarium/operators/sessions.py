@@ -55,30 +55,45 @@ def _clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def session_factor(
-    query: Column, path: Column, title: Column, text: Column, lanes: Column, placed: Column, as_of: str, penalty: float = 0.65
-) -> Column:
-    """Factor from 0.10 to 0.95 for a session hit: what it shares with the query, against noise, length, evidence and age.
+def with_factor(rows: DataFrame, as_of: str, penalty: float = 0.65) -> DataFrame:
+    """rows with `factor`, from 0.10 to 0.95 for a session hit: what it shares with the query, against noise, length,
+    evidence and age.
 
-    placed says whether the hit has a chunk index or a start line.
+    rows has query_text, rel_path, title, text, lanes (array) and placed (whether the hit has a chunk index or start line).
+    Term sets are columns of their own, so that each is built once per row.
     """
-    path = clean_path(path)
-    q, t, p, b = terms(query), terms(title), terms(F.replace(path, F.lit("/"), F.lit(" "))), terms(text)
-    everything = F.array_union(F.array_union(t, p), b)
-    lane = F.when(F.array_contains(F.coalesce(lanes, F.array().cast("array<string>")), "keyword"), 0.08).otherwise(0.0)
-    specific = _clamp(0.45 * overlap(q, b) + 0.35 * overlap(q, t) + 0.20 * overlap(q, p) + lane, 0.0, 1.0)
-    noise = F.size(F.array_except(F.array_intersect(_list(NOISE), everything), q))
+    path = clean_path(F.col("rel_path"))
+    own = rows.withColumns(
+        {
+            "_q": terms(F.col("query_text")),
+            "_t": terms(F.col("title")),
+            "_p": terms(F.replace(path, F.lit("/"), F.lit(" "))),
+            "_b": terms(F.col("text")),
+        }
+    )
+    own = own.withColumn("_all", F.array_union(F.array_union("_t", "_p"), "_b"))
+    q = F.col("_q")
+    lane = F.when(F.array_contains(F.coalesce("lanes", F.array().cast("array<string>")), "keyword"), 0.08).otherwise(0.0)
+    shared = 0.45 * overlap(q, F.col("_b")) + 0.35 * overlap(q, F.col("_t")) + 0.20 * overlap(q, F.col("_p")) + lane
+    own = own.withColumns(
+        {
+            "_specific": _clamp(shared, 0.0, 1.0),
+            "_noise": F.size(F.array_except(F.array_intersect(_list(NOISE), "_all"), "_q")),
+            "_shown": F.size(F.array_intersect(_list(EVIDENCE), "_all")),
+            "_age": recency(F.concat_ws(" ", path, "title"), as_of),
+            "_length": F.length(F.coalesce("text", F.lit(""))),
+        }
+    )
+    length, specific, noise = F.col("_length"), F.col("_specific"), F.col("_noise")
     generic = _clamp(noise / 8.0, 0.0, 1.0)
-    length = F.length(F.coalesce(text, F.lit("")))
     size = F.when((length > 0) & (length <= 1800), 0.06).when(length >= 5000, -0.15).otherwise(0.0)
-    focus = _clamp(1.0 + size + F.when(placed, 0.04).otherwise(0.0), 0.75, 1.12)
-    shown = F.size(F.array_intersect(_list(EVIDENCE), everything))
-    evidence = _clamp(1.0 + 0.035 * shown - 0.04 * noise, 0.78, 1.18)
+    focus = _clamp(1.0 + size + F.when(F.col("placed"), 0.04).otherwise(0.0), 0.75, 1.12)
+    evidence = _clamp(1.0 + 0.035 * F.col("_shown") - 0.04 * noise, 0.78, 1.18)
     base = min(max(penalty, 0.05), 0.95)
     by_share = F.when(specific < 0.12, 0.42 + specific).otherwise(0.76 + 0.48 * specific)
-    factor = base * by_share * focus * evidence * recency(F.concat_ws(" ", path, title), as_of) * (1.0 - 0.35 * generic)
+    factor = base * by_share * focus * evidence * F.col("_age") * (1.0 - 0.35 * generic)
     factor = F.when((specific >= 0.60) & (generic <= 0.30), F.greatest(factor, F.lit(min(0.95, base + 0.12)))).otherwise(factor)
-    return F.round(_clamp(factor, 0.10, 0.95), 6)
+    return own.withColumn("factor", F.round(_clamp(factor, 0.10, 0.95), 6)).select(*rows.columns, "factor")
 
 
 def apply_policy(rows: DataFrame, policy: str = "penalize", most: int = 1) -> DataFrame:

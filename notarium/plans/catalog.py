@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notarium.plans import records, store
+from notarium.plans import links, records, retrieval, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [records, store]
+_MODULES = [retrieval, links, store, records]
 
 
 def queries() -> dict[str, Query]:
@@ -24,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid retrieval for all logged searches."""
+    return retrieval.hybrid_rrf(spark, folder)
