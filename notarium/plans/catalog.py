@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notarium.plans import links, records, retrieval, store
+from notarium.plans import links, records, retrieval, store, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [retrieval, links, store, records]
+_MODULES = [retrieval, links, store, records, streams]
 
 
 def queries() -> dict[str, Query]:
