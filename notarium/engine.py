@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notarium.functions.text import target_parts
-from notarium.operators import clusters, fusion, graph, lexical, refresh, stats, windows
+from notarium.operators import clusters, fusion, graph, lexical, refresh, stats
+from notarium.operators.hits import with_payload
 from notarium.sources.settings import Settings
 from notarium.sources.tables import table
 
@@ -36,7 +37,7 @@ class Engine:
         asked, n = self._queries(queries), max(1, min(n, 50))
         notes = self._table("vq_documents").where(F.col("status").isin("indexed", "enriched"))
         titles = notes.select(F.col("id").alias("record_id"), "title", "rel_path")
-        index = lexical.inverted_index(self._chunks(), "id", "text_content")
+        index = lexical.query_index(self._table("vq_chunks"), "id", "text_content", asked)
 
         def named(lane: DataFrame, prefix: str) -> DataFrame:
             return lane.withColumn("record_id", F.concat(F.lit(prefix), F.col("record_id").cast("string")))
@@ -58,7 +59,7 @@ class Engine:
                 "keyword": named(lexical.keyword_lane(asked, index, limit), "chunk:"),
             }
             if mode != "fast":
-                lanes["semantic"] = named(lexical.bm25_lane(asked, index, limit), "chunk:")
+                lanes["semantic"] = named(lexical.bm25_lane(asked, index, lexical.lengths(self._table("vq_chunks"), "id", "text_content"), limit), "chunk:")
             rows = self._with_payload(fusion.reciprocal_ranks(lanes, fusion.fused_limit(mode, n)))
             if mode in ("hybrid", "balanced", "deep"):
                 rows = graph.graph_signals(rows, self._table("vq_links"), self.settings.graph_top_k, self.settings.graph_floor_ratio)
@@ -67,15 +68,7 @@ class Engine:
         return fusion.shape(rows.withColumnRenamed("record_id", "id"), view)
 
     def _with_payload(self, ranked: DataFrame) -> DataFrame:
-        notes = self._table("vq_documents").select(F.col("id").alias("document_id"), "rel_path", "title", "collection_id")
-        names = self._table("vq_collections").select(F.col("id").alias("collection_id"), F.col("name").alias("collection_name"))
-        place = ["heading_path", "start_line", "end_line", "chunk_index"]
-        chunks = self._chunks().select(F.concat(F.lit("chunk:"), F.col("id").cast("string")).alias("record_id"), "document_id", F.col("text_content").alias("text"), *place)
-        first = notes.join(windows.first_chunks(self._chunks()), "document_id", "left").select(
-            F.concat(F.lit("title:"), F.col("document_id").cast("string")).alias("record_id"), "document_id", F.col("first_text").alias("text"),
-            F.lit(None).cast("string").alias("heading_path"), *[F.lit(None).cast("int").alias(c) for c in place[1:]],
-        )
-        return ranked.join(chunks.unionByName(first), "record_id").join(notes, "document_id").join(names, "collection_id", "left")
+        return with_payload(ranked, *[self._table(t) for t in ("vq_documents", "vq_chunks", "vq_collections")])
 
     def related(self, idea: str, limit: int = 6, mode: str = "focused") -> DataFrame:
         """Cards of related notes, one per note, with the reason."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notarium.functions.text import simple_tokens
+from notarium.runtime import materialize, semi_join_checked, spread
 
 
 def inverted_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -22,6 +23,31 @@ def inverted_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def query_index(df: DataFrame, id_col: str, text_col: str, queries: DataFrame) -> DataFrame:
+    """(term, record_id, tf, length): the part of the inverted index that the queries touch, with each record's length.
+
+    Tokens that no query asks for are dropped before any shuffle: the queries' terms are counted and broadcast up to a bound,
+    beyond it both sides shuffle. The result is written once, as several lanes read it. Rows that were delivered twice (equal ids) count once: their counts are divided by the
+    number of copies, which takes a shuffle of ids instead of texts.
+    """
+    copies = df.groupBy(F.col(id_col).alias("record_id")).agg(F.count("*").alias("copies")).where("copies > 1")
+    own = simple_tokens(F.col(text_col))
+    tokens = spread(df.select(id_col, text_col)).select(F.col(id_col).alias("record_id"), own.alias("own")).select(
+        "record_id", F.size("own").alias("length"), F.explode("own").alias("term")
+    )
+    asked = materialize(query_terms(queries).select("term").distinct(), "terms")
+    counted = semi_join_checked(tokens, asked, ["term"]).groupBy("term", "record_id", "length").agg(F.count("*").alias("n"))
+    each = F.coalesce("copies", F.lit(1))
+    once = counted.join(copies, "record_id", "left").select("term", "record_id", "length", (F.col("n") / each).cast("bigint").alias("tf"))
+    return materialize(once, "index")
+
+
+def lengths(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row: number of records with tokens, and their mean length; equal ids count once."""
+    sizes = spread(df.select(id_col, text_col)).select(id_col, F.size(simple_tokens(F.col(text_col))).alias("n")).where("n > 0").distinct()
+    return sizes.agg(F.count("*").alias("records"), F.avg("n").alias("mean"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, terms): distinct terms of each query and their number; blank queries have none."""
     own = queries.select("query_id", F.array_distinct(simple_tokens(F.col("query_text"))).alias("own"))
@@ -83,12 +109,10 @@ def title_lane(queries: DataFrame, titles: DataFrame, limit: int) -> DataFrame:
     return best(both.select("query_id", "record_id", F.round(score, 9).alias("score")), limit)
 
 
-def bm25_lane(queries: DataFrame, index: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Records holding any term of a query, by BM25 with the idf of the whole table."""
-    lengths = index.groupBy("record_id").agg(F.sum("tf").alias("length"))
-    totals = lengths.agg(F.count("*").alias("records"), F.avg("length").alias("mean"))
+def bm25_lane(queries: DataFrame, index: DataFrame, totals: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Records holding any term of a query, by BM25; index from query_index, totals from lengths (over the whole table)."""
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    hits = query_terms(queries).join(frequency, "term").join(index, "term").join(lengths, "record_id")
+    hits = query_terms(queries).join(frequency, "term").join(index, "term")
     hits = hits.join(F.broadcast(totals), how="cross")  # one row
     idf = F.log(1 + (F.col("records") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.operators import clusters, fusion, lexical, sessions, vectors, windows
+from notarium.operators import clusters, fusion, lexical, sessions, vectors
 from notarium.operators.graph import graph_signals, inbound_sources
+from notarium.operators.hits import with_payload
 from notarium.plans.store import chunks_of
+from notarium.runtime import materialize
 from notarium.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -38,48 +40,42 @@ def _index(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.inverted_index(chunks_of(spark, folder).select("id", "text_content"), "id", "text_content")
 
 
-def _keyword(spark, folder, limit):
-    return lexical.keyword_lane(searches(spark, folder), _index(spark, folder), limit).withColumn(
+def _asked_index(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.query_index(table(spark, folder, "vq_chunks"), "id", "text_content", searches(spark, folder))
+
+
+def _keyword(spark, folder, limit, asked=None, index=None):
+    asked = searches(spark, folder) if asked is None else asked
+    return lexical.keyword_lane(asked, _asked_index(spark, folder) if index is None else index, limit).withColumn(
         "record_id", F.concat(F.lit("chunk:"), F.col("record_id").cast("string"))
     )
 
 
-def _title(spark, folder, limit):
+def _title(spark, folder, limit, asked=None):
+    asked = searches(spark, folder) if asked is None else asked
     notes = table(spark, folder, "vq_documents").where(F.col("status").isin("indexed", "enriched"))
-    lane = lexical.title_lane(searches(spark, folder), notes.select(F.col("id").alias("record_id"), "title", "rel_path"), limit)
+    lane = lexical.title_lane(asked, notes.select(F.col("id").alias("record_id"), "title", "rel_path"), limit)
     return lane.withColumn("record_id", F.concat(F.lit("title:"), F.col("record_id").cast("string")))
 
 
-def _sparse(spark, folder, limit):
-    return lexical.bm25_lane(searches(spark, folder), _index(spark, folder), limit).withColumn(
+def _sparse(spark, folder, limit, asked=None, index=None):
+    asked = searches(spark, folder) if asked is None else asked
+    totals = lexical.lengths(table(spark, folder, "vq_chunks"), "id", "text_content")
+    return lexical.bm25_lane(asked, _asked_index(spark, folder) if index is None else index, totals, limit).withColumn(
         "record_id", F.concat(F.lit("chunk:"), F.col("record_id").cast("string"))
     )
 
 
-def _payload(spark, folder) -> DataFrame:
-    """(record_id, document_id, chunk_index, rel_path, title, text, heading_path, start_line, end_line) of both kinds of records."""
-    notes = table(spark, folder, "vq_documents").select(F.col("id").alias("document_id"), "rel_path", "title")
-    chunks = chunks_of(spark, folder).select(
-        F.concat(F.lit("chunk:"), F.col("id").cast("string")).alias("record_id"),
-        "document_id", "chunk_index", F.col("text_content").alias("text"), "heading_path", "start_line", "end_line",
-    )
-    first = windows.first_chunks(chunks_of(spark, folder))
-    titles = notes.join(first, "document_id", "left").select(
-        F.concat(F.lit("title:"), F.col("document_id").cast("string")).alias("record_id"),
-        "document_id", F.lit(0).alias("chunk_index"), F.col("first_text").alias("text"),
-        F.lit(None).cast("string").alias("heading_path"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"),
-    )
-    return chunks.unionByName(titles).join(notes, "document_id")
-
-
 def retrieve(spark: SparkSession, folder: str, mode: str, n: int = N) -> DataFrame:
     """(query_id, record_id, score, retrieval_lanes, rel_path, title, text, ..., place): the results of a search mode."""
     limit = fusion.lane_limit(mode, n)
-    lanes = {"title": _title(spark, folder, limit), "keyword": _keyword(spark, folder, limit)}
+    asked = materialize(searches(spark, folder), "searches")
+    index = lexical.query_index(table(spark, folder, "vq_chunks"), "id", "text_content", asked)
+    lanes = {"title": _title(spark, folder, limit, asked), "keyword": _keyword(spark, folder, limit, asked, index)}
     if mode != "fast":
-        lanes["semantic"] = _sparse(spark, folder, limit)
+        lanes["semantic"] = _sparse(spark, folder, limit, asked, index)
     fused = fusion.reciprocal_ranks(lanes, fusion.fused_limit(mode, n))
-    rows = fused.join(_payload(spark, folder), "record_id")
+    rows = with_payload(fused, *[table(spark, folder, t) for t in ("vq_documents", "vq_chunks", "vq_collections")])
     _, _, each, fill = fusion.MODES[mode]
     return fusion.diversify(rows, n, each, fill)
 
