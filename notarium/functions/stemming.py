@@ -9,6 +9,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Stop words of English full-text search, as fixed values.
 STOP_WORDS = frozenset(
@@ -102,7 +103,7 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def english_term(terms: pd.Series) -> pd.Series:
     """The stem of each term; null for stop words and nulls."""
     return terms.map(lambda t: None if t is None or t in STOP_WORDS else stem(t))

@@ -56,7 +56,7 @@ def body_text(object_type: str, payload: Column) -> Column:
     for label, field, many in BODIES.get(object_type, []):
         raw = F.get_json_object(payload, f"$.{field}")
         if many:
-            items = F.filter(F.transform(F.from_json(raw, "array<string>"), F.trim), lambda x: x != "")
+            items = F.filter(F.transform(F.from_json(raw, "array<string>"), lambda x: F.trim(x)), lambda x: x != "")
             raw = F.when(F.size(items) > 0, F.array_join(items, "; "))
         lines.append(F.when(F.trim(raw) != "", F.concat(F.lit(f"{label}: "), F.trim(raw))))
     return F.concat_ws("\n", *lines)

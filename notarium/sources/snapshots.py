@@ -30,7 +30,7 @@ class SnapshotStore:
 
     def version(self, name: str) -> int | None:
         """The committed version of a table, or None."""
-        fs, pointer = self._fs(f"{self.folder}/{name}/_current")
+        fs, pointer = self._fs(f"{self.folder}/{name}/CURRENT")
         if not fs.exists(pointer):
             return None
         return int(self.spark.read.text(str(pointer)).first()[0])
@@ -51,8 +51,8 @@ class SnapshotStore:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.folder}/{name}/v{version}")
-        fs, pointer = self._fs(f"{self.folder}/{name}/_current")
-        _, staged = self._fs(f"{self.folder}/{name}/_next-{uuid.uuid4().hex}")
+        fs, pointer = self._fs(f"{self.folder}/{name}/CURRENT")
+        _, staged = self._fs(f"{self.folder}/{name}/NEXT-{uuid.uuid4().hex}")
         out = fs.create(staged, True)
         out.write(bytearray(str(version).encode()))
         out.close()
