@@ -5,6 +5,7 @@ Listings read no content: the file source prunes it when only path, time and len
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,8 +65,6 @@ def frontmatter_map():
 
     PyYAML is used where it is installed, else a reader of flat `key: value` and list fields.
     """
-    import pandas as pd
-
     def flat(block: str) -> dict[str, str]:
         out: dict[str, str] = {}
         last = ""
