@@ -110,8 +110,9 @@ def regions(text: str) -> tuple[str, list[tuple[str, str]]]:
     if front := _FRONT.match(text):
         at = front.end()
         parts.append(hide("front", front[0]))
-    for begin, inner, end, past in _fences(text[at:]):
-        begin, inner, end, past = begin + at, inner + at, end + at, past + at
+    base = at
+    for begin, inner, end, past in _fences(text[base:]):
+        begin, inner, end, past = begin + base, inner + base, end + base, past + base
         parts.append(text[at:begin])
         parts.append(hide("fence", text[inner:end]) + ("\n" if past > end or text[past - 1 : past] == "\n" else ""))
         at = past

@@ -46,6 +46,12 @@ def test_clean_text_keeps_structure():
     assert markup.clean(None) == (None, [], 0, 0)
 
 
+def test_every_fence_is_masked():
+    text = "---\na: b\n---\nx\n\n```\n[[a]]\n```\n\ny\n\n~~~sql\n```\n<b>\n~~~\n\nz\n\n````\n$a$\n````\nend"
+    out, found, *_ = markup.clean(text)
+    assert found == ["markdown"] and "[[a]]" in out and "<b>" in out and "$a$" in out and out.endswith("end")
+
+
 def test_chrome_is_dropped_from_pages():
     page = "<html><body>\n\nok\n\n\n\n" + "\n".join(f"<p>{prose(i, 20)}</p>" for i in range(4)) + "\n\n\n\n\nx\n\n</body></html>"
     out = markup.clean(page)[0]
