@@ -230,3 +230,11 @@ def excluded(path: Column, globs: list[str]) -> Column:
     for glob in globs:
         hit = hit | slashed.rlike(glob_pattern(glob))
     return hit
+
+
+def matches_prefix(path: Column, prefixes: list[str]) -> Column:
+    """Whether the path begins with any of the prefixes; an empty list matches all."""
+    hit = F.lit(not prefixes)
+    for prefix in prefixes:
+        hit = hit | F.startswith(path, F.lit(prefix))
+    return hit

@@ -42,10 +42,11 @@ def query_index(df: DataFrame, id_col: str, text_col: str, queries: DataFrame) -
     return materialize(once, "index")
 
 
-def lengths(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row: number of records with tokens, and their mean length; equal ids count once."""
+def lengths(df: DataFrame, id_col: str, text_col: str) -> tuple[int, float]:
+    """Number of records with tokens, and their mean length; equal ids count once."""
     sizes = spread(df.select(id_col, text_col)).select(id_col, F.size(simple_tokens(F.col(text_col))).alias("n")).where("n > 0").distinct()
-    return sizes.agg(F.count("*").alias("records"), F.avg("n").alias("mean"))
+    row = sizes.agg(F.count("*").alias("records"), F.avg("n").alias("mean")).first()
+    return row["records"], row["mean"] or 1.0
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -109,12 +110,12 @@ def title_lane(queries: DataFrame, titles: DataFrame, limit: int) -> DataFrame:
     return best(both.select("query_id", "record_id", F.round(score, 9).alias("score")), limit)
 
 
-def bm25_lane(queries: DataFrame, index: DataFrame, totals: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_lane(queries: DataFrame, index: DataFrame, totals: tuple[int, float], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Records holding any term of a query, by BM25; index from query_index, totals from lengths (over the whole table)."""
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))
     hits = query_terms(queries).join(frequency, "term").join(index, "term")
-    hits = hits.join(F.broadcast(totals), how="cross")  # one row
-    idf = F.log(1 + (F.col("records") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    records, mean = totals
+    idf = F.log(1 + (records - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     scored = hits.groupBy("query_id", "record_id").agg(F.round(F.sum(part), 6).alias("score"))
     return best(scored, limit)

@@ -31,7 +31,7 @@ def resolve(
     since: str | None = None,
     at: str | None = None,
 ) -> DataFrame:
-    """references with `state`: null if satisfied, else 'missing', 'deleted' or 'late'.
+    """references with `state` (which replaces one of that name): null if satisfied, else 'missing', 'deleted' or 'late'.
 
     targets has the same key columns; alive says which of its rows exist (all, if not given), `since` is their time of
     coming, `at` the time of the reference. 'deleted' means that only rows that are not alive match, 'late' that the
@@ -42,7 +42,7 @@ def resolve(
     lives = F.coalesce(alive, F.lit(False)) if alive is not None else F.lit(True)
     own = targets.select(*keys, lives.alias("_alive"), (F.col(since) if since else F.lit(None).cast("timestamp")).alias("_since"))
     # at most 2^keys masks; only those that occur are joined
-    references = materialize(references, "references")
+    references = materialize(references.drop("state"), "references")
     present = references.select(F.array(*[F.col(k).isNotNull() for k in keys]).alias("mask")).distinct().collect()
     masks = [tuple(r["mask"]) for r in present] or [(True,) * len(keys)]
     parts = []

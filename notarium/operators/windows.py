@@ -43,6 +43,41 @@ def neighbour_window(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> Dat
     )
 
 
+def object_window(objects: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:
+    """(object_id, window_text, first_index, last_index, window_start_line, window_end_line) of knowledge objects.
+
+    The window runs from the first to the last chunk that an object names, with `radius` more on each side; an object without
+    known chunks gets those whose lines it overlaps. objects has id, document_id, source_chunk_ids, line_start, line_end.
+    """
+    named = objects.select(F.col("id").alias("object_id"), "document_id", F.explode("source_chunk_ids").alias("chunk_id"))
+    places = chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index")
+    found = named.join(places, ["chunk_id", "document_id"]).select("object_id", "document_id", "chunk_index")
+    rest = objects.join(found.select(F.col("object_id").alias("id")).distinct(), "id", "left_anti")
+    lines = rest.select("id", "document_id", F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"))
+    overlap = overlapping(lines, chunks.select("id", "document_id", "start_line", "end_line"))
+    by_line = overlap.join(places.withColumnRenamed("chunk_id", "right_id"), ["right_id", "document_id"]).select(
+        F.col("left_id").alias("object_id"), "document_id", "chunk_index"
+    )
+    wide = (
+        found.withColumn("reach", F.lit(radius))
+        .unionByName(by_line.withColumn("reach", F.lit(0)))
+        .groupBy("object_id", "document_id")
+        .agg((F.min("chunk_index") - F.max("reach")).alias("low"), (F.max("chunk_index") + F.max("reach")).alias("high"))
+    )
+    laid = wide.select("object_id", "document_id", F.explode(F.sequence("low", "high")).alias("chunk_index"))
+    return (
+        laid.join(chunks.select("document_id", "chunk_index", F.trim("text_content").alias("text"), "start_line", "end_line"), ["document_id", "chunk_index"])
+        .groupBy("object_id")
+        .agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("window_text"),
+            F.min("chunk_index").alias("first_index"),
+            F.max("chunk_index").alias("last_index"),
+            F.min("start_line").alias("window_start_line"),
+            F.max("end_line").alias("window_end_line"),
+        )
+    )
+
+
 def first_chunks(chunks: DataFrame) -> DataFrame:
     """(document_id, chunk): the chunk of least index per document."""
     row = F.struct("chunk_index", "id", "text_content")
@@ -120,6 +155,22 @@ def prefix_contexts(notes: DataFrame, contexts: DataFrame) -> DataFrame:
     )
 
 
+def object_template(rows: DataFrame) -> DataFrame:
+    """rows with embedding_text for knowledge objects: where they stand, their type and title, and their text.
+
+    rows has collection_name, rel_path, title, object_type, object_title, document_summary and body_text.
+    """
+    summary = collapsed(F.col("document_summary"))
+    labels = {
+        "Collection": "collection_name", "Relative path": "rel_path", "Document title": "title",
+        "Knowledge object type": "object_type", "Object title": "object_title",
+    }
+    lines = [F.concat(F.lit(f"{label}: "), collapsed(F.col(c))) for label, c in labels.items()]
+    lines.append(F.when(summary != "", F.concat(F.lit("Document summary: "), summary)))
+    lines.append(F.concat(F.lit("Knowledge text: "), collapsed(F.col("body_text"))))
+    return rows.withColumn("embedding_text", F.trim(F.concat_ws("\n", *lines)))
+
+
 def context_template(rows: DataFrame) -> DataFrame:
     """rows with embedding_text: the passage with where it stands and what surrounds it.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notarium.functions import text as T
 from notarium.functions import validation
-from notarium.operators import clusters, knowledge, refresh, stats, vectors, windows
+from notarium.operators import clusters, knowledge, mutations, refresh, stats, vectors, windows
 from notarium.sources.tables import table
 
 
@@ -496,3 +496,82 @@ def chunk_markdown(spark, folder):
     from notarium.operators.chunking import chunk_notes
 
     return chunk_notes(table(spark, folder, "vq_documents"))
+
+
+@query(
+    f"""WITH {_OBJECTS}, o AS (SELECT id, document_id, title, list_sort(list_distinct(list(chunk_id))) AS ids FROM objects WHERE object_type = 'concept' GROUP BY ALL),
+  w AS (SELECT o.id AS object_id, o.document_id, min(c.chunk_index) - 1 AS low, max(c.chunk_index) + 1 AS high FROM o JOIN chunks c ON list_contains(o.ids, c.id) AND c.document_id = o.document_id GROUP BY ALL)
+  SELECT w.object_id, string_agg(trim(c.text_content), chr(10) ORDER BY c.chunk_index) AS window_text, min(c.chunk_index) AS first_index, max(c.chunk_index) AS last_index,
+    min(c.start_line) AS window_start_line, max(c.end_line) AS window_end_line FROM w JOIN chunks c ON c.document_id = w.document_id AND c.chunk_index BETWEEN w.low AND w.high GROUP BY w.object_id"""
+)
+def knowledge_window(spark, folder):
+    """Text around the chunks of every concept."""
+    chunks = chunks_of(spark, folder)
+    concepts = knowledge.objects_from_sections(chunks).where("object_type = 'concept'")
+    return windows.object_window(concepts, chunks)
+
+
+@query(
+    f"""WITH {_OBJECTS} SELECT o.id, trim(concat_ws(chr(10), 'Collection: ' || {_collapse('k.name')}, 'Relative path: ' || {_collapse('d.rel_path')}, 'Document title: ' || {_collapse('d.title')},
+    'Knowledge object type: ' || o.object_type, 'Object title: ' || {_collapse('o.title')}, 'Knowledge text: ' || {_collapse('o.body_text')})) AS embedding_text
+  FROM objects o JOIN vq_documents d ON d.id = o.document_id JOIN vq_collections k ON k.id = d.collection_id"""
+)
+def object_template(spark, folder):
+    """The text that is embedded for every knowledge object."""
+    notes = table(spark, folder, "vq_documents").select(F.col("id").alias("document_id"), "collection_id", "rel_path", F.col("title").alias("note_title"))
+    names = table(spark, folder, "vq_collections").select(F.col("id").alias("collection_id"), F.col("name").alias("collection_name"))
+    rows = knowledge.objects_from_sections(chunks_of(spark, folder)).withColumnRenamed("title", "object_title").join(notes, "document_id").join(names, "collection_id")
+    rows = rows.withColumnRenamed("note_title", "title").withColumn("document_summary", F.lit(None).cast("string"))
+    return windows.object_template(rows).select("id", "embedding_text")
+
+
+@query(
+    f"WITH {_CHUNKS} SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN 'point-' || id END, qdrant_point_id) AS qdrant_point_id FROM chunks"
+)
+def point_writeback(spark, folder):
+    """Point ids after every third chunk got a new one."""
+    chunks = chunks_of(spark, folder).select("id", "qdrant_point_id")
+    written = chunks.where("id % 3 = 0").select("id", F.concat(F.lit("point-"), F.col("id").cast("string")).alias("point_id"))
+    return mutations.write_point_ids(chunks, written)
+
+
+_LINK_KEY = ", ".join(f"coalesce({k}, '') AS {k}" for k in mutations.KEY)
+
+
+@query(
+    f"""WITH o AS (SELECT {_LINK_KEY}, max(confidence) AS c FROM vq_links GROUP BY ALL),
+  f AS (SELECT {_LINK_KEY}, max(confidence) AS confidence FROM vq_links WHERE id % 4 <> 0 GROUP BY ALL),
+  s AS (SELECT c.name AS collection_name, d.rel_path AS source_rel_path FROM vq_documents d JOIN vq_collections c ON c.id = d.collection_id WHERE d.status <> 'deleted')
+  SELECT o.*  EXCLUDE (c), coalesce(f.confidence, o.c) AS confidence, f.confidence IS NULL AS stale FROM o LEFT JOIN f USING (collection_name, source_rel_path, target_identifier, edge_type, anchor_text, source_kind)
+  WHERE EXISTS (SELECT 1 FROM s WHERE s.collection_name = o.collection_name AND s.source_rel_path = o.source_rel_path)"""
+)
+def link_sweep(spark, folder):
+    """Links after an extraction that did not find every fourth one again."""
+    links = table(spark, folder, "vq_links")
+    names = table(spark, folder, "vq_collections").select(F.col("id").alias("collection_id"), F.col("name").alias("collection_name"))
+    sources = table(spark, folder, "vq_documents").where("status <> 'deleted'").join(names, "collection_id").select("collection_name", "rel_path")
+    return mutations.sweep_links(links, links.where("id % 4 <> 0"), sources)
+
+
+@query(
+    """SELECT id, rel_path, status FROM vq_documents WHERE status IN ('indexed', 'enriched') AND (starts_with(rel_path, '10_Projects/') OR starts_with(rel_path, 'Daily/'))
+  ORDER BY updated_at DESC, rel_path, id LIMIT 25"""
+)
+def seed_nodes(spark, folder):
+    """The 25 newest notes of two folders."""
+    notes = table(spark, folder, "vq_documents").where(F.col("status").isin("indexed", "enriched") & T.matches_prefix(F.col("rel_path"), ["10_Projects/", "Daily/"]))
+    return notes.orderBy(F.desc("updated_at"), "rel_path", "id").limit(25).select("id", "rel_path", "status")
+
+
+@query()
+def heading_sections(spark, folder):
+    """Chunks per heading path of all notes, cut anew."""
+    from notarium.operators.chunking import chunk_notes
+
+    return chunk_notes(table(spark, folder, "vq_documents")).groupBy("id", "heading_path").agg(F.count("*").alias("chunks"), F.min("start_line").alias("first_line"))
+
+
+@query()
+def prose_token_estimate(spark, folder):
+    """Second token estimate of every chunk."""
+    return chunks_of(spark, folder).select("id", T.prose_tokens(F.col("text_content")).alias("tokens"))

@@ -319,7 +319,7 @@ def test_link_targets(spark, written, want):
     ],
 )
 def test_composite_keys_with_nulls(spark, match, want):
-    refs = spark.createDataFrame([(1, "a", "b"), (2, "a", "z"), (3, "a", None), (4, None, "q"), (5, None, None)], "id int, k1 string, k2 string")
+    refs = spark.createDataFrame([(1, "a", "b"), (2, "a", "z"), (3, "a", None), (4, None, "q"), (5, None, None)], "id int, k1 string, k2 string").withColumn("state", F.lit("x"))
     targets = spark.createDataFrame([("a", "b"), ("c", None), (None, None)], "k1 string, k2 string")
     got = {r["id"]: r["state"] for r in references.resolve(refs, targets, ["k1", "k2"], match).collect()}
     assert got == want
