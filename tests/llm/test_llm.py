@@ -292,7 +292,8 @@ def test_mix(spark):
         ("The plan was to rewrite the whole of the notebook before the observatory opened and then to vis", "cut"), ("Nobody drafte…", "cut"), ("Nobody dr...", "cut"), ("both felt [...]", "cut"),
         ("It was al [truncated, 23 more characters]", "cut"), ("One orn\n\n[message clipped]", "cut"), ("The pla (continued in the next message)", "cut"), ("each separate-", "cut"),
         ("Then see <a href=\"/sch", "cut"), ("a spores w&am", "cut"), ("Then **foss", "cut"), ("Text.\n\n- ", "cut"), ("Text.\n\n##", "cut"), ("Text.\n\n![", "cut"), ("Text.\n\n```\ncode(", "cut"),
-        ("Text.\n\nfeels wove\n\nhttps://a.b/c", "cut"), ("Text.\n\nOhne sie bleibt die Brücke im\n\n-- \nDesk 5", "cut"), ("see x thread", "unsure"), ("古い索引を台所に移し", "cut"), ("A whole sentence. [...]", "whole"),
+        ("Text.\n\nfeels wove\n\nhttps://a.b/c", "cut"), ("Text.\n\nOhne sie bleibt die Brücke im\n\n-- \nDesk 5", "cut"), ("see x thread", "unsure"), ("古い索引を台所に移し", "cut"), ("¿ Por qu\ufffd", "cut"), ("Ended. It took two attempts to find the way back, mostly separately, with a very old map of\n</body></html>", "cut"),
+        ("<ul>\n<li>x</li>\n</ul>\n</body></html>", "whole"), ("<p>So it ends.</p>\n\n</div>", "whole"), ("A whole sentence. [...]", "whole"),
         ("Text.\n\n~~~sql\n```\n\nx = `1\n~~~", "whole"), ("Text.\n\n```\na\n\nb\n```\nThe end.", "whole"), ("Text.\n\n~~~\n```\nx", "cut"),
     ],
 )
