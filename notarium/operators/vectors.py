@@ -109,15 +109,17 @@ def split_limit(first: DataFrame, second: DataFrame, limit: int, order: list[str
     return ranked.orderBy("n", "kind_no").limit(limit).drop("n")
 
 
-def pack_batches(docs: DataFrame, max_tokens: int = 12_000, max_items: int = 32) -> DataFrame:
+def pack_batches(docs: DataFrame, max_tokens: int = 12_000, max_items: int = 32, block: int = 4096) -> DataFrame:
     """(source_key, item_no, tokens, batch_no): consecutive items of a source packed greedily into batches.
 
     A batch is closed when the next item would pass max_tokens or max_items; an item above max_tokens stands alone. docs has
-    source_key, item_no, text. The fold runs over each source's items in order; a source's numbers, not its texts, are
-    gathered.
+    source_key, item_no (from 0), text. The fold runs over each source's items in order, in blocks of `block` item numbers
+    that no batch crosses, so a source of any size spreads over many tasks; numbers, not texts, are gathered. batch_no
+    counts from 0 in the first block and from block * k in the k-th.
     """
     sized = docs.select("source_key", "item_no", embedding_tokens(F.col("text")).alias("tokens"))
-    items = sized.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("item_no", "tokens"))).alias("items"))
+    part = F.floor(F.col("item_no") / block).alias("part")
+    items = sized.groupBy("source_key", part).agg(F.array_sort(F.collect_list(F.struct("item_no", "tokens"))).alias("items"))
 
     def add(state, item):
         new = (state["used"] + item["tokens"] > max_tokens) | (state["count"] >= max_items)
@@ -133,6 +135,6 @@ def pack_batches(docs: DataFrame, max_tokens: int = 12_000, max_items: int = 32)
 
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("count"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
     packed = items.withColumn("numbers", F.aggregate("items", start, add, lambda s: s["out"]))
-    return packed.select("source_key", F.explode(F.arrays_zip("items", "numbers")).alias("z")).select(
-        "source_key", "z.items.item_no", "z.items.tokens", F.col("z.numbers").alias("batch_no")
+    return packed.select("source_key", "part", F.explode(F.arrays_zip("items", "numbers")).alias("z")).select(
+        "source_key", "z.items.item_no", "z.items.tokens", (F.col("z.numbers") + F.col("part") * block).alias("batch_no")
     )

@@ -1,7 +1,6 @@
 """Joins and windows around chunks: neighbours, first and latest rows, overlapping ranges, prefixes.
 
-Windows over a document hold one document's chunks; a document too large for that (the journal) still sorts and spills
-outside the heap, as lag and lead keep single rows only.
+A document may hold any share of the chunks: windows run over blocks of a document, ranges are laid out to equalities.
 """
 
 from __future__ import annotations
@@ -12,10 +11,38 @@ from pyspark.sql import functions as F
 from notarium.functions.text import collapsed, snippet
 
 
-def adjacent_texts(chunks: DataFrame) -> DataFrame:
-    """Chunks with prev_text and next_text of the same document and version."""
-    w = Window.partitionBy("document_id", "version").orderBy("chunk_index", "id")
-    return chunks.withColumn("prev_text", F.lag("text_content").over(w)).withColumn("next_text", F.lead("text_content").over(w))
+def adjacent_texts(chunks: DataFrame, block: int = 256) -> DataFrame:
+    """Chunks with prev_text and next_text of the same document and version.
+
+    A document is cut into blocks of `block` indexes with a window each, so a document of any size spreads over many tasks;
+    what stands at the edges of a block comes from a window over one row per block.
+    """
+    group = ["document_id", "version"]
+    rows = chunks.withColumn("_block", F.floor(F.col("chunk_index") / block))
+    inner = Window.partitionBy(*group, "_block").orderBy("chunk_index", "id")
+    rows = rows.withColumns(
+        {
+            "_prev": F.lag(F.struct("text_content")).over(inner),
+            "_next": F.lead(F.struct("text_content")).over(inner),
+        }
+    )
+    ends = F.struct("chunk_index", "id", "text_content")
+    edges = chunks.groupBy(*group, F.floor(F.col("chunk_index") / block).alias("_block")).agg(
+        F.max(ends).alias("last"), F.min(ends).alias("first")
+    )
+    outer = Window.partitionBy(*group).orderBy("_block")
+    edges = edges.select(
+        *group, "_block", F.lag("last.text_content").over(outer).alias("_before"), F.lead("first.text_content").over(outer).alias("_after")
+    )
+    same = F.lit(True)
+    for key in (*group, "_block"):
+        same = same & F.col(f"r.{key}").eqNullSafe(F.col(f"e.{key}"))
+    joined = rows.alias("r").join(edges.alias("e"), same, "left")
+    return joined.select(
+        *[F.col(f"r.{c}") for c in chunks.columns],
+        F.when(F.col("_prev").isNotNull(), F.col("_prev.text_content")).otherwise(F.col("_before")).alias("prev_text"),
+        F.when(F.col("_next").isNotNull(), F.col("_next.text_content")).otherwise(F.col("_after")).alias("next_text"),
+    )
 
 
 def neighbour_window(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:

@@ -284,7 +284,7 @@ def bounded_text(spark, folder):
 
 @query(
     f"""WITH RECURSIVE c AS (SELECT * FROM vq_chunks QUALIFY row_number() OVER (PARTITION BY id) = 1),
-  items AS (SELECT document_id AS source_key, id AS item_no, {_est('text_content')} AS tokens, row_number() OVER (PARTITION BY document_id ORDER BY id) AS k
+  items AS (SELECT document_id AS source_key, chunk_index AS item_no, {_est('text_content')} AS tokens, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS k
     FROM c WHERE coalesce(trim(qdrant_point_id), '') = '' AND document_id IS NOT NULL),
   walk AS (SELECT source_key, item_no, tokens, k, tokens AS used, 1 AS cnt, 0 AS batch_no FROM items WHERE k = 1
     UNION ALL SELECT i.source_key, i.item_no, i.tokens, i.k, CASE WHEN w.used + i.tokens > 2000 OR w.cnt >= 8 THEN i.tokens ELSE w.used + i.tokens END,
@@ -296,7 +296,7 @@ def embed_batches(spark, folder):
     """Waiting chunks packed into batches of 2000 tokens and 8 chunks."""
     waiting = vectors.pending(chunks_of(spark, folder)).where(F.col("document_id").isNotNull())
     return vectors.pack_batches(
-        waiting.select(F.col("document_id").alias("source_key"), F.col("id").alias("item_no"), F.col("text_content").alias("text")), 2000, 8
+        waiting.select(F.col("document_id").alias("source_key"), F.col("chunk_index").alias("item_no"), F.col("text_content").alias("text")), 2000, 8
     )
 
 

@@ -184,6 +184,14 @@ def test_ranges_and_windows(spark):
     assert rows(windows.overlapping(a, b)) == [(1, 1, 10), (1, 1, 11), (1, 2, 11)]
 
 
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_adjacent_texts_across_blocks(spark, block):
+    data = [(i, 1, 1, x, t) for i, (x, t) in enumerate([(0, "a"), (1, None), (2, "c"), (7, "d"), (8, "e")])] + [(9, 2, 1, 0, "x"), (10, None, 1, 0, "y"), (11, None, 1, 4, "z")]
+    df = spark.createDataFrame(data, "id bigint, document_id bigint, version int, chunk_index int, text_content string")
+    got = {r["id"]: (r["prev_text"], r["next_text"]) for r in windows.adjacent_texts(df, block).collect()}
+    assert got == {0: (None, None), 1: ("a", "c"), 2: (None, "d"), 3: ("c", "e"), 4: ("d", None), 9: (None, None), 10: (None, "z"), 11: ("y", None)}
+
+
 def test_objects_merge(spark):
     schema = "id bigint, document_id bigint, object_type string, title string, body_text string, source_chunk_ids array<bigint>, line_start int, line_end int, confidence double"
     data = [
@@ -217,6 +225,7 @@ def test_vectors_and_batches(spark):
     assert vectors.nearest(v, q.limit(0), 2).count() == 0
     docs = spark.createDataFrame([("s", i, "w " * 6) for i in range(5)], "source_key string, item_no int, text string")
     assert [r["batch_no"] for r in vectors.pack_batches(docs, 24, 32).orderBy("item_no").collect()] == [0, 0, 1, 1, 2]
+    assert [r["batch_no"] for r in vectors.pack_batches(docs, 24, 32, block=3).orderBy("item_no").collect()] == [0, 0, 1, 3, 3]
 
 
 def test_hash_embedding(spark):
