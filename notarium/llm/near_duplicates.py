@@ -4,16 +4,19 @@ Every text becomes its set of distinct word sequences (shingles). Texts with equ
 it. The representatives are joined as follows.
 
 * A shingle x is sampled by a set of n shingles where hash(x) < R / (t n), with t the threshold. Two sets of similarity t or
-  more share at least R sampled shingles on average, so they share none with a chance of e^-R. R stands for R repeated runs of
-  the recursion with independent samples and is set by the target recall: R = ln(1 / (1 - recall)).
-* The sampled shingles are the first step of the paths. The members of a path with at most `small` members are compared with
-  each other. A larger bucket is split by a further shared sampled shingle of its own large ones, and so again, to `depth`
-  steps. What is still large then is compared in salted blocks, so no bucket is ever capped.
-* Comparison inside a bucket reads set sizes and a 128-bit signature (low bits of 128 min-hashes): pairs more than four
-  standard deviations under the threshold are dropped. What is left is verified exactly, on all shingles.
-
-Shuffles: sampled shingles with id and signature (about R / t rows of 40 bytes a text), and the shingles of texts which are
-in some candidate pair. Texts themselves are not shuffled.
+  more share at least R sampled shingles on average, so they share none with a chance of e^-R. The members of a bucket (a
+  shingle) with at most `small` members are compared with each other.
+* Texts of a larger bucket get keys of level 2: bands of two min-hashes of the whole set, as many as leave two sets of
+  similarity t without a common one with the same chance e^-R at most. Texts of a larger bucket of level 2 get bands of three,
+  and so on, to `depth` levels. What is still large then is compared in salted blocks, so no bucket is ever capped.
+* A level hands on all members of its large buckets, so a pair is missed only if it misses at some level. The levels and the
+  signature each may miss a like part of 1 - recall, and so miss no more than that together.
+* Comparison inside a bucket reads set sizes and a 128-bit signature (low bits of 128 min-hashes): pairs under the number
+  of equal bits that a pair at the threshold reaches are dropped. What is left is verified exactly, on all shingles.
+
+Shuffles: sampled shingles with id and signature (about R / t rows of 40 bytes a text), the bands of texts in large buckets,
+and the shingles of texts which are in some candidate pair. Texts themselves are shuffled only where more of them than can be
+broadcast as ids are in large buckets or pairs.
 
 Null, empty and short texts (fewer than min_words words) are in no pair. Null ids are left out. Of rows that occur several
 times one counts. Extra columns are ignored.
@@ -22,7 +25,7 @@ times one counts. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,11 +93,20 @@ def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def _sketcher(words: int, min_words: int, threshold: float, runs: float):
+def band_count(level: int, threshold: float, miss: float) -> int:
+    """Bands of `level` min-hashes of which two sets of similarity `threshold` have none in common with a chance of at most miss."""
+    same = threshold**level
+    return 1 if same >= 1 else math.ceil(math.log(miss) / math.log1p(-same))
+
+
+def _sketcher(words: int, min_words: int, threshold: float, runs: float, bands: tuple[tuple[int, int], ...] = ()):
+    """Sketches of texts; with bands (level, count) the keys of each level instead of the sampled shingles."""
+    hashes = max([SIGNATURE_BITS, *(level * count for level, count in bands)])
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(7)
-        factors = random.integers(0, 2**32, SIGNATURE_BITS, dtype=np.uint32) | np.uint32(1)
-        offsets = random.integers(0, 2**32, SIGNATURE_BITS, dtype=np.uint32)
+        factors = random.integers(0, 2**32, hashes, dtype=np.uint32) | np.uint32(1)
+        offsets = random.integers(0, 2**32, hashes, dtype=np.uint32)
         for whole in batches:
             for batch in _slices(whole, "text"):
                 at, h, _ = shingle_sets(batch["text"], words, min_words)
@@ -102,13 +114,37 @@ def _sketcher(words: int, min_words: int, threshold: float, runs: float):
                     continue
                 starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                 own, sizes = at[starts], np.diff(np.r_[starts, len(at)])
-                bits = np.zeros((len(starts), SIGNATURE_BITS), np.uint8)
+                least = np.zeros((len(starts), hashes if bands else SIGNATURE_BITS), np.uint32)
                 low = (h >> np.uint64(11)).astype(np.uint32)
-                for j in range(SIGNATURE_BITS):
+                for j in range(least.shape[1]):
                     value = low * factors[j] + offsets[j]
                     value ^= value >> np.uint32(15)
-                    bits[:, j] = np.minimum.reduceat(value, starts) & 1
-                packed = np.packbits(bits, axis=1).view(np.int64)
+                    least[:, j] = np.minimum.reduceat(value, starts)
+                packed = np.packbits((least[:, :SIGNATURE_BITS] & 1).astype(np.uint8), axis=1).view(np.int64)
+                if bands:
+                    scopes = np.asarray(batch["scope"].take(pa.array(own)).to_numpy(zero_copy_only=False), np.uint64)
+                    columns = []
+                    for level, count in bands:
+                        keys = np.arange(count, dtype=np.uint64) + np.uint64(level << 32) + scopes[:, None] * np.uint64(0x9E3779B97F4A7C15)
+                        for part in range(level):
+                            keys = _fmix(keys + least[:, part : level * count : level].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+                        columns.append(
+                            pa.ListArray.from_arrays(
+                                pa.array(np.arange(len(starts) + 1, dtype=np.int32) * count), pa.array(keys.reshape(-1).view(np.int64))
+                            )
+                        )
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch["scope"].take(pa.array(own)),
+                            batch["id"].take(pa.array(own)),
+                            pa.array(sizes.astype(np.int32)),
+                            pa.array(packed[:, 0].copy()),
+                            pa.array(packed[:, 1].copy()),
+                            *columns,
+                        ],
+                        names=["scope", "id", "n", "s1", "s2", *(f"keys{level}" for level, _ in bands)],
+                    )
+                    continue
                 # a second hash of the shingle decides on sampling; both sets of a pair see the same value
                 scope = np.asarray(batch["scope"].to_numpy(zero_copy_only=False), np.uint64)[at]
                 drawn = _fmix(h + np.uint64(0x51ED270B) + scope * np.uint64(0x9E3779B97F4A7C15))
@@ -154,10 +190,19 @@ def _full_sets(words: int, min_words: int):
     return run
 
 
-def _pairs_in(rows: DataFrame, threshold: float, keys: list[str], also: str = "true") -> DataFrame:
-    """Pairs of rows l and r with equal keys that pass the tests of size and signature, and `also`."""
+def least_agreeing(threshold: float, miss: float) -> int:
+    """Equal bits of two signatures that a pair at the threshold falls short of with a chance of at most miss."""
     p = (1 + threshold) / 2
-    agree = math.floor(SIGNATURE_BITS * p - 4 * math.sqrt(SIGNATURE_BITS * p * (1 - p)))
+    under = 0.0
+    for bits in range(SIGNATURE_BITS + 1):
+        under += math.comb(SIGNATURE_BITS, bits) * p**bits * (1 - p) ** (SIGNATURE_BITS - bits)
+        if under > miss:
+            return bits
+    return SIGNATURE_BITS
+
+
+def _pairs_in(rows: DataFrame, threshold: float, agree: int, keys: list[str], also: str = "true") -> DataFrame:
+    """Pairs of rows l and r with equal keys that pass the tests of size and signature, and `also`."""
     left, right = rows.alias("l"), rows.alias("r")
     differ = F.bit_count(F.expr("l.s1 ^ r.s1")) + F.bit_count(F.expr("l.s2 ^ r.s2"))
     on = (F.col("l.id") < F.col("r.id")) & F.expr(also)
@@ -171,62 +216,52 @@ def _pairs_in(rows: DataFrame, threshold: float, keys: list[str], also: str = "t
     ).select("l.scope", F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
-def _next(rows: DataFrame, carried: list[str], threshold: float | None) -> DataFrame:
-    """Each path continued by sampled later tokens of the set's `rest`; `rest` keeps what comes after the new token.
+def _in_blocks(large: DataFrame, threshold: float, agree: int, carried: list[str]) -> DataFrame:
+    """All members of each path against each other, in cells of two blocks of about 512 rows."""
+    blocks = F.least(F.ceil(F.col("members") / 512), F.lit(4096)).cast("int")
+    block = F.pmod(F.xxhash64("scope", "id"), blocks)
+    sides = large.withColumn("block", block).withColumn("blocks", blocks)
+    rows = sides.withColumn(
+        "cell",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.col("blocks") - 1),
+                lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")),
+            )
+        ),
+    ).select("path", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "block", *carried)
+    apart = "l.x = l.y OR l.block <> r.block"  # rows of one block meet in its own cell only
+    return _pairs_in(rows, threshold, agree, ["path", "x", "y"], apart)
+
+
+def candidate_pairs(
+    reps: DataFrame, banded: Callable[[DataFrame], DataFrame], threshold: float, agree: int, small: int = 64, depth: int = 3
+) -> DataFrame:
+    """Distinct pairs (scope, a, b), a < b, which meet in a bucket of some level and pass the signature.
 
-    A set with m tokens left takes each with chance 1 / (t m), by a hash of path and token that other sets see alike, so the
-    paths of a set grow by a constant factor however large its buckets are. No threshold: all tokens are taken.
+    banded gives, for ids (scope, id) of reps, their rows with the keys of all levels above the first.
     """
-    left = F.size("rest")
-    rows = rows.select(*carried, "path", "rest", F.posexplode("rest").alias("i", "token"))
-    rows = rows.withColumn("next", F.xxhash64("path", "token") if threshold else F.col("token"))
-    if threshold:
-        draw = F.pmod(F.xxhash64(F.lit(11), "next"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        rows = rows.where(draw < 1 / (threshold * left))
-    rest = F.slice("rest", F.col("i") + 2, F.greatest(left - 1 - F.col("i"), F.lit(0)))
-    return rows.select(*carried, F.col("next").alias("path"), rest.alias("rest"))
-
-
-def candidate_pairs(reps: DataFrame, threshold: float, small: int = 64, depth: int = 3) -> DataFrame:
-    """Distinct pairs (scope, a, b), a < b, which the chosen-path recursion brings together."""
     carried = ["scope", "id", "n", "s1", "s2"]
-    found = None
+    found = keyed = None
     frontier = reps.select(*carried, F.explode("tokens").alias("path"))
     for level in range(1, depth + 1):
         counts = frontier.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
         shared = frontier.join(counts, "path")
         if level > 1:
             shared = materialize(shared, "paths")
-        pairs = _pairs_in(shared.where(F.col("members") <= small).select("path", *carried), threshold, ["path"])
+        pairs = _pairs_in(shared.where(F.col("members") <= small).select("path", *carried), threshold, agree, ["path"])
         found = pairs if found is None else found.unionByName(pairs)
         large = shared.where(F.col("members") > small)
-        if level == 1:
-            own = large.groupBy("scope", "id").agg(
-                *[F.first(c).alias(c) for c in ("n", "s1", "s2")],
-                F.array_sort(F.collect_list("path")).alias("rest"),
-            )
-            frontier = _next(own.withColumn("path", F.lit(0).cast("bigint")), carried, None)
-        elif level == depth:
-            # still large: all members against each other, in cells of two blocks of about 512 rows
-            blocks = F.least(F.ceil(F.col("members") / 512), F.lit(4096)).cast("int")
-            block = F.pmod(F.xxhash64("scope", "id"), blocks)
-            sides = large.withColumn("block", block).withColumn("blocks", blocks)
-            rows = sides.withColumn(
-                "cell",
-                F.explode(
-                    F.transform(
-                        F.sequence(F.lit(0), F.col("blocks") - 1),
-                        lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")),
-                    )
-                ),
-            ).select("path", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "block", *carried)
-            apart = "l.x = l.y OR l.block <> r.block"  # rows of one block meet in its own cell only
-            found = found.unionByName(_pairs_in(rows, threshold, ["path", "x", "y"], apart))
+        if level == depth:
+            found = found.unionByName(_in_blocks(large, threshold, agree, carried))
             break
+        hot = materialize(large.select("scope", "id").distinct(), "hot")
+        if keyed is None:
+            keyed = materialize(banded(hot), "bands")
+            own = keyed
         else:
-            frontier = large.select(*carried, "path", "rest")
-        # one step further along each path
-        frontier = _next(frontier, carried, threshold)
+            own = semi_join_checked(keyed, hot, ["scope", "id"])
+        frontier = own.select(*carried, F.explode(f"keys{level + 1}").alias("path"))
     return found.distinct()
 
 
@@ -251,7 +286,9 @@ def similar(
     texts = df.select(
         F.col(scope_col).cast("tinyint").alias("scope"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
     ).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    runs = math.log(1 / (1 - recall))
+    # each level and the signature may miss a like part
+    miss = (1 - recall) / (depth + 1)
+    runs = math.log(1 / miss)
     id_type = texts.schema["id"].dataType.simpleString()
     sketches = materialize(
         spread(texts).mapInArrow(
@@ -274,7 +311,15 @@ def similar(
         .select("scope", "rep.id", F.col("rep.id").alias("rep"), "size")
         .unionByName(sketches.select(*key, "id").distinct().join(many, key).select("scope", "id", "rep", "size"))
     )
-    pairs = materialize(candidate_pairs(reps, threshold, small, depth), "candidates")
+
+    def banded(ids: DataFrame) -> DataFrame:
+        bands = tuple((level, band_count(level, threshold, miss)) for level in range(2, depth + 1))
+        fields = f"scope tinyint, id {id_type}, n int, s1 bigint, s2 bigint" + "".join(f", keys{level} array<bigint>" for level, _ in bands)
+        own = spread(semi_join_checked(texts, ids, ["scope", "id"]))
+        return own.mapInArrow(_sketcher(words, min_words, threshold, runs, bands), fields).dropDuplicates(["scope", "id"])
+
+    agree = least_agreeing(threshold, miss)
+    pairs = materialize(candidate_pairs(reps, banded, threshold, agree, small, depth), "candidates")
     needed = materialize(
         pairs.select("scope", F.explode(F.array("a", "b")).alias("id")).distinct(), "needed"
     )

@@ -207,6 +207,24 @@ def test_common_shingles_do_not_hide_pairs(spark):
     assert {(r["id_a"], r["id_b"]) for r in near_duplicates.all_pairs(members, pairs).collect()} == brute(texts, 5, 20, 0.8)
 
 
+def test_hot_families_lose_no_pairs(spark):
+    """Passages of one long text: all that a pair shares is shared by many others of its family too."""
+    r = random.Random(11)
+    texts, want = [], set()
+    for family in range(60):
+        base = [f"f{family}w{j}" for j in range(152)]
+        own = []
+        for _ in range(30):
+            at, size = r.randrange(60), r.randrange(55, 152)
+            own.append((len(texts) + len(own), " ".join(base[at : at + size])))
+        texts += own
+        want |= brute(own, 3, 20, 0.6)
+    df = spark.createDataFrame([(0, i, t) for i, t in texts], "scope int, id bigint, text string")
+    members, pairs = near_duplicates.similar(df, "scope", "id", "text", 0.6, 3, 20, small=4)
+    got = {(r["id_a"], r["id_b"]) for r in near_duplicates.all_pairs(members, pairs).collect()}
+    assert len(want) > 5000 and got == want
+
+
 def test_groups_and_large_classes(spark):
     a, b = prose(1, 60), prose(1, 60) + " more"
     texts = [(i, a) for i in range(5)] + [(5, b), (6, prose(2, 60))]
