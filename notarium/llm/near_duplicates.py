@@ -164,8 +164,9 @@ def _sketcher(words: int, min_words: int, threshold: float, runs: float, bands:
                         pa.array(packed[:, 0].copy()),
                         pa.array(packed[:, 1].copy()),
                         lists,
+                        batch["exact"].take(pa.array(own)),
                     ],
-                    names=["scope", "id", "n", "k1", "k2", "s1", "s2", "tokens"],
+                    names=["scope", "id", "n", "k1", "k2", "s1", "s2", "tokens", "exact"],
                 )
 
     return sketch
@@ -279,12 +280,15 @@ def similar(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets and the pairs of similar representatives.
 
-    Returns (members, pairs). members(scope, id, rep, size): every text with at least min_words words, the smallest id of its
-    class and the class size. pairs(scope, a, b, similarity): representatives a < b of Jaccard similarity >= threshold.
+    Returns (members, pairs). members(scope, id, rep, size, exact): every text with at least min_words words, the smallest id of
+    its class, the class size, and a hash of the text itself (of the least one, if an id has several). pairs(scope, a, b, similarity): representatives a < b of Jaccard similarity >= threshold.
     scope_col is a small integer that keeps several tables apart; only ids of one scope are compared.
     """
     texts = df.select(
-        F.col(scope_col).cast("tinyint").alias("scope"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
+        F.col(scope_col).cast("tinyint").alias("scope"),
+        F.col(id_col).alias("id"),
+        F.col(text_col).alias("text"),
+        F.xxhash64(text_col).alias("exact"),
     ).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     # each level and the signature may miss a like part
     miss = (1 - recall) / (depth + 1)
@@ -293,14 +297,14 @@ def similar(
     sketches = materialize(
         spread(texts).mapInArrow(
             _sketcher(words, min_words, threshold, runs),
-            f"scope tinyint, id {id_type}, n int, k1 bigint, k2 bigint, s1 bigint, s2 bigint, tokens array<bigint>",
+            f"scope tinyint, id {id_type}, n int, k1 bigint, k2 bigint, s1 bigint, s2 bigint, tokens array<bigint>, exact bigint",
         ),
         "sketches",
     )
     key = ["scope", "k1", "k2", "n"]
     classes = materialize(
         sketches.groupBy(*key).agg(
-            F.min(F.struct("id", "s1", "s2", "tokens")).alias("rep"), F.count_distinct("id").alias("size")
+            F.min(F.struct("id", "exact", "s1", "s2", "tokens")).alias("rep"), F.count_distinct("id").alias("size")
         ),
         "classes",
     )
@@ -308,8 +312,10 @@ def similar(
     many = classes.where("size > 1").select(*key, F.col("rep.id").alias("rep"), "size")
     members = (
         classes.where("size = 1")
-        .select("scope", "rep.id", F.col("rep.id").alias("rep"), "size")
-        .unionByName(sketches.select(*key, "id").distinct().join(many, key).select("scope", "id", "rep", "size"))
+        .select("scope", "rep.id", F.col("rep.id").alias("rep"), "size", "rep.exact")
+        .unionByName(
+            sketches.groupBy(*key, "id").agg(F.min("exact").alias("exact")).join(many, key).select("scope", "id", "rep", "size", "exact")
+        )
     )
 
     def banded(ids: DataFrame) -> DataFrame:
@@ -340,19 +346,23 @@ def similar(
 def all_pairs(members: DataFrame, pairs: DataFrame, expand: int = 1000) -> DataFrame:
     """(scope, id_a, id_b): pairs of texts, smaller id first, from members and pairs of `similar`.
 
-    Classes of at most `expand` equal texts are expanded. A larger class gives the pairs of its representative with each
-    member, and its links to other classes are those of the representative; with `members` that is the whole result.
+    Classes are expanded in full. Only more than `expand` texts that are equal byte for byte give the pairs of the smallest id
+    with each other one instead, and all their other pairs are those of that id; with `members` that is the whole result.
     """
-    small = members.where((F.col("size") > 1) & (F.col("size") <= expand)).select("scope", "rep", "id")
+    many = members.where(F.col("size") > expand)
+    copies = many.groupBy("scope", "rep", "exact").agg(F.min("id").alias("lead"), F.count("*").alias("copies")).where(F.col("copies") > expand)
+    marked = many.join(copies, ["scope", "rep", "exact"], "left")
+    single = marked.where(F.col("lead").isNull() | (F.col("id") == F.col("lead")))
+    small = members.where((F.col("size") > 1) & (F.col("size") <= expand)).select("scope", "rep", "id").unionByName(
+        single.select("scope", "rep", "id")
+    )
     within = (
         small.alias("l")
         .join(small.alias("r"), ["scope", "rep"])
         .where("l.id < r.id")
         .select("scope", F.col("l.id").alias("x"), F.col("r.id").alias("y"))
     )
-    star = members.where((F.col("size") > expand) & (F.col("id") != F.col("rep"))).select(
-        "scope", F.col("rep").alias("x"), F.col("id").alias("y")
-    )
+    star = marked.where(F.col("id") != F.col("lead")).select("scope", F.col("lead").alias("x"), F.col("id").alias("y"))
     left = small.select("scope", F.col("rep").alias("a"), F.col("id").alias("x"))
     right = small.select("scope", F.col("rep").alias("b"), F.col("id").alias("y"))
     across = (

@@ -238,6 +238,16 @@ def test_groups_and_large_classes(spark):
     assert near_duplicates.all_pairs(*empty).count() == 0 and near_duplicates.groups(*empty).count() == 0
 
 
+def test_only_exact_copies_are_not_expanded(spark):
+    a, b = prose(1, 60), prose(1, 60) + " more"
+    texts = [(0, a), (1, a.upper()), (2, a + "!"), (3, a), (4, a), (5, a), (6, b)]
+    df = spark.createDataFrame([(0, i, t) for i, t in texts], "scope int, id bigint, text string")
+    members, pairs = near_duplicates.similar(df, "scope", "id", "text")
+    got = [(r["id_a"], r["id_b"]) for r in near_duplicates.all_pairs(members, pairs, expand=3).collect()]
+    differing = {(x, y) for x, y in itertools.combinations([0, 1, 2, 6], 2)}
+    assert len(got) == len(set(got)) and set(got) == differing | {(0, 3), (0, 4), (0, 5)}
+
+
 # --- tokenizer ------------------------------------------------------------------------------------
 
 needs_vocabulary = pytest.mark.skipif(not os.path.isdir(tokenizer.TOKENIZER_DIR), reason="no vocabularies here")
