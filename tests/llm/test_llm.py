@@ -344,6 +344,18 @@ def test_lists_and_messages_by_terminality(spark):
     assert truncation.found(df.limit(0)).count() == 0
 
 
+def test_shapes_count_by_their_rate(spark):
+    def intro(seed):
+        return "The " + prose(seed, 30) + ".\n\n"
+
+    asked = [(i, f"{intro(i)}Why does the cheap inbox need 27 {w} maps of the {w} harbour?\nIt does.", "n", 0) for i, w in enumerate(WORDS)]
+    listed = [(100 + i, f"{intro(100 + i)}Why do we keep all the {w} maps\nWe do.", "n", 0) for i, w in enumerate(WORDS[:5])]
+    chats = [(200 + i, f"nope still {w}", "c", 0) for i, w in enumerate(WORDS)]
+    cut = [(300, f"{intro(300)}Why does the cheap inbox need 27 pi", "n", 0)]
+    df = spark.createDataFrame(asked + listed + chats + cut, DOCS)
+    assert [r["doc_id"] for r in truncation.found(df).collect()] == [300]
+
+
 def test_copies_tell_what_endings_do_not(spark):
     long = prose(5, 120) + " and the end."
     words = long.split()
