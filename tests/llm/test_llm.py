@@ -366,6 +366,18 @@ def test_copies_tell_what_endings_do_not(spark):
     assert got[2] == (True, "copy") and got[1] == got[3] == (False, None) and got[4][0] is False
 
 
+def test_every_longer_copy_is_aligned(spark):
+    """In the buckets of each short text stand longer copies with another word before its end; one of middle length aligns."""
+    rows = []
+    for family in range(12):
+        w = prose(500 + family, 230).split()
+        rows.append((100 * family, " ".join(w[:210]), "a", 0))
+        rows.append((100 * family + 1, " ".join(w[:216]), "a", 0))
+        rows += [(100 * family + 2 + i, " ".join([*w[:208], f"edit{i}", *w[209 : 224 + i % 6]]) + ".", "a", 0) for i in range(20)]
+    got = {r["doc_id"]: r["evidence"] for r in truncation.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[100 * family] for family in range(12)] == ["copy"] * 12
+
+
 def test_ends_early():
     long = "one two three four five six seven eight nine ten eleven. Twelve thirteen."
     assert truncation.ends_early("one two three four five six seven eight nine te", long) == "cut"
