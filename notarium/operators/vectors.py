@@ -138,3 +138,30 @@ def pack_batches(docs: DataFrame, max_tokens: int = 12_000, max_items: int = 32,
     return packed.select("source_key", "part", F.explode(F.arrays_zip("items", "numbers")).alias("z")).select(
         "source_key", "z.items.item_no", "z.items.tokens", (F.col("z.numbers") + F.col("part") * block).alias("batch_no")
     )
+
+
+def pack_through(docs: DataFrame, max_tokens: int = 12_000, max_items: int = 32) -> DataFrame:
+    """(source_key, item_no, tokens, batch_no) as of pack_batches, but through the whole source: batches cross the borders of
+    blocks and batch_no counts on from 0 without a break.
+
+    Numbers are shuffled and sorted by source and item, and folded as they stream by, so a source of any size takes one task
+    but no memory.
+    """
+    sized = docs.select("source_key", "item_no", embedding_tokens(F.col("text")).alias("tokens"))
+    rows = sized.repartition("source_key").sortWithinPartitions("source_key", "item_no", "tokens")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, used, count, number = object(), 0, 0, 0
+        for batch in batches:
+            numbers = []
+            for key, tokens in zip(batch["source_key"].to_pylist(), batch["tokens"].to_pylist()):
+                if key != source:
+                    source, used, count, number = key, tokens, 1, 0
+                elif used + tokens > max_tokens or count >= max_items:
+                    used, count, number = tokens, 1, number + 1
+                else:
+                    used, count = used + tokens, count + 1
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "batch_no"])
+
+    return rows.mapInArrow(fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", batch_no bigint")

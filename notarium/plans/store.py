@@ -295,7 +295,7 @@ def bounded_text(spark, folder):
 def embed_batches(spark, folder):
     """Waiting chunks packed into batches of 2000 tokens and 8 chunks."""
     waiting = vectors.pending(chunks_of(spark, folder)).where(F.col("document_id").isNotNull())
-    return vectors.pack_batches(
+    return vectors.pack_through(
         waiting.select(F.col("document_id").alias("source_key"), F.col("chunk_index").alias("item_no"), F.col("text_content").alias("text")), 2000, 8
     )
 

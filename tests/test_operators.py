@@ -286,6 +286,19 @@ def test_incremental_job_is_exactly_once(spark, tmp_path):
     assert job.run(again)[1] == 1 and job.results().count() == 3 and job.run(again) == (None, 0)
 
 
+def test_batches_of_long_sources_follow_the_sql(spark, tmp_path):
+    import duckdb
+    from notarium.plans import store
+
+    rows = [(i, 1 + (i >= 9000), i % 9000, "word " * (1 + i * 7919 % 700), None) for i in range(9100)]
+    fields = "id bigint, document_id bigint, chunk_index int, text_content string, qdrant_point_id string"
+    spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/vq_chunks.parquet")
+    got = sorted(map(tuple, store.embed_batches(spark, str(tmp_path)).collect()))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW vq_chunks AS SELECT * FROM read_parquet('{tmp_path}/vq_chunks.parquet/*.parquet')")
+    assert got == sorted(base.execute(store.SQL["embed_batches"]).fetchall())
+
+
 def test_next_actions(spark):
     t = datetime(2025, 1, 1, 12)
     files = listing(spark, ("new", "aa", t), ("changed", "aa", t), ("retry", "aa", t), ("open", "aa", t), ("done", "SHA256:AA", t), ("dead", "ff", t))
