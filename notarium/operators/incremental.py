@@ -3,7 +3,8 @@
 A manifest lists every processed file with its size and checksum, one partition per batch. A run anti-joins the listing
 against the committed manifest, writes its output under the batch's own identifier (overwriting what a broken run of the same
 batch left), and commits the manifest last, by a rename. A batch's identifier is a hash of what it is to process, so a run
-that is repeated after a failure finds the same batch and replaces it; a committed batch leaves nothing to do.
+that is repeated after a failure finds the same batch and replaces it; a committed batch leaves nothing to do. Committed batches
+are numbered, the number is part of the identifier, and of a file the row of the last batch holds.
 
 Files without collection or path are left out. A null time counts as the earliest, a null checksum differs from every known
 one and equals another null. Repeated sightings count once: the greatest time, then the greatest listing id. Empty tables give
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-MANIFEST = "collection_id bigint, rel_path string, checksum string, file_size bigint, batch_id string"
+MANIFEST = "collection_id bigint, rel_path string, checksum string, file_size bigint, batch_id string, batch_no bigint"
 
 
 def checksum(value: Column) -> Column:
@@ -117,17 +118,27 @@ class IncrementalJob:
         self.spark, self.work = spark, work
         self.output, self.manifest_dir = f"{folder}/output", f"{folder}/manifest"
 
-    def manifest(self) -> DataFrame:
-        """The committed manifest; the last batch of a file holds."""
+    def _committed(self) -> DataFrame:
+        """Manifest rows of all committed batches; those written before batches had numbers come first."""
         try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.manifest_dir}/batch_id=*/")
+            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.manifest_dir}/batch_id=*/")
         except AnalysisException:
-            return self.spark.createDataFrame([], MANIFEST)
+            rows = self.spark.createDataFrame([], MANIFEST)
+        return rows.withColumn("batch_no", F.coalesce("batch_no", F.lit(0)))
+
+    def manifest(self) -> DataFrame:
+        """The committed manifest; the last batch of a file holds."""
+        row = F.struct("batch_no", "batch_id", "checksum", "file_size")
+        last = self._committed().groupBy("collection_id", "rel_path").agg(F.max(row).alias("row"))
+        return last.select("collection_id", "rel_path", "row.checksum", "row.file_size", "row.batch_id", "row.batch_no")
 
     def results(self) -> DataFrame:
-        """Output rows of committed batches."""
-        done = self.manifest().select("batch_id").distinct()
-        return self.spark.read.option("basePath", self.output).parquet(self.output).join(done, "batch_id", "left_semi")
+        """Output rows of committed batches; of an output with collection_id and rel_path only those of a file's last batch."""
+        rows = self.spark.read.option("basePath", self.output).parquet(self.output)
+        file = ["collection_id", "rel_path"]
+        if set(file) <= set(rows.columns):
+            return rows.join(self.manifest().select(*file, "batch_id"), [*file, "batch_id"], "left_semi")
+        return rows.join(self._committed().select("batch_id").distinct(), "batch_id", "left_semi")
 
     def run(self, listing: DataFrame) -> tuple[str | None, int]:
         """Process what is pending; (batch id, files), or (None, 0) if nothing is."""
@@ -137,14 +148,15 @@ class IncrementalJob:
         ).first()
         if not row["n"]:
             return None, 0
-        batch = f"{row['n']}-{abs(int(row['h'])):x}"
+        number = self._committed().agg(F.coalesce(F.max("batch_no"), F.lit(0))).first()[0] + 1
+        batch = f"{number}-{row['n']}-{abs(int(row['h'])):x}"
         self.work(pending).write.mode("overwrite").parquet(f"{self.output}/batch_id={batch}")
-        self._commit(pending, batch)
+        self._commit(pending, batch, number)
         return batch, row["n"]
 
-    def _commit(self, pending: DataFrame, batch: str) -> None:
+    def _commit(self, pending: DataFrame, batch: str, number: int) -> None:
         staged, final = f"{self.manifest_dir}/_staged-{batch}", f"{self.manifest_dir}/batch_id={batch}"
-        pending.select("collection_id", "rel_path", "checksum", "file_size", F.lit(batch).alias("batch_id")).write.mode(
+        pending.select("collection_id", "rel_path", "checksum", "file_size", F.lit(batch).alias("batch_id"), F.lit(number).cast("bigint").alias("batch_no")).write.mode(
             "overwrite"
         ).parquet(staged)
         jvm = self.spark.sparkContext._jvm

@@ -286,6 +286,14 @@ def test_incremental_job_is_exactly_once(spark, tmp_path):
     assert job.run(again)[1] == 1 and job.results().count() == 3 and job.run(again) == (None, 0)
 
 
+def test_a_file_that_changes_back_is_processed_again(spark, tmp_path):
+    job = incremental.IncrementalJob(spark, str(tmp_path), lambda batch: batch.select("collection_id", "rel_path", "checksum"))
+    for day, hashed in enumerate(["aa", "bb", "aa"], 1):
+        files = listing(spark, ("a", hashed, datetime(2025, 1, day)), ("same", "cc", datetime(2025, 1, 1)))
+        assert job.run(files)[1] == (2 if day == 1 else 1) and job.run(files) == (None, 0)
+        assert sorted((r["rel_path"], r["checksum"]) for r in job.results().collect()) == [("a", hashed), ("same", "cc")]
+
+
 def test_batches_of_long_sources_follow_the_sql(spark, tmp_path):
     import duckdb
     from notarium.plans import store
