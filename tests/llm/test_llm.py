@@ -326,7 +326,8 @@ def test_mix(spark):
     ],
 )
 def test_closings(text, want):
-    assert truncation.closing(text)[0] == want
+    learnt = frozenset(["[truncated, 0 more characters]", "[message clipped]", "(continued in the next message)"])
+    assert truncation.closing(text, learnt)[0] == want
 
 
 DOCS = "doc_id bigint, text string, source string, cut int"
@@ -378,6 +379,72 @@ def test_every_longer_copy_is_aligned(spark):
     assert [got[100 * family] for family in range(12)] == ["copy"] * 12
 
 
+def test_cut_copies_of_any_length_are_aligned(spark):
+    """Copies cut to a part of their text, two in a hundred words of which were edited, end as whole list items do."""
+    rows, want, r = [], {}, random.Random(9)
+    for family in range(40):
+        w = prose(900 + family, 200).split()
+        rows.append((10 * family, " ".join(w) + ".", "a", 0))
+        for at, share in enumerate([0.3, 0.5, 0.7, 0.9], 1):
+            own = [f"edit{i}" if i % 50 == 20 and i < 200 * share - 10 else x for i, x in enumerate(w)]
+            rows.append((10 * family + at, " ".join(own[: int(200 * share)]), "a", 0))
+    got = {r["doc_id"]: r["evidence"] for r in truncation.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    cut = [i for i in got if i % 10]
+    assert sum(got[i] == "copy" for i in cut) >= 0.98 * len(cut) and not any(got[i] for i in got if i % 10 == 0)
+
+
+def test_large_buckets_lose_no_copy(spark):
+    """One family with one beginning: every text meets its longer copy, also behind the probes."""
+    head, rows = prose(77, 60), []
+    for i in range(30):
+        tail = prose(2000 + i, 40).split()
+        rows.append((2 * i, f"{head} {' '.join(tail)}.", "a", 0))
+        rows.append((2 * i + 1, f"{head} {' '.join(tail[:30])}", "a", 0))
+    df = spark.createDataFrame(rows, DOCS).withColumn("length", F.length("text"))
+    fields = "doc_id bigint, source string, length int, k1 bigint, k2 bigint, verdict string, kind string, word string, phrase string, verdict2 string, kind2 string, word2 string, own int, asked array<bigint>, answers array<bigint>, counts array<struct<kind:string,word:string,n:bigint,e:bigint>>"
+    read = df.select("doc_id", "source", "text", "length").mapInArrow(truncation._reader(truncation.band_count()), fields)
+    bodies = df.select("text").mapInArrow(truncation._keyed, "k1 bigint, k2 bigint, text string").select(F.struct("k1", "k2").alias("id"), "text")
+    want = {tuple(r) for r in read.where("doc_id % 2 = 1").select("k1", "k2").collect()}
+    for bucket, probes in ((4096, 16), (4, 1), (4, 2)):
+        got = {tuple(r["id"]) for r in truncation.copies_of(read, bodies, bucket, probes).where("copy_cut").collect()}
+        assert got == want
+
+
+def test_bands_reach_their_recall():
+    """Beginnings of which one holds 0.8 of the other's shingles meet with the chance asked for."""
+    import pyarrow as pa
+
+    r, met, tried = random.Random(3), 0, 300
+    for i in range(tried):
+        base = [f"w{i}x{j}" for j in range(260)]
+        other = list(base)
+        while len({tuple(base[k : k + 5]) for k in range(124)} & {tuple(other[k : k + 5]) for k in range(256)}) > 0.82 * 124:
+            other[r.randrange(128)] = f"e{r.random()}"
+        batch = pa.RecordBatch.from_arrays([pa.array([" ".join(base[:128]), " ".join(other)])], names=["text"])
+        _, keys, owners = truncation.beginnings(batch, truncation.band_count())
+        own, theirs = ([k for k, o in zip(keys, owners) if o == t] for t in (0, 1))
+        met += bool(set(own[-1]) & {x for k in theirs for x in k})
+    assert met >= 0.97 * tried
+
+
+def test_whole_lists_of_ordinary_words_are_whole(spark):
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = []
+        for i in range(100):
+            items = [" ".join(r.choice(WORDS) for _ in range(r.randrange(2, 6))) for _ in range(r.randrange(3, 9))]
+            rows.append((i, "Things to do today are these.\n\n" + "\n".join(f"- {x}" for x in items), "n", 0))
+        assert truncation.found(spark.createDataFrame(rows, DOCS)).count() == 0
+
+
+def test_cut_markers_are_learnt(spark):
+    cut = [(i, f"Der Weg zum alten Hafen war länger als gedacht, und nach der zweiten Brücke im Tal fand {prose(i, 6)} wied [Nachricht gekürzt, {i} Zeichen]", "m", 0) for i in range(12)]
+    whole = [(100 + i, f"Der Weg zum Hafen {prose(i, 5)} war lang. [Nachtrag {i}]", "m", 0) for i in range(12)]
+    short = [(200, "{ bald [Nachricht gekürzt, 7 Zeichen]", "m", 0)]
+    got = {r["doc_id"]: r["cut"] for r in truncation.judge(spark.createDataFrame(cut + whole + short, DOCS)).collect()}
+    assert all(got[i] for i in range(12)) and got[200] and not any(got[100 + i] for i in range(12))
+
+
 def test_ends_early():
     long = "one two three four five six seven eight nine ten eleven. Twelve thirteen."
     assert truncation.ends_early("one two three four five six seven eight nine te", long) == "cut"
