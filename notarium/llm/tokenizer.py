@@ -6,12 +6,15 @@ and merges, step by step, the adjacent pair of least rank. Ranks come from a lit
 split into buckets by CRC-32, as a map lookup is a linear search. The vocabulary has a fixed size, so the literal does not
 grow with the data.
 
-Shuffles: words that are no entries (with document and place) by word, and one row per document plus one per folded word by
-document. The words are salted, so that a frequent word does not meet in one task. Texts themselves are never shuffled.
+Texts of known words only leave before any shuffle. Of the others the ids of known words are shuffled once as plain lists with
+holes, and the folded words by the text they belong to. Words with a 1 / HOT share of all folded ones are at most HOT
+in number and are broadcast; all others are joined by a shuffle, in which none of them is hot. Texts are never shuffled.
 
 Null and empty texts give an empty list. Null ids are kept as a key of their own. Rows that occur several times come out as
 often. Other columns of the input are ignored. Strings that look like special tokens are ordinary text. A word of n bytes
-costs n steps of native array copies of length n; there is no limit on its length.
+costs n steps of native array copies of length n; words above LONG bytes are cut first wherever two neighbouring bytes are
+together in no token at all, which no merge can cross, so the result stays exact and the pieces short. Only a long run that
+is all made of such byte pairs (one letter, say) keeps the quadratic cost; there is no limit on its length.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ TOKENIZER_DIR = "/opt/tokenizers"
 #: The fixed pattern that goes with the byte_bpe_50k ranks; (?U) lets \\s cover all white space, as the vocabulary's own splitter does.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 8192
-#: Copies of each dictionary row, so that a frequent word spreads over as many tasks.
-SALTS = 8
+#: Folded words whose share of all occurrences is at least 1 / HOT are broadcast.
+HOT = 10_000
+#: Bytes of a word from which it is cut where no token can lie.
+LONG = 48
 NO_RANK = 2**31 - 1
 
 
@@ -51,6 +56,33 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
+def word_literal(ranks: dict[bytes, int]) -> Column:
+    """The tokens that are whole texts, as one constant like rank_literal, keyed by the text itself."""
+    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for token, rank in ranks.items():
+        try:
+            buckets[zlib.crc32(token) % BUCKETS][token.decode()] = rank
+        except UnicodeDecodeError:
+            continue  # no text has these bytes as a word
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+
+
+def seam_pattern(ranks: dict[bytes, int]) -> str:
+    """Pattern of the places between two bytes (as Latin-1 characters) that are neighbours in no token."""
+    after: dict[int, set[int]] = {}
+    for token in ranks:
+        for one, two in zip(token, token[1:]):
+            after.setdefault(one, set()).add(two)
+    follow: dict[frozenset[int], list[int]] = {}
+    for one in range(256):
+        follow.setdefault(frozenset(after.get(one, ())), []).append(one)
+
+    def chars(codes) -> str:
+        return "".join(f"\\x{c:02x}" for c in sorted(codes))
+
+    return "|".join(f"(?<=[{chars(ones)}])(?=[^{chars(twos)}])" if twos else f"(?<=[{chars(ones)}])(?=[\\x00-\\xff])" for twos, ones in follow.items())
+
+
 def _rank(ranks: Column, token: Column) -> Column:
     return F.try_element_at(F.get(ranks, F.pmod(F.crc32(token.cast("binary")), F.lit(BUCKETS)).cast("int")), token)
 
@@ -118,58 +150,70 @@ def encode(
     folder: str = TOKENIZER_DIR,
 ) -> DataFrame:
     """(id_col, ids array<int>): one row per row of df."""
-    ranks = rank_literal(read_ranks(name, folder))
+    tokens = read_ranks(name, folder)
+    ranks = rank_literal(tokens)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    latin = F.transform(words, lambda w: F.decode(w.cast("binary"), "ISO-8859-1"))
-    looked_up = _with(
-        ranks,
-        lambda r: F.transform(latin, lambda w, i: F.struct(i.alias("pos"), _rank(r, w).alias("id"), w.alias("word"))),
-    )
+
+    def lookup(r: Column) -> Column:
+        return _with(words, lambda own: F.struct(own.alias("words"), F.transform(own, lambda w: _rank(r, w)).alias("ids")))
+
+    def unknown(found: Column) -> Column:
+        return F.filter(
+            F.transform(found["words"], lambda w, i: F.when(F.get(found["ids"], i).isNull(), F.struct(i.alias("pos"), w.alias("word")))),
+            lambda x: x.isNotNull(),
+        )
+
+    looked_up = _with(word_literal(tokens), lambda r: _with(lookup(r), lambda found: F.struct(found["ids"].alias("ids"), unknown(found).alias("other"))))
     rows = materialize(
         spread(df.select(id_col, text_col))
-        .select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), looked_up.alias("words"))
-        .select(
-            "id",
-            "key",
-            F.transform(
-                F.filter("words", lambda w: w["id"].isNotNull()),
-                lambda w: F.struct(w["pos"].alias("pos"), F.array(w["id"]).alias("ids")),
-            ).alias("known"),
-            F.transform(
-                F.filter("words", lambda w: w["id"].isNull()),
-                lambda w: F.struct(w["pos"].alias("pos"), w["word"].alias("word")),
-            ).alias("other"),
-        ),
+        .select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), looked_up.alias("r"))
+        .select("row", "id", "r.ids", "r.other"),
         "words",
     )
-    other = rows.select("id", "key", F.explode("other").alias("o")).select("id", "key", "o.pos", "o.word")
-    folded = (
-        other.select("word")
-        .distinct()
-        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes but much work
-        .select("word", _with(ranks, lambda r: fold_word(r, F.col("word"))).alias("ids"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
+    other = rows.select("row", F.explode("other").alias("o")).select("row", "o.pos", "o.word")
+    # few bytes but much work: folding is spread over all tasks
+    distinct = other.groupBy("word").agg(F.count("*").alias("n")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    latin = F.decode(F.col("word").cast("binary"), "ISO-8859-1")
+    seams = seam_pattern(tokens)
+
+    def fold(r: Column) -> Column:
+        pieces = _with(latin, lambda w: F.when(F.length(w) > LONG, F.split(w, seams)).otherwise(F.array(w)))
+        return F.flatten(F.transform(pieces, lambda piece: fold_word(r, piece)))
+
+    folded = materialize(distinct.select("word", "n", _with(ranks, fold).alias("ids")), "folded")
+    total = folded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * HOT >= total
+    tagged = other.join(F.broadcast(folded.where(hot).select("word", "ids")), "word", "left")
     found = (
-        other.withColumn("salt", F.pmod(F.hash("id", "pos"), F.lit(SALTS)))
-        .join(folded, ["word", "salt"])
-        .select("id", "key", F.array(F.struct("pos", "ids")).alias("parts"), F.lit(0).alias("n"))
-    )
-    parts = rows.select("id", "key", F.col("known").alias("parts"), F.lit(1).alias("n")).unionByName(found)
-    whole = parts.groupBy("id", "key").agg(
-        F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"), F.sum("n").alias("n")
-    )
-    # rows that occur several times bring the same places several times
-    once = _with(
-        F.col("parts"),
-        lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["pos"] != x["pos"])),
+        tagged.where(F.col("ids").isNotNull())
+        .select("row", "pos", "ids")
+        .unionByName(tagged.where(F.col("ids").isNull()).drop("ids").join(folded.where(~hot).select("word", "ids"), "word").select("row", "pos", "ids"))
     )
-    ids = F.flatten(F.transform(once, lambda p: p["ids"]))
-    return whole.select(
-        F.col("id").alias(id_col),
-        F.explode(F.array_repeat(ids, F.col("n").cast("int"))).alias("ids"),
+    holed = F.size("other") > 0
+    both = (
+        rows.where(holed)
+        .select("row", F.struct("id", "ids").alias("own"), F.lit(None).cast("struct<pos:int,ids:array<int>>").alias("part"))
+        .unionByName(found.select("row", F.lit(None).cast(f"struct<id:{dict(rows.dtypes)['id']},ids:array<int>>").alias("own"), F.struct("pos", "ids").alias("part")))
     )
+    whole = both.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), F.collect_list("part").alias("parts"))
+    filled = _with(F.transform(F.sort_array("parts"), lambda p: p["ids"]), lambda parts: _fill(F.col("own.ids"), parts))
+    return rows.where(~holed).select(F.col("id").alias(id_col), "ids").unionByName(whole.select(F.col("own.id").alias(id_col), filled.alias("ids")))
+
+
+def _fill(ids: Column, parts: Column) -> Column:
+    """ids, whose null places are replaced by the parts in turn."""
+    holes = F.filter(F.transform(ids, lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
+
+    def run(found: Column) -> Column:
+        def between(hole: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(found, k), F.size(ids))
+            return F.slice(ids, hole + 2, end - hole - 1)
+
+        runs = F.transform(F.concat(F.array(F.lit(-1)), found), between)
+        return F.flatten(F.zip_with(runs, parts, lambda a, b: F.concat(a, F.coalesce(b, F.array().cast("array<int>")))))
+
+    return _with(holes, run)
 
 
 def decode_ids(

@@ -270,6 +270,20 @@ def test_ids_equal_the_public_tokenizer(spark):
     assert tokenizer.encode(df.limit(0)).count() == 0
 
 
+@needs_vocabulary
+def test_long_words_are_folded_exactly(spark):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(os.path.join(tokenizer.TOKENIZER_DIR, "byte_bpe_50k.json"))
+    r = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(r.choice(letters) for _ in range(100_000)), "".join(chr(r.randrange(0x3041, 0x3097)) for _ in range(3000)), "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(3000)), "=" * 300]
+    texts += ["".join(r.choice("etaoinshrdlu") for _ in range(n)) for n in (47, 48, 49, 50, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x["doc_id"]: x["ids"] for x in tokenizer.encode(df).collect()}
+    assert got == {i: coder.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 @needs_vocabulary
 def test_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
