@@ -89,6 +89,23 @@ def test_leaders_and_ranking(spark):
     assert rank_fusion.ranking(df.limit(0)).count() == 0
 
 
+def test_wide_queries_agree_with_narrow_ones(spark):
+    r = random.Random(8)
+    data = [
+        (i, i % 3, f"p{r.randrange(60)}", *[r.choice([None, float("nan"), float(r.randrange(9)), r.random()]) for _ in range(5)], datetime(2025, 1, 1 + i % 9), "")
+        for i in range(400)
+    ]
+    data += [(1000 + q, q, "best", 10.0, 10.0, 10.0, 10.0, None, datetime(2026, 1, 1), "") for q in range(3)]
+    df = spark.createDataFrame(data, HITS)
+    for run in (rank_fusion.ranking, rank_fusion.leaders):
+        narrow, wide = (sorted(map(tuple, run(df, wide=w).collect())) for w in (10_000, 0))
+        assert narrow == wide and narrow
+    columns = ["query_id", "point_id", "present", "firsts", "upper", "significance"]
+    found = rank_fusion.aggregate(df).select(*columns)
+    exact = found.where("present >= 4 AND firsts >= 3 AND upper = present").select("query_id", "point_id")
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, rank_fusion.leaders(df).collect()))
+
+
 def test_significance_is_the_binomial_tail(spark):
     from math import comb
 
