@@ -38,7 +38,7 @@ def latest_hits(hits: DataFrame, scores: tuple[str, ...] = SCORES) -> DataFrame:
 def significance(ranks: Column) -> Column:
     """Corrected minimum of the order statistics' chances for an array of normalised ranks; 1 for an empty array.
 
-    At most len(SCORES) ranks are expected.
+    At most len(SCORES) ranks are expected. The array is sorted once, and its values are bound once.
     """
 
     def tail(r: Column, k: int, m: int) -> Column:
@@ -47,12 +47,15 @@ def significance(ranks: Column) -> Column:
             total = total + F.lit(float(comb(m, i))) * F.pow(r, F.lit(float(i))) * F.pow(1 - r, F.lit(float(m - i)))
         return total
 
-    ordered = F.array_sort(ranks)
-    result = F.lit(1.0)
-    for m in range(1, len(SCORES) + 1):
-        least = F.array_min(F.array(*[tail(F.get(ordered, k - 1), k, m) for k in range(1, m + 1)]))
-        result = F.when(F.size(ranks) == m, F.least(least * m, F.lit(1.0))).otherwise(result)
-    return result
+    def least(ordered: Column) -> Column:
+        result = F.lit(1.0)
+        for m in range(1, len(SCORES) + 1):
+            chances = [tail(F.get(ordered, F.lit(k - 1)), k, m) for k in range(1, m + 1)]
+            own = chances[0] if m == 1 else F.least(*chances)
+            result = F.when(F.size(ordered) == m, F.least(own * m, F.lit(1.0))).otherwise(result)
+        return result
+
+    return F.get(F.transform(F.array(F.sort_array(ranks)), least), F.lit(0))
 
 
 def _evidence(ranked: list[Column], rows: DataFrame) -> DataFrame:
@@ -140,9 +143,12 @@ def ranking(hits: DataFrame, scores: tuple[str, ...] = SCORES, wide: int = WIDE_
 def leaders(hits: DataFrame, scores: tuple[str, ...] = SCORES, wide: int = WIDE_GROUP) -> DataFrame:
     """(query_id, point_id): hits with at least four scores, alone first in at least three, in the upper half in all."""
     found = aggregate(hits, scores, wide)
-    least = F.array_min("totals")
-    half = F.array_max(F.transform("totals", lambda n: F.ceil(n / 2) / n))
-    at_worst = F.transform("totals", lambda n, i: F.when(i < 3, 1 / least).otherwise(half))
-    candidates = found.where((F.col("present") >= 4) & (F.col("significance") <= significance(at_worst) + 1e-9))
+
+    def at_worst(totals: Column) -> Column:
+        half = F.array_max(F.transform(totals, lambda n: F.ceil(n / 2) / n))
+        return F.concat(F.array_repeat(1 / F.array_min(totals), 3), F.array_repeat(half, F.size(totals) - 3))
+
+    bound = F.get(F.transform(F.array(F.col("totals")), lambda totals: significance(at_worst(totals))), F.lit(0))
+    candidates = found.where((F.col("present") >= 4) & (F.col("significance") <= bound + 1e-9))
     exact = (F.col("firsts") >= 3) & (F.col("upper") == F.col("present"))
     return candidates.where(exact).select("query_id", "point_id")
