@@ -5,10 +5,19 @@ their content as it is; everything else is stripped of markup by family, while h
 formulas stay visible in one plain form. Characters that only look like markup (a == b, 3 > 0, $4 to $83, C:\\31, a[9],
 #tags) stay.
 
-What is left of page chrome goes by line-block distribution: text lengths are summed over sliding windows of lines; where the
-sum surges past a threshold a block of text begins, and it ends where the sum dives to nothing. Lines outside all blocks are
-dropped. The threshold follows the record itself (a share of its densest window), lines with structure count as text, and
-only records with HTML are cut in this way, as chrome comes with pages.
+Both results come from line-block distributions: lengths per line are summed over sliding windows of lines, and a block lies
+between the line where the sum surges and the line where it dives.
+
+* Markup. The characters that stripping takes away are summed per family and line; a block of residue is where the sum of a
+  family rises from nothing and falls to nothing again. A record has the families of which it has a block.
+* Text. What is left after stripping is summed per line, the text of links left out. A block of text surges where the sum
+  passes a threshold (a share of the record's densest window) and dives where it falls to a quarter of it. The record's
+  content reaches from its first surge to its last dive; headings that stand right before it belong to it. Lines outside are
+  page chrome and are dropped, and so are runs of lines inside that hold links only. Only pages (records with HTML blocks) lose
+  lines, as chrome comes with pages; in other notes short lines are headings, lists and tables, which must stay.
+
+A formula ends at its closing mark; an unclosed mark, or one that is closed only behind a blank line, is no formula. Formulas of any
+length are kept.
 
 Row by row, in Arrow batches, without a shuffle. Null and empty texts give null or empty text and no family. Very long texts
 are handled in whole. Repeated rows give repeated results; extra columns are ignored.
@@ -16,6 +25,7 @@ are handled in whole. Repeated rows give repeated results; extra columns are ign
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -49,12 +59,14 @@ _REGION = re.compile(
     r"|(?P<raw><(?P<rawname>script|style)(?=[\s>])[^<>]*>.*?(?:</(?P=rawname)\s*>|\Z))"
     r"|(?P<comment><!--.*?(?:-->|\Z))"
     r"|(?P<code>(?P<ticks>(?<!`)`+)(?!`)(?:[^\n]|\n(?!\s*\n))+?(?<!`)(?P=ticks)(?!`))"
-    r"|(?P<math>\$\$.{1,5000}?\$\$|\\\[.{1,5000}?\\\]|\\\(.{1,5000}?\\\)"
-    r"|\\begin\{(?P<env>equation|align|gather|multline|displaymath|math|eqnarray)(?P<star>\*?)\}.*?\\end\{(?P=env)(?P=star)\}"
-    r"|(?<![\\$\w])\$(?![\s$])(?:[^$\n\\]|\\.)+?(?<!\s)\$(?![\d$]))",
+    r"|(?P<math>(?<![\\$\w])\$(?![\s$])(?:[^$\n\\]|\\.)+?(?<!\s)\$(?![\d$]))",
     re.S | re.I,
 )
 _TRIGGER = re.compile(r"[<`$\\]")
+#: Marks around a formula, and its environments.
+_FORMULA = {"$$": "$$", "\\[": "\\]", "\\(": "\\)"}
+_ENVIRONMENT = re.compile(r"\\begin(\{(?:equation|align|gather|multline|displaymath|math|eqnarray)\*?\})")
+_BLANK_LINE = re.compile(r"\n[ \t]*\n")
 _COMMAND = re.compile(r"(?<![A-Za-z]:)(?<!\\)\\(?:[A-Za-z]+\*?|[%&$#_{}]|\\|['`^\"~=.](?:\{|(?=[A-Za-z])))")
 
 _HEADING = re.compile(r"(?m)^ {0,3}#{1,6}[ \t]+\S")
@@ -97,6 +109,33 @@ def _fences(text: str) -> list[tuple[int, int, int, int]]:
     return found
 
 
+def _formula_end(text: str, at: int, gone: set[str], blank: list[int]) -> int:
+    """End of the formula that begins at a place, -1 if none does.
+
+    gone collects closing marks that do not come again, blank holds the next blank line; so a text is read once.
+    """
+    mark = text[at : at + 2]
+    close, inner = _FORMULA.get(mark), at + 2
+    if close is None:
+        m = _ENVIRONMENT.match(text, at) if mark == "\\b" else None
+        if not m:
+            return -1
+        close, inner = "\\end" + m[1], m.end()
+    if close in gone:
+        return -1
+    end = text.find(close, inner + (mark in _FORMULA))
+    if end < 0:
+        gone.add(close)
+        return -1
+    if mark in _FORMULA:
+        if blank[0] < inner:
+            m = _BLANK_LINE.search(text, inner)
+            blank[0] = m.start() if m else len(text)
+        if blank[0] < end:
+            return -1
+    return end + len(close)
+
+
 def regions(text: str) -> tuple[str, list[tuple[str, str]]]:
     """The text with each region replaced by \\x00number\\x00, and (kind, content) of the regions."""
     kept: list[tuple[str, str]] = []
@@ -120,57 +159,81 @@ def regions(text: str) -> tuple[str, list[tuple[str, str]]]:
     rest = "".join(parts)
     # each region begins with one of four characters; only there the pattern is tried
     parts, at = [], 0
+    gone: set[str] = set()
+    blank = [-1]
     for trigger in _TRIGGER.finditer(rest):
-        if trigger.start() >= at and (m := _REGION.match(rest, trigger.start())):
-            parts.append(rest[at : m.start()])
+        begin = trigger.start()
+        if begin < at:
+            continue
+        end = _formula_end(rest, begin, gone, blank) if trigger[0] in "$\\" else -1
+        if end >= 0:
+            parts.append(rest[at:begin])
+            parts.append(hide("math", rest[begin:end]))
+            at = end
+        elif m := _REGION.match(rest, begin):
+            parts.append(rest[at:begin])
             parts.append(hide(next(k for k in ("pre", "raw", "comment", "code", "math") if m[k] is not None), m[0]))
             at = m.end()
     rest = "".join([*parts, rest[at:]])
     return rest, kept
 
 
-def families(text: str, rest: str, kept: list[tuple[str, str]]) -> list[str]:
-    """Families of markup in a text, given its regions."""
-    kinds = {kind for kind, _ in kept}
-    found = set()
-    if kinds & {"fence", "code"}:
-        found.add("markdown")
-    if kinds & {"pre", "raw", "comment"}:
-        found.add("html")
-    if "math" in kinds:
-        found.add("latex")
-    if "latex" not in found and "\\" in rest and _COMMAND.search(rest):
-        found.add("latex")
-    if "html" not in found and (
-        ("<" in rest and (_TAG.search(rest) or _DECLARATION.search(rest))) or ("&" in rest and _ENTITY.search(rest))
-    ):
-        found.add("html")
-    if (
-        ("[[" in rest and _WIKILINK.search(rest))
-        or ("{{" in rest and _TEMPLATE.search(rest))
-        or ("''" in rest and _QUOTES.search(rest))
-        or ("=" in rest and _EQUALS.search(rest))
-        or ("{|" in rest and _WIKITABLE.search(rest))
-        or ("|}" in rest and _WIKIEND.search(rest))
-    ):
-        found.add("wiki")
-    if "markdown" not in found and (
-        ("#" in rest and _HEADING.search(rest))
-        or _LIST.search(rest)
-        or (">" in rest and _QUOTE.search(rest))
-        or ("[" in rest and (_LINK.search(rest) or _IMAGE.search(rest) or _NOTE.search(rest) or _DEFINED.search(rest)))
-        or (("*" in rest or "_" in rest) and _STRONG.search(rest))
-        or ("~~" in rest and _STRIKE.search(rest))
-        or ("--" in rest and _GRID.search(rest))
-        or (("\n==" in rest or "\n--" in rest) and _SETEXT.search(rest))
-        or ("<" in rest and _AUTO.search(rest))
-    ):
-        found.add("markdown")
-    return [f for f in FAMILIES if f in found]
+#: Patterns of what stripping takes away, by family; a pattern is tried only where its characters occur.
+_RESIDUE = {
+    "latex": (("\\", _COMMAND),),
+    "html": (("<", _TAG), ("<", _DECLARATION), ("&", _ENTITY)),
+    "wiki": (("[[", _WIKILINK), ("{{", _TEMPLATE), ("''", _QUOTES), ("=", _EQUALS), ("{|", _WIKITABLE), ("|}", _WIKIEND)),
+    "markdown": (
+        ("#", _HEADING), ("", _LIST), (">", _QUOTE), ("](", _LINK), ("][", _LINK), ("![", _IMAGE), ("[^", _NOTE), ("]:", _DEFINED), ("*", _STRONG), ("_", _STRONG),
+        ("~~", _STRIKE), ("--", _GRID), ("\n==", _SETEXT), ("\n--", _SETEXT), ("<", _AUTO),
+    ),
+}
+#: Family of the marks around a region.
+_REGION_FAMILY = {"fence": "markdown", "code": "markdown", "pre": "html", "raw": "html", "comment": "html", "math": "latex"}
+_HIDDEN = re.compile(r"\x00(\d+)\x00")
+
+
+def residue_lengths(rest: str, kept: list[tuple[str, str]]) -> dict[str, list[tuple[int, int]]]:
+    """Per family the (line, characters of markup) of a text's lines that have any, in order."""
+    spans: dict[str, list[tuple[int, int]]] = {f: [] for f in FAMILIES}
+    for m in _HIDDEN.finditer(rest) if kept else ():
+        if family := _REGION_FAMILY.get(kept[int(m[1])][0]):
+            spans[family].append((m.start(), 1))
+    for family, patterns in _RESIDUE.items():
+        done = set()
+        for needle, pattern in patterns:
+            if needle in rest and pattern not in done:
+                done.add(pattern)
+                spans[family] += [(m.start(), max(1, m.end() - m.start())) for m in pattern.finditer(rest)]
+    breaks = [m.start() for m in re.finditer("\n", rest)] if any(spans.values()) else []
+    lines: dict[str, list[tuple[int, int]]] = {}
+    for family, own in spans.items():
+        sums: dict[int, int] = {}
+        for begin, size in own:
+            line = bisect.bisect_left(breaks, begin)
+            sums[line] = sums.get(line, 0) + size
+        lines[family] = sorted(sums.items())
+    return lines
+
+
+def residue_blocks(lengths: list[tuple[int, int]], width: int = 3) -> list[tuple[int, int, int]]:
+    """(first line, last line, characters) of the blocks of one family's markup, by the line-block distribution.
+
+    The window sum surges at a line with markup after a window without, and dives where a whole window holds none again.
+    """
+    blocks: list[tuple[int, int, int]] = []
+    for line, size in lengths:
+        if blocks and line - blocks[-1][1] <= width:
+            blocks[-1] = (blocks[-1][0], line, blocks[-1][2] + size)
+        else:
+            blocks.append((line, line, size))
+    return blocks
 
 
 _H = re.compile(r"<h([1-6])(?=[\s>])[^<>]*>(.*?)</h\1\s*>", re.I | re.S)
-_ITEM = re.compile(r"[ \t]*<li(?=[\s>])[^<>]*>\s*", re.I)
+_ITEM = re.compile(r"\s*<li(?=[\s>])[^<>]*>\s*", re.I)
+_ANCHOR = re.compile(r"<a(?=[\s>])[^<>]*>([^<>]*)</a\s*>", re.I)
+_PAGE = re.compile(r"<(?:html|body|nav|header|footer|main|article|section|aside|div|p|ul|ol|table|h[1-6])(?=[\s/>])", re.I)
 _CELL = re.compile(r"</t[dh]\s*>\s*(?=<t[dh])", re.I)
 _BREAK = re.compile(r"<br\s*/?>|</?(?:p|div|tr|table|ul|ol|section|article|blockquote|details|summary|header|footer|nav)(?=[\s/>])[^<>]*>", re.I)
 _TITLE = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}")
@@ -183,6 +246,24 @@ _BARE = re.compile(r"\\(?:ldots|dots)\b")
 _WORDLESS = re.compile(r"(?<![A-Za-z]:)\\[A-Za-z]+\*?[ \t]?")
 
 
+def _together(text: str) -> str:
+    """The text without blank lines between two rows of a table."""
+    if "\t" not in text:
+        return text
+    out: list[str] = []
+    for line in text.split("\n"):
+        if "\t" in line.strip():
+            while len(out) > 1 and not out[-1].strip():
+                at = len(out) - 1
+                while at and not out[at].strip():
+                    at -= 1
+                if "\t" not in out[at].strip():
+                    break
+                del out[at + 1 :]
+        out.append(line)
+    return "\n".join(out)
+
+
 def _plain_line_markup(text: str) -> str:
     """Markup of all families but code and formulas, replaced by plain text."""
     if "{|" in text or "|}" in text or "\n|" in text:
@@ -194,8 +275,9 @@ def _plain_line_markup(text: str) -> str:
         text = _DECLARATION.sub("", text)
         text = _H.sub(lambda m: f"\n{'#' * int(m[1])} {' '.join(_TAG.sub('', m[2]).split())}\n", text)
         text = _AUTO.sub(r"\1", text)
-        text = _CELL.sub("\t", _ITEM.sub("- ", text))
-        text = _TAG.sub("", _BREAK.sub("\n", text))
+        text = _CELL.sub("\t", _ITEM.sub("\n- ", text))
+        text = _ANCHOR.sub("\x01\\1\x02", text)
+        text = _together(_TAG.sub("", _BREAK.sub("\n", text)))
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
     if "\\" in text:
@@ -223,7 +305,7 @@ def _plain_line_markup(text: str) -> str:
                 break
     if "[" in text:
         text = _WIKILINK.sub(lambda m: "" if m[0][0] == "!" else m[1].split("|")[-1].split("#")[0] or m[1].strip("#"), text)
-        text = _DEFINED.sub("", _NOTE.sub("", _LINK.sub(r"\1", _IMAGE.sub(r"\1", text))))
+        text = _DEFINED.sub("", _NOTE.sub("", _LINK.sub("\x01\\1\x02", _IMAGE.sub(r"\1", text))))
         text = re.sub(r"(?m)^([ \t]*)[-*+][ \t]+\[[ xX]\][ \t]+", r"\1- ", text)
     text = re.sub(r"(?m)^([ \t]*)[*+][ \t]+(?=\S)", r"\1- ", text)
     text = re.sub(r"(?m)^ {0,3}>[ \t]?(?:\[![a-z]+\][ \t]*)?", "", text)
@@ -234,33 +316,95 @@ def _plain_line_markup(text: str) -> str:
     return _STRIKE.sub(r"\1", text)
 
 
-_STRUCTURE = re.compile(r"^(?:#{1,6} |[ \t]*- |[ \t]*\d+[.)] |\x00\d+\x00|[^\t]*\t)")
-
-
-def text_blocks(lines: list[str], width: int = 3, share: float = 0.2) -> list[bool]:
-    """Which lines belong to a block of text, by the line-block distribution.
-
-    Window i sums the lengths of lines i to i + width - 1. A block begins where the sum surges past the threshold and ends
-    where it dives to zero; lines with structure count twice a usual line, so that lists and headings surge as prose does.
+_LINKED = re.compile(r"\x01([^\x01\x02]*)\x02")
+_HEAD_LINE = re.compile(r"#{1,6} ")
+#: Lines without a heading that a heading may stand above the content.
+NEAR = 3
+#: Least length of a row of a table.
+ROW = 20
+
+
+def line_lengths(lines: list[str], kept: list[tuple[str, str]]) -> tuple[list[int], list[int]]:
+    """Characters of each line without white space: of its text outside links, and of its links. Regions count with their content."""
+    text, links = [], []
+    for line in lines:
+        linked = sum(len("".join(m[1].split())) for m in _LINKED.finditer(line)) if "\x01" in line else 0
+        bare = _LINKED.sub("", line) if linked else line
+        size = 0
+        for m in _HIDDEN.finditer(bare) if "\x00" in bare else ():
+            kind, content = kept[int(m[1])]
+            size += len("".join(content.split())) if kind in ("fence", "pre", "code", "math") else 0
+        own = "".join(_HIDDEN.sub("", bare).split())
+        if "\t" in bare.strip():
+            text.append(max(len(own), ROW) if own else 0)
+            links.append(linked)
+            continue
+        # marks of lists and separators between links are no text
+        text.append(size + len(own.strip("-|•·>#/0123456789.)")))
+        links.append(linked)
+    return text, links
+
+
+def text_blocks(lengths: list[int], width: int = 3, share: float = 0.2, most: int = 48) -> list[tuple[int, int]]:
+    """(first, last) lines of the blocks of text, by the line-block distribution.
+
+    Window i sums the lengths of lines i to i + width - 1. A block surges where the sum passes the threshold, a share of the
+    densest window and at most `most`, and dives where it falls to a quarter of the threshold; short lines at its rim, with
+    less than a line's part of the threshold, do not belong to it.
     """
-    lengths = [
-        0 if not line.strip() else max(len("".join(line.split())), 80 if _STRUCTURE.match(line) else 0) for line in lines
-    ]
-    if not any(lengths):
-        return [False] * len(lines)
     sums, running = [], sum(lengths[: width - 1])
-    for i in range(len(lines)):
-        running += lengths[i + width - 1] if i + width - 1 < len(lines) else 0
+    for i in range(len(lengths)):
+        running += lengths[i + width - 1] if i + width - 1 < len(lengths) else 0
         sums.append(running)
         running -= lengths[i]
-    threshold = min(share * max(sums), 80)
-    keep, inside = [False] * len(lines), False
-    for i, total in enumerate(sums):
-        if not inside and total > threshold and lengths[i] > 0:
-            inside = True
-        if inside and total == 0:
-            inside = False
-        keep[i] = inside
+    if not sums or not max(sums):
+        return []
+    threshold = min(share * max(sums), most)
+    blocks, begin = [], -1
+    for i, total in enumerate([*sums, 0]):
+        if begin < 0 and total > threshold:
+            begin = i
+        elif begin >= 0 and total <= threshold / 4:
+            # sums of windows from i on are low: the text ends before line i
+            first, last = begin, i - 1
+            while first < last and lengths[first] <= threshold / width:
+                first += 1
+            while last > first and lengths[last] <= threshold / width:
+                last -= 1
+            blocks.append((first, last))
+            begin = -1
+    return blocks
+
+
+def content_lines(lines: list[str], kept: list[tuple[str, str]]) -> list[bool]:
+    """Which lines of a stripped page belong to its content; see the module."""
+    text, links = line_lengths(lines, kept)
+    blocks = text_blocks(text)
+    if not blocks:
+        return [True] * len(lines)
+    first, last = blocks[0][0], blocks[-1][1]
+    # headings right before the content
+    at, passed = first - 1, 0
+    while at >= 0 and passed < NEAR:
+        if _HEAD_LINE.match(lines[at]):
+            first, passed = at, 0
+        elif lines[at].strip():
+            passed += 1
+        at -= 1
+    # a paragraph ends with its last line, however short
+    while last + 1 < len(lines) and lines[last + 1].strip() and lines[last].strip() and not re.match(r"\s*(?:- |\d+[.)] |#)", lines[last + 1]):
+        last += 1
+    keep = [first <= i <= last for i in range(len(lines))]
+    # runs of lines that hold links only
+    run: list[int] = []
+    for i in range(first, last + 2):
+        if i <= last and links[i] and text[i] * 4 <= links[i]:
+            run.append(i)
+        elif i > last or lines[i].strip():
+            if len(run) >= 3:
+                for j in run:
+                    keep[j] = False
+            run = []
     return keep
 
 
@@ -268,18 +412,17 @@ def clean(text: str | None) -> tuple[str | None, list[str], int, int]:
     """Clean text, families of markup, and the first and last kept line of the stripped text."""
     if text is None:
         return None, [], 0, 0
-    rest, kept = regions(text)
-    found = families(text, rest, kept)
+    rest, kept = regions(text.replace("\x01", "\ufffd").replace("\x02", "\ufffd"))
+    lengths = residue_lengths(rest, kept)
+    found = [f for f in FAMILIES if residue_blocks(lengths[f])]
+    page = "html" in found and bool(_PAGE.search(rest))
     if found or kept:
         rest = _plain_line_markup(rest)
     lines = rest.split("\n")
-    if "html" in found:
-        keep = text_blocks(lines)
-        numbers = [i for i, k in enumerate(keep) if k]
-        lines = [line for line, k in zip(lines, keep) if k or not line.strip()]
-    else:
-        numbers = [i for i, line in enumerate(lines) if line.strip()]
-    out = "\n".join(line.rstrip() for line in lines)
+    keep = content_lines(lines, kept) if page else [True] * len(lines)
+    numbers = [i for i, (line, k) in enumerate(zip(lines, keep)) if k and line.strip()]
+    out = "\n".join(line.rstrip() for line, k in zip(lines, keep) if k or not line.strip())
+    out = out.replace("\x01", "").replace("\x02", "")
 
     def show(m: re.Match) -> str:
         kind, content = kept[int(m[1])]
@@ -291,7 +434,7 @@ def clean(text: str | None) -> tuple[str | None, list[str], int, int]:
             return f"```\n{html.unescape(_TAG.sub('', content)).strip()}\n```"
         return content.strip("`").strip() if kind == "code" else content
 
-    out = re.sub(r"\x00(\d+)\x00", show, out)
+    out = _HIDDEN.sub(show, out)
     return re.sub(r"\n{3,}", "\n\n", out).strip(), found, (numbers or [0])[0], (numbers or [0])[-1]
 
 

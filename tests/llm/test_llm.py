@@ -58,8 +58,50 @@ def test_chrome_is_dropped_from_pages():
     assert "ok" not in out.split("\n") and "x" not in out.split("\n") and prose(0, 20) in out
 
 
+def test_chrome_around_content_goes_and_its_parts_stay():
+    nav = "<ul><li><a href='/'>Home</a></li><li><a href='/a'>About us</a></li><li>Contact</li></ul>\n<p>Home | Login</p>\n"
+    foot = "<footer><ul><li>Imprint</li><li>Privacy</li></ul>(c) 2025</footer></body></html>"
+    body = (
+        f"<h1>On rivers</h1><p>{prose(1, 40)}.</p>\n<ul><li>one oak</li><li>two elms</li></ul>\n<p>{prose(2, 40)}.</p><h2>Code</h2><pre>x = 1\ny = 2</pre>"
+        f"<p>{prose(3, 30)} $a_b$.</p><table><tr><td>k</td><td>1</td></tr>\n<tr><td>m</td><td>2</td></tr></table><p>{prose(4, 30)}.</p>"
+    )
+    out = markup.clean(f"<html><body><nav>{nav}</nav>{body}{foot}")[0]
+    for gone in ("Home", "About", "Contact", "Login", "Imprint", "Privacy", "(c) 2025"):
+        assert gone not in out
+    assert out.startswith("# On rivers") and out.endswith(prose(4, 30) + ".")
+    for kept in ("- one oak\n- two elms\n", "## Code", "```\nx = 1\ny = 2\n```", "$a_b$", "k\t1\nm\t2"):
+        assert kept in out
+
+
+def test_runs_of_links_inside_go():
+    links = "".join(f"<p><a href='/{i}'>Read more {i}</a></p>" for i in range(5))
+    out = markup.clean(f"<div><p>{prose(1, 40)}</p>{links}<p>{prose(2, 40)}, see <a href='x'>the map</a>.</p></div>")[0]
+    assert "Read more" not in out and "see the map." in out
+
+
+def test_list_items_stand_on_their_own_lines():
+    assert markup.clean("<ul><li>one</li><li>two</li></ul>")[0] == "- one\n- two"
+    assert markup.clean("<ol>\n<li>one</li>\n<li>two <b>x</b></li>\n</ol>")[0] == "- one\n- two x"
+
+
+@pytest.mark.parametrize("marks", [("$$", "$$"), ("\\[", "\\]"), ("\\(", "\\)"), ("\\begin{align*}", "\\end{align*}")])
+def test_formulas_of_any_length_are_kept(marks):
+    formula = marks[0] + "x + \\alpha \\frac{a}{b}" * 3000 + marks[1]
+    out, found, *_ = markup.clean(f"Before {formula} and \\emph{{after}}.")
+    assert formula in out and out.endswith("and after.") and found == ["latex"]
+
+
+def test_unclosed_formulas_are_none():
+    assert markup.clean("It costs $$ a lot")[1] == [] and markup.clean("a \\[ b\n\nc \\] d")[0] == "a \\[ b\n\nc \\] d"
+
+
+def test_residue_blocks_surge_and_dive():
+    assert markup.residue_blocks([(2, 5), (4, 1), (9, 3)]) == [(2, 4, 6), (9, 9, 3)] and markup.residue_blocks([]) == []
+    assert markup.text_blocks([0, 3, 200, 180, 0, 0, 0, 4, 0, 150, 2, 0, 0]) == [(2, 3), (9, 9)]
+
+
 def test_long_texts_are_linear():
-    for text in ("a" * 200_000, "[" * 50_000, "$ " * 50_000, "*" * 50_000, "<" * 50_000, ("word " * 10 + "\n") * 5_000, "_a " * 30_000):
+    for text in ("a" * 200_000, "[" * 50_000, "$ " * 50_000, "*" * 50_000, "<" * 50_000, ("word " * 10 + "\n") * 5_000, "_a " * 30_000, "\\[ " * 50_000, "$$\n\n" * 50_000, "\\begin{align}" * 20_000, "<li>" * 30_000):
         markup.clean(text)
 
 
