@@ -218,8 +218,8 @@ def _pairs_in(rows: DataFrame, threshold: float, agree: int, keys: list[str], al
 
 
 def _in_blocks(large: DataFrame, threshold: float, agree: int, carried: list[str]) -> DataFrame:
-    """All members of each path against each other, in cells of two blocks of about 512 rows."""
-    blocks = F.least(F.ceil(F.col("members") / 512), F.lit(4096)).cast("int")
+    """All members of each path against each other, in cells of two blocks of about 512 rows, however many blocks that takes."""
+    blocks = F.ceil(F.col("members") / 512).cast("int")
     block = F.pmod(F.xxhash64("scope", "id"), blocks)
     sides = large.withColumn("block", block).withColumn("blocks", blocks)
     rows = sides.withColumn(
@@ -375,6 +375,17 @@ def all_pairs(members: DataFrame, pairs: DataFrame, expand: int = 1000) -> DataF
     return union.select("scope", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
+def membership(members: DataFrame) -> DataFrame:
+    """(scope, id, class_id, class_size, copy_of) of every text in members: its class of equal shingle sets, named by the
+    smallest id, and the smallest id of the texts that are equal to it byte for byte."""
+    many = members.where("size > 1")
+    copies = many.groupBy("scope", "rep", "exact").agg(F.min("id").alias("copy_of"))
+    named = many.join(copies, ["scope", "rep", "exact"]).select("scope", "id", F.col("rep").alias("class_id"), F.col("size").alias("class_size"), "copy_of")
+    return named.unionByName(
+        members.where("size = 1").select("scope", "id", F.col("rep").alias("class_id"), F.col("size").alias("class_size"), F.col("id").alias("copy_of"))
+    )
+
+
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(scope, id, class_id, links): one row per text that is like another one.
 

@@ -89,6 +89,13 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(_source().alias("source_table"), "id", "class_id", F.col("links").cast("bigint").alias("links"))
 
 
+def p6_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The classes behind p6_found: every text with 20 words or more, the id that stands for its class, the class size, and the
+    id that stands for its byte-equal copies. p6_found with this membership is the whole result, whatever the class sizes."""
+    members, _ = near_duplicates.similar(_texts(spark, folder), "scope", "id", "text", threshold=0.6, words=3, min_words=20)
+    return near_duplicates.membership(members).select(_source().alias("source_table"), "id", "class_id", "class_size", "copy_of")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode(table(spark, folder, "documents"))
@@ -110,6 +117,11 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p8_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and real share of every language and topic."""
+    return mixing.marginals(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose text stops before its own end."""
     return truncation.found(table(spark, folder, "documents"))
@@ -177,7 +189,7 @@ FROM scored
 
 def queries() -> dict[str, Query]:
     """Name to query; the first of each problem is its main one."""
-    runs = (p1_found, p1_clean, p3_found, p3_ranking, p5_found, p5_pieces, p6_found, p6_groups, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_rates)
+    runs = (p1_found, p1_clean, p3_found, p3_ranking, p5_found, p5_pieces, p6_found, p6_groups, p6_members, p7_ids, p7_decoded, p8_mix, p8_shares, p8_marginals, p9_found, p9_rates)
     return {run.__name__: run for run in runs}
 
 

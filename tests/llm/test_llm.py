@@ -297,6 +297,19 @@ def test_groups_and_large_classes(spark):
     assert near_duplicates.all_pairs(*empty).count() == 0 and near_duplicates.groups(*empty).count() == 0
 
 
+def test_membership_completes_the_star(spark):
+    a = prose(1, 60)
+    texts = [(0, a), (1, a.upper()), (2, a), (3, a), (4, a), (9, prose(2, 60)), (10, "short")]
+    df = spark.createDataFrame([(0, i, t) for i, t in texts], "scope int, id bigint, text string")
+    members, pairs = near_duplicates.similar(df, "scope", "id", "text", 0.6, 3)
+    rows = near_duplicates.membership(members).collect()
+    assert {(r["id"], r["class_id"], r["class_size"], r["copy_of"]) for r in rows} == {(0, 0, 5, 0), (1, 0, 5, 1), (2, 0, 5, 0), (3, 0, 5, 0), (4, 0, 5, 0), (9, 9, 1, 9)}
+    star = {(r["id_a"], r["id_b"]) for r in near_duplicates.all_pairs(members, pairs, expand=2).collect()}
+    lead = {r["id"]: r["copy_of"] for r in rows}
+    whole = {(x, y) for x, y in itertools.combinations(range(5), 2) if lead[x] == lead[y] or tuple(sorted((lead[x], lead[y]))) in star}
+    assert whole == brute(texts, 3, 20, 0.6)
+
+
 def test_only_exact_copies_are_not_expanded(spark):
     a, b = prose(1, 60), prose(1, 60) + " more"
     texts = [(0, a), (1, a.upper()), (2, a + "!"), (3, a), (4, a), (5, a), (6, b)]
@@ -381,6 +394,27 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
 
 
+@needs_vocabulary
+def test_topics_and_languages_come_from_the_corpus(spark):
+    """On a corpus of made-up words in made-up languages texts of one vocabulary share a topic, and the margins are met."""
+    r = random.Random(6)
+    vocabularies = [[f"{a}{b}{c}" for b in "aeiou" for c in "kmnprst"] for a in ("zu", "qi", "xo")]
+    rows = []
+    for i in range(900):
+        kind = i % 3
+        rows.append((i, " ".join(r.choice(vocabularies[kind]) for _ in range(60)), ["xx", "YY ", "zz" if i == 1 else "xx"][i % 2 if i != 1 else 2], "ab"[i % 7 == 0], "x"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, vector string")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 3)], "source string, target_share double, max_repeats int")
+    topics = {x["doc_id"]: (x["lang"], x["topic"]) for x in mixing.with_topics(mixing.sized_texts(df), topics=3).collect()}
+    kinds = [{topics[i][1] for i in range(kind, 900, 3)} for kind in range(3)]
+    assert all(len(k) == 1 for k in kinds) and len(set.union(*kinds)) == 3
+    assert {lang for lang, _ in topics.values()} == {"xx", "yy", "other"} and topics[1][0] == "other"
+    for x in mixing.marginals(df, targets).collect():
+        assert x["actual_share"] == pytest.approx(x["wanted_share"], abs=0.02), x
+    shares = {x["source"]: x["actual_share"] for x in mixing.shares(mixing.mix(df, targets), targets).collect()}
+    assert shares["a"] == pytest.approx(0.6, abs=0.01)
+
+
 # --- truncation -----------------------------------------------------------------------------------
 
 
