@@ -98,10 +98,19 @@ def slug(text: Column) -> Column:
     return F.when(cut == "", F.lit("untitled")).otherwise(cut)
 
 
+#: Names whose values are secret. A name may be quoted, and so may the value: in JSON, YAML, assignments and addresses.
+SECRET_NAMES = r"(?:api[_-]?key|access[_-]?key|token|password|passwd|secret|authorization)"
+#: A bare value: up to white space, a comma, a quote or a bracket.
+_BARE = r"[^\s,;&}\])\"'<]+"
+
+
 def redacted(text: Column) -> Column:
-    """Bearer tokens, keys in assignments and long secret-looking strings replaced."""
+    """Bearer tokens, values of secret names (quoted or not) and keys with the usual prefix replaced; names and quotes stay."""
     out = F.regexp_replace(text, r"(?i)(Bearer\s+)[A-Za-z0-9._~+/=-]+", "$1<redacted>")
-    out = F.regexp_replace(out, r"(?i)((?:api[_-]?key|token|password|secret)\s*[=:]\s*)[^\s,;]+", "$1<redacted>")
+    name = rf"(?i)(\\?[\"']?\b[\w-]*{SECRET_NAMES}\\?[\"']?\s*[=:]\s*\\?)"
+    # a scheme word before a token that was replaced already is no secret
+    out = F.regexp_replace(out, name + r"(?!\"?'?Bearer\s)([\"'])(?:(?!\2)[^\\]|\\.)*(\2?)", "$1$2<redacted>$3")
+    out = F.regexp_replace(out, name + r"(?!Bearer\s)" + _BARE, "$1<redacted>")
     return F.regexp_replace(out, r"\bsk-[A-Za-z0-9_-]{8,}", "<redacted>")
 
 

@@ -1,14 +1,22 @@
 """Processing only what is new or changed since the last successful run.
 
-A manifest lists every processed file with its size and checksum, one partition per batch. A run anti-joins the listing
-against the committed manifest, writes its output under the batch's own identifier (overwriting what a broken run of the same
-batch left), and commits the manifest last, by a rename. A batch's identifier is a hash of what it is to process, so a run
-that is repeated after a failure finds the same batch and replaces it; a committed batch leaves nothing to do. Committed batches
-are numbered, the number is part of the identifier, and of a file the row of the last batch holds.
-
-Files without collection or path are left out. A null time counts as the earliest, a null checksum differs from every known
-one and equals another null. Repeated sightings count once: the greatest time, then the greatest listing id. Empty tables give
-empty results; extra columns are ignored. Nothing is collected but counts and one hash per run.
+A manifest lists every processed file with its size and checksum, one partition per batch. A run goes in four steps, each of
+which is written whole and becomes visible by a rename:
+
+1. Claim. The listing is anti-joined against the manifest, of which the newest row of a file holds, and what is pending is
+   written once, under the number of the next batch. Output and manifest come from this table alone, so a listing that grows
+   meanwhile can neither slip into the manifest unprocessed nor be processed twice.
+2. Work. The output is written under the batch's identifier, over what a broken run of the same batch left.
+3. Manifest. The claim's files with size and checksum are staged.
+4. Commit. The staged manifest is renamed. Only committed batches count.
+
+A run that finds a claim without a commit repeats exactly that batch; what has changed since is pending in the next one. One
+run at a time may write.
+
+A version is known if its checksum equals the newest one and its size does too, where both sizes are known. Files without
+collection or path are left out. A null time counts as the earliest, a null checksum differs from every known one and equals
+another null. Repeated sightings count once: the greatest time, then the greatest listing id. Empty tables give empty
+results; extra columns are ignored. Nothing is collected but counts.
 """
 
 from __future__ import annotations
@@ -19,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from notarium.runtime import materialize, scratch
+
 MANIFEST = "collection_id bigint, rel_path string, checksum string, file_size bigint, batch_id string, batch_no bigint"
 
 
@@ -76,26 +86,28 @@ def note_states(notes: DataFrame, runs: DataFrame, chunks: DataFrame) -> DataFra
 
 
 def stored_manifest(states: DataFrame) -> DataFrame:
-    """Manifest of what earlier runs really finished, from the stored notes: (collection_id, rel_path, checksum)."""
+    """Manifest of what earlier runs really finished, from the stored notes: (collection_id, rel_path, checksum, file_size).
+
+    The size of what was stored is not known.
+    """
     done = ~F.col("retry") & ~F.col("unembedded")
-    return states.where(done).select("collection_id", "rel_path", F.col("stored").alias("checksum"))
+    return states.where(done).select("collection_id", "rel_path", F.col("stored").alias("checksum"), F.lit(None).cast("bigint").alias("file_size"))
 
 
 def pending_files(latest: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files of the listing whose current version is not in the manifest."""
-    left, right = latest.alias("l"), manifest.select("collection_id", "rel_path", "checksum").alias("m")
+    """Files of the listing whose current version is not in the manifest, which has one row per file."""
+    left, right = latest.alias("l"), manifest.select("collection_id", "rel_path", "checksum", "file_size").alias("m")
     same = (
         (F.col("l.collection_id") == F.col("m.collection_id"))
         & (F.col("l.rel_path") == F.col("m.rel_path"))
         & F.col("l.checksum").eqNullSafe(F.col("m.checksum"))
+        & F.coalesce(F.col("l.file_size") == F.col("m.file_size"), F.lit(True))
     )
     return left.join(right, same, "left_anti")
 
 
-def next_actions(listing: DataFrame, notes: DataFrame, runs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(collection_id, rel_path, action): files that the next run must process, each with the first reason that holds."""
-    states = note_states(notes, runs, chunks)
-    pending = pending_files(latest_sightings(listing), stored_manifest(states))
+def with_actions(pending: DataFrame, states: DataFrame) -> DataFrame:
+    """(collection_id, rel_path, action) of pending files, each with the first reason that holds; no notes that were deleted."""
     joined = pending.join(states, ["collection_id", "rel_path"], "left")
     action = (
         F.when(F.col("retry").isNull(), "new")
@@ -108,15 +120,42 @@ def next_actions(listing: DataFrame, notes: DataFrame, runs: DataFrame, chunks:
     ).distinct()
 
 
+def next_actions(listing: DataFrame, notes: DataFrame, runs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(collection_id, rel_path, action): files that the next run must process.
+
+    One run of an IncrementalJob in a folder of its own: what earlier runs really finished is committed as its first manifest,
+    the listing is claimed against it, and the actions are the output of the batch, which is committed in its turn.
+    """
+    spark = listing.sparkSession
+    states = materialize(note_states(notes, runs, chunks), "states")
+    job = IncrementalJob(spark, scratch(spark, "incremental"), lambda pending: with_actions(pending, states))
+    job.adopt(stored_manifest(states))
+    if job.run(listing)[0] is None:
+        return spark.createDataFrame([], "collection_id bigint, rel_path string, action string")
+    return job.results().select("collection_id", "rel_path", "action")
+
+
 class IncrementalJob:
     """Runs a transformation over new or changed files only, exactly once per version of a file.
 
-    work(batch) maps the pending rows to the output. Output and manifest are folders of Parquet with one directory per batch.
+    work(batch) maps the claimed rows (collection_id, rel_path, checksum, file_size) to the output. Claims, output and manifest
+    are folders of Parquet with one directory per batch.
     """
 
     def __init__(self, spark: SparkSession, folder: str, work: Callable[[DataFrame], DataFrame]):
         self.spark, self.work = spark, work
-        self.output, self.manifest_dir = f"{folder}/output", f"{folder}/manifest"
+        self.output, self.manifest_dir, self.claims = f"{folder}/output", f"{folder}/manifest", f"{folder}/claims"
+
+    def _path(self, path: str):
+        """The file system of a path, and the path in it."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _publish(self, staged: str, final: str) -> None:
+        """Rename a folder that was written whole; one that is there already stays."""
+        files, target = self._path(final)
+        if not files.exists(target) and not files.rename(self._path(staged)[1], target):
+            raise OSError(f"{staged} could not be renamed")
 
     def _committed(self) -> DataFrame:
         """Manifest rows of all committed batches; those written before batches had numbers come first."""
@@ -140,27 +179,41 @@ class IncrementalJob:
             return rows.join(self.manifest().select(*file, "batch_id"), [*file, "batch_id"], "left_semi")
         return rows.join(self._committed().select("batch_id").distinct(), "batch_id", "left_semi")
 
+    def adopt(self, known: DataFrame) -> None:
+        """Commit files (collection_id, rel_path, checksum, file_size) that were processed elsewhere, before the first batch."""
+        self._commit(known, "b0", 0)
+
+    def _claim(self, listing: DataFrame, number: int) -> DataFrame:
+        """The table of what batch `number` processes; an earlier claim of it holds."""
+        final = f"{self.claims}/batch_no={number}"
+        files, target = self._path(final)
+        if not files.exists(target):
+            staged = f"{self.claims}/_staged-{number}"
+            pending = pending_files(latest_sightings(listing), self.manifest())
+            pending.select("collection_id", "rel_path", "checksum", F.col("file_size").cast("bigint").alias("file_size")).write.mode("overwrite").parquet(staged)
+            self._publish(staged, final)
+        return self.spark.read.schema("collection_id bigint, rel_path string, checksum string, file_size bigint").parquet(final)
+
     def run(self, listing: DataFrame) -> tuple[str | None, int]:
-        """Process what is pending; (batch id, files), or (None, 0) if nothing is."""
-        pending = pending_files(latest_sightings(listing), self.manifest())
-        row = pending.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("collection_id", "rel_path", "checksum").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if not row["n"]:
-            return None, 0
+        """Process what is pending, or what a broken run has claimed; (batch id, files), or (None, 0) if nothing is."""
         number = self._committed().agg(F.coalesce(F.max("batch_no"), F.lit(0))).first()[0] + 1
-        batch = f"{number}-{row['n']}-{abs(int(row['h'])):x}"
-        self.work(pending).write.mode("overwrite").parquet(f"{self.output}/batch_id={batch}")
-        self._commit(pending, batch, number)
-        return batch, row["n"]
+        claim = self._claim(listing, number)
+        n = claim.count()
+        if not n:
+            self._forget(number)
+            return None, 0
+        batch = f"b{number}-{n}"
+        self.work(claim).write.mode("overwrite").parquet(f"{self.output}/batch_id={batch}")
+        self._commit(claim, batch, number)
+        return batch, n
+
+    def _forget(self, number: int) -> None:
+        """Remove an empty claim, so that the next run looks at the listing again."""
+        files, target = self._path(f"{self.claims}/batch_no={number}")
+        files.delete(target, True)
 
-    def _commit(self, pending: DataFrame, batch: str, number: int) -> None:
+    def _commit(self, claim: DataFrame, batch: str, number: int) -> None:
         staged, final = f"{self.manifest_dir}/_staged-{batch}", f"{self.manifest_dir}/batch_id={batch}"
-        pending.select("collection_id", "rel_path", "checksum", "file_size", F.lit(batch).alias("batch_id"), F.lit(number).cast("bigint").alias("batch_no")).write.mode(
-            "overwrite"
-        ).parquet(staged)
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        files = path(staged).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.rename(path(staged), path(final)):
-            raise OSError(f"the manifest of batch {batch} could not be committed")
+        rows = claim.select("collection_id", "rel_path", "checksum", F.col("file_size").cast("bigint").alias("file_size"))
+        rows.withColumns({"batch_id": F.lit(batch), "batch_no": F.lit(number).cast("bigint")}).write.mode("overwrite").parquet(staged)
+        self._publish(staged, final)

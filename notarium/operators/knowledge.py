@@ -99,10 +99,10 @@ def objects_from_sections(chunks: DataFrame) -> DataFrame:
     common = [F.array("id").alias("source_chunk_ids"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end")]
     concept = chunks.where(F.coalesce(F.trim("section_title"), F.lit("")) != "").select(
         (F.col("id") * 2).alias("id"), "document_id", F.lit("concept").alias("object_type"), F.col("section_title").alias("title"),
-        F.substring("text_content", 1, 200).alias("body_text"), *common, F.round(1 / (1 + F.col("chunk_index")), 6).alias("confidence"),
+        F.col("text_content").alias("body_text"), *common, F.round(1 / (1 + F.col("chunk_index")), 6).alias("confidence"),
     )
     summary = chunks.select(
         (F.col("id") * 2 + 1).alias("id"), "document_id", F.lit("segment_summary").alias("object_type"), F.col("section_title").alias("title"),
-        F.substring("text_content", 1, 120).alias("body_text"), *common, F.lit(0.5).alias("confidence"),
+        F.col("text_content").alias("body_text"), *common, F.lit(0.5).alias("confidence"),
     )
     return concept.unionByName(summary)

@@ -157,11 +157,11 @@ def lateral_first_chunk(spark, folder):
 
 
 _OBJECTS = f"""{_CHUNKS}, objects AS (
-  SELECT id * 2 AS id, document_id, 'concept' AS object_type, section_title AS title, substring(text_content, 1, 200) AS body_text, id AS chunk_id,
+  SELECT id * 2 AS id, document_id, 'concept' AS object_type, section_title AS title, text_content AS body_text, id AS chunk_id,
     start_line AS line_start, end_line AS line_end, round(1.0 / (1 + chunk_index), 6) AS confidence
   FROM chunks WHERE coalesce(trim(section_title), '') <> ''
   UNION ALL
-  SELECT id * 2 + 1, document_id, 'segment_summary', section_title, substring(text_content, 1, 120), id, start_line, end_line, 0.5 FROM chunks)"""
+  SELECT id * 2 + 1, document_id, 'segment_summary', section_title, text_content, id, start_line, end_line, 0.5 FROM chunks)"""
 
 
 @query(
@@ -198,14 +198,14 @@ def remap_overlap(spark, folder):
 
 
 @query(
-    f"""WITH {_CHUNKS}, s AS (SELECT id, document_id, start_line, end_line FROM chunks WHERE chunk_index % 2 = 0)
-  SELECT c.id, (SELECT min(s.id) FROM s WHERE s.document_id = c.document_id AND s.end_line >= c.start_line AND s.start_line <= c.end_line) AS segment_id
+    f"""WITH {_CHUNKS}
+  SELECT c.id, (SELECT min(s.id) FROM chunks s WHERE s.document_id = c.document_id AND s.end_line >= c.start_line AND s.start_line <= c.end_line) AS segment_id
   FROM chunks c"""
 )
 def range_overlap_top1(spark, folder):
-    """The first overlapping segment of every chunk."""
+    """The first segment (any chunk of the note) that overlaps the lines of every chunk."""
     chunks = chunks_of(spark, folder)
-    pairs = windows.overlapping(chunks, chunks.where("chunk_index % 2 = 0"))
+    pairs = windows.overlapping(chunks, chunks)
     best = pairs.groupBy(F.col("left_id").alias("id")).agg(F.min("right_id").alias("segment_id"))
     return chunks.select("id").join(best, "id", "left")
 
@@ -414,13 +414,18 @@ def slugify(spark, folder):
 
 
 @query(
-    """SELECT event_id, regexp_replace(regexp_replace('Authorization: Bearer ' || event_type || user_id || ' token=' || user_id || ', done', '(?i)(Bearer\\s+)[A-Za-z0-9._~+/=-]+', '\\1<redacted>', 'g'),
-  '(?i)((?:api[_-]?key|token|password|secret)\\s*[=:]\\s*)[^\\s,;]+', '\\1<redacted>', 'g') AS message FROM events"""
+    """WITH m AS (SELECT event_id, 'Authorization: Bearer ' || event_type || user_id || ' token=' || user_id || ', {"api_key": "k-' || user_id || '", "password": "p' || user_id || '", "n": 1} api-key: '
+    || user_id || ' PASSWORD=' || event_type || ' done' AS t FROM events)
+  SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)(Bearer\\s+)[A-Za-z0-9._~+/=-]+', '\\1<redacted>', 'g'),
+    '(?i)(api[_-]?key[''"\\s:=]+)[A-Za-z0-9._~+/=-]+', '\\1<redacted>', 'g'), '(?i)(password[''"\\s:=]+)[^\\s''"}]+', '\\1<redacted>', 'g'), '(token=)[^\\s,]+', '\\1<redacted>', 'g') AS message FROM m"""
 )
 def redact_secrets(spark, folder):
-    """Event messages without the secrets in them."""
+    """Event messages, also with JSON in them, without the secrets."""
     user = F.col("user_id").cast("string")
-    message = F.concat(F.lit("Authorization: Bearer "), "event_type", user, F.lit(" token="), user, F.lit(", done"))
+    message = F.concat(
+        F.lit("Authorization: Bearer "), "event_type", user, F.lit(" token="), user, F.lit(', {"api_key": "k-'), user, F.lit('", "password": "p'), user,
+        F.lit('", "n": 1} api-key: '), user, F.lit(" PASSWORD="), "event_type", F.lit(" done"),
+    )
     return table(spark, folder, "events").select("event_id", T.redacted(message).alias("message"))
 
 

@@ -16,25 +16,33 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """Folder that every executor can read: spark.checkpoint.dir, or a local one where it is unset and the session is local."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="notarium-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/notarium-{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     It cuts the lineage, keeps the columns typed and compressed, and survives lost executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/notarium-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    if not _WRITTEN:
-        atexit.register(_remove_written)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -286,6 +286,53 @@ def test_incremental_job_is_exactly_once(spark, tmp_path):
     assert job.run(again)[1] == 1 and job.results().count() == 3 and job.run(again) == (None, 0)
 
 
+def test_a_listing_that_grows_during_a_run_loses_no_file(spark, tmp_path):
+    """The listing is another one at each evaluation, as with a source that is read anew; claim, output and manifest agree."""
+    t = datetime(2025, 1, 1)
+    seen = []
+
+    def work(batch):
+        seen.append(sorted(r["rel_path"] for r in batch.collect()))
+        path.write_text(path.read_text() + "\n".join(f'{{"listing_id": {50 + len(seen)}, "collection_id": 1, "rel_path": "new{len(seen)}", "file_hash": "ff", "file_size": 1}}' for _ in "x") + "\n")
+        spark.catalog.clearCache()
+        return spark.read.json(str(path)).select("collection_id", "rel_path").join(batch.select("rel_path"), "rel_path", "left_semi").select("collection_id", "rel_path")
+
+    path = tmp_path / "listing.json"
+    path.write_text("".join(f'{{"listing_id": {i}, "collection_id": 1, "rel_path": "f{i}", "file_hash": "a{i}", "file_size": 1}}\n' for i in range(3)))
+    job = incremental.IncrementalJob(spark, str(tmp_path / "job"), work)
+    read = lambda: spark.read.schema("listing_id bigint, collection_id bigint, rel_path string, file_hash string, file_size bigint, file_mtime timestamp").json(str(path))
+    assert job.run(read())[1] == 3 and job.run(read())[1] == 1 and job.run(read())[1] == 1
+    assert seen == [["f0", "f1", "f2"], ["new1"], ["new2"]]
+    assert sorted(r["rel_path"] for r in job.results().collect()) == ["f0", "f1", "f2", "new1", "new2"]
+
+
+@pytest.mark.parametrize("step", ["_claim", "_publish", "work", "_commit"])
+def test_a_run_that_breaks_off_at_any_step_is_repeated(spark, tmp_path, step):
+    t = datetime(2025, 1, 1)
+    job = incremental.IncrementalJob(spark, str(tmp_path), lambda batch: batch.select("collection_id", "rel_path", "checksum"))
+    assert job.run(listing(spark, ("a", "aa", t)))[1] == 1
+    two = listing(spark, ("a", "aa", t), ("b", "bb", t))
+    keep = getattr(job, step)
+    setattr(job, step, lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        job.run(two)
+    setattr(job, step, keep)
+    assert [r["rel_path"] for r in job.results().collect()] == ["a"]
+    # meanwhile another file came; with a claim it waits for the batch after
+    three = listing(spark, ("a", "aa", t), ("b", "bb", t), ("c", "cc", t))
+    runs = [job.run(three)[1] for _ in range(3)]
+    assert runs == ([2, 0, 0] if step in ("_claim", "_publish") else [1, 1, 0])
+    assert sorted(r["rel_path"] for r in job.results().collect()) == ["a", "b", "c"]
+
+
+def test_sizes_are_compared_where_known(spark, tmp_path):
+    t = datetime(2025, 1, 1)
+    job = incremental.IncrementalJob(spark, str(tmp_path), lambda batch: batch.select("collection_id", "rel_path"))
+    job.adopt(spark.createDataFrame([(1, "old", "aa", None), (1, "grown", "aa", 9)], "collection_id bigint, rel_path string, checksum string, file_size bigint"))
+    assert job.run(listing(spark, ("old", "aa", t), ("grown", "aa", t)))[1] == 1
+    assert [r["rel_path"] for r in job.results().collect()] == ["grown"]
+
+
 def test_a_file_that_changes_back_is_processed_again(spark, tmp_path):
     job = incremental.IncrementalJob(spark, str(tmp_path), lambda batch: batch.select("collection_id", "rel_path", "checksum"))
     for day, hashed in enumerate(["aa", "bb", "aa"], 1):
@@ -383,6 +430,32 @@ def test_scan_and_read(spark, tmp_path):
     assert maps[0]["m"] == {"a": "1", "b": "x, y"} and maps[1]["m"] == {}
 
 
+def test_a_second_writer_of_a_table_waits(spark, tmp_path):
+    one, two = (SnapshotStore(spark, "file://" + str(tmp_path)) for _ in "ab")
+    with one.lock("t"):
+        one.write("t", spark.range(3))
+        with pytest.raises(TimeoutError), two.lock("t", timeout=0, poll=0):
+            pass
+        with two.lock("t", stale=-1):
+            pass
+    assert two.write("t", spark.range(5)) == 2 and one.read("t").count() == 5
+    assert one.update("t", lambda df: df.limit(1)) == 3 and two.read("t").count() == 1
+    assert not (tmp_path / "t" / "LOCK").exists()
+
+
+@pytest.mark.parametrize(
+    "message, gone, kept",
+    [
+        ('{"api_key": "abc123", "password": "hunter2", "n": 1}', ["abc123", "hunter2"], ['"n": 1}']), ("Authorization: Bearer abc.def token=5, done", ["abc.def", "5"], [", done"]),
+        ("password = 'a b c' next", ["a b c"], ["next"]), ('{"a": {"db_password":"p\\"q", "n": 3}}', ["p\\", "q"], ['"n": 3}}']), ("?api_key=zz&x=1", ["zz"], ["&x=1"]),
+        ("password:\n  xyz", ["xyz"], []), ("secret: 'unclosed", ["unclosed"], []), ("the token was lost, sk-abcdefghijkl", ["sk-"], ["the token was lost"]),
+    ],
+)
+def test_secrets_go_whatever_their_quotes(spark, message, gone, kept):
+    out = one(spark, T.redacted(F.lit(message)))
+    assert not any(g in out for g in gone) and all(k in out for k in kept)
+
+
 def test_snapshots_and_lock(spark, tmp_path):
     store = SnapshotStore(spark, "file://" + str(tmp_path))
     assert store.version("t") is None
