@@ -14,6 +14,8 @@ it. The representatives are joined as follows.
 * Comparison inside a bucket reads set sizes and a 128-bit signature (low bits of 128 min-hashes): pairs under the number
   of equal bits that a pair at the threshold reaches are dropped. What is left is verified exactly, on all shingles.
 
+Texts are read once for all sketches and bands, and once more if they are in some candidate pair.
+
 Shuffles: sampled shingles with id and signature (about R / t rows of 40 bytes a text), the bands of texts in large buckets,
 and the shingles of texts which are in some candidate pair. Texts themselves are shuffled only where more of them than can be
 broadcast as ids are in large buckets or pairs.
@@ -99,8 +101,8 @@ def band_count(level: int, threshold: float, miss: float) -> int:
     return 1 if same >= 1 else math.ceil(math.log(miss) / math.log1p(-same))
 
 
-def _sketcher(words: int, min_words: int, threshold: float, runs: float, bands: tuple[tuple[int, int], ...] = ()):
-    """Sketches of texts; with bands (level, count) the keys of each level instead of the sampled shingles."""
+def _sketcher(words: int, min_words: int, threshold: float, runs: float, bands: tuple[tuple[int, int], ...]):
+    """Sketches of texts: sizes, class keys, signature, sampled shingles, and the keys of all bands (level, count)."""
     hashes = max([SIGNATURE_BITS, *(level * count for level, count in bands)])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,37 +116,24 @@ def _sketcher(words: int, min_words: int, threshold: float, runs: float, bands:
                     continue
                 starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                 own, sizes = at[starts], np.diff(np.r_[starts, len(at)])
-                least = np.zeros((len(starts), hashes if bands else SIGNATURE_BITS), np.uint32)
+                least = np.zeros((len(starts), hashes), np.uint32)
                 low = (h >> np.uint64(11)).astype(np.uint32)
                 for j in range(least.shape[1]):
                     value = low * factors[j] + offsets[j]
                     value ^= value >> np.uint32(15)
                     least[:, j] = np.minimum.reduceat(value, starts)
                 packed = np.packbits((least[:, :SIGNATURE_BITS] & 1).astype(np.uint8), axis=1).view(np.int64)
-                if bands:
-                    scopes = np.asarray(batch["scope"].take(pa.array(own)).to_numpy(zero_copy_only=False), np.uint64)
-                    columns = []
-                    for level, count in bands:
-                        keys = np.arange(count, dtype=np.uint64) + np.uint64(level << 32) + scopes[:, None] * np.uint64(0x9E3779B97F4A7C15)
-                        for part in range(level):
-                            keys = _fmix(keys + least[:, part : level * count : level].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-                        columns.append(
-                            pa.ListArray.from_arrays(
-                                pa.array(np.arange(len(starts) + 1, dtype=np.int32) * count), pa.array(keys.reshape(-1).view(np.int64))
-                            )
+                scopes = np.asarray(batch["scope"].take(pa.array(own)).to_numpy(zero_copy_only=False), np.uint64)
+                banded = []
+                for level, count in bands:
+                    keys = np.arange(count, dtype=np.uint64) + np.uint64(level << 32) + scopes[:, None] * np.uint64(0x9E3779B97F4A7C15)
+                    for part in range(level):
+                        keys = _fmix(keys + least[:, part : level * count : level].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+                    banded.append(
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(len(starts) + 1, dtype=np.int32) * count), pa.array(keys.reshape(-1).view(np.int64))
                         )
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch["scope"].take(pa.array(own)),
-                            batch["id"].take(pa.array(own)),
-                            pa.array(sizes.astype(np.int32)),
-                            pa.array(packed[:, 0].copy()),
-                            pa.array(packed[:, 1].copy()),
-                            *columns,
-                        ],
-                        names=["scope", "id", "n", "s1", "s2", *(f"keys{level}" for level, _ in bands)],
                     )
-                    continue
                 # a second hash of the shingle decides on sampling; both sets of a pair see the same value
                 scope = np.asarray(batch["scope"].to_numpy(zero_copy_only=False), np.uint64)[at]
                 drawn = _fmix(h + np.uint64(0x51ED270B) + scope * np.uint64(0x9E3779B97F4A7C15))
@@ -165,8 +154,9 @@ def _sketcher(words: int, min_words: int, threshold: float, runs: float, bands:
                         pa.array(packed[:, 1].copy()),
                         lists,
                         batch["exact"].take(pa.array(own)),
+                        *banded,
                     ],
-                    names=["scope", "id", "n", "k1", "k2", "s1", "s2", "tokens", "exact"],
+                    names=["scope", "id", "n", "k1", "k2", "s1", "s2", "tokens", "exact", *(f"keys{level}" for level, _ in bands)],
                 )
 
     return sketch
@@ -294,10 +284,11 @@ def similar(
     miss = (1 - recall) / (depth + 1)
     runs = math.log(1 / miss)
     id_type = texts.schema["id"].dataType.simpleString()
+    bands = tuple((level, band_count(level, threshold, miss)) for level in range(2, depth + 1))
+    fields = f"scope tinyint, id {id_type}, n int, k1 bigint, k2 bigint, s1 bigint, s2 bigint, tokens array<bigint>, exact bigint"
     sketches = materialize(
         spread(texts).mapInArrow(
-            _sketcher(words, min_words, threshold, runs),
-            f"scope tinyint, id {id_type}, n int, k1 bigint, k2 bigint, s1 bigint, s2 bigint, tokens array<bigint>, exact bigint",
+            _sketcher(words, min_words, threshold, runs, bands), fields + "".join(f", keys{level} array<bigint>" for level, _ in bands)
         ),
         "sketches",
     )
@@ -319,10 +310,8 @@ def similar(
     )
 
     def banded(ids: DataFrame) -> DataFrame:
-        bands = tuple((level, band_count(level, threshold, miss)) for level in range(2, depth + 1))
-        fields = f"scope tinyint, id {id_type}, n int, s1 bigint, s2 bigint" + "".join(f", keys{level} array<bigint>" for level, _ in bands)
-        own = spread(semi_join_checked(texts, ids, ["scope", "id"]))
-        return own.mapInArrow(_sketcher(words, min_words, threshold, runs, bands), fields).dropDuplicates(["scope", "id"])
+        columns = ["scope", "id", "n", "s1", "s2", *(f"keys{level}" for level, _ in bands)]
+        return semi_join_checked(sketches.select(*columns), ids, ["scope", "id"]).dropDuplicates(["scope", "id"])
 
     agree = least_agreeing(threshold, miss)
     pairs = materialize(candidate_pairs(reps, banded, threshold, agree, small, depth), "candidates")
