@@ -233,7 +233,7 @@ def candidate_pairs(
     banded gives, for ids (scope, id) of reps, their rows with the keys of all levels above the first.
     """
     carried = ["scope", "id", "n", "s1", "s2"]
-    found = keyed = None
+    found = None
     frontier = reps.select(*carried, F.explode("tokens").alias("path"))
     for level in range(1, depth + 1):
         counts = frontier.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
@@ -247,12 +247,7 @@ def candidate_pairs(
             found = found.unionByName(_in_blocks(large, threshold, agree, carried))
             break
         hot = materialize(large.select("scope", "id").distinct(), "hot")
-        if keyed is None:
-            keyed = materialize(banded(hot), "bands")
-            own = keyed
-        else:
-            own = semi_join_checked(keyed, hot, ["scope", "id"])
-        frontier = own.select(*carried, F.explode(f"keys{level + 1}").alias("path"))
+        frontier = banded(hot).select(*carried, F.explode(f"keys{level + 1}").alias("path"))
     return found.distinct()
 
 
@@ -287,15 +282,15 @@ def similar(
     bands = tuple((level, band_count(level, threshold, miss)) for level in range(2, depth + 1))
     fields = f"scope tinyint, id {id_type}, n int, k1 bigint, k2 bigint, s1 bigint, s2 bigint, tokens array<bigint>, exact bigint"
     sketches = materialize(
-        spread(texts).mapInArrow(
-            _sketcher(words, min_words, threshold, runs, bands), fields + "".join(f", keys{level} array<bigint>" for level, _ in bands)
-        ),
+        spread(texts)
+        .mapInArrow(_sketcher(words, min_words, threshold, runs, bands), fields + "".join(f", keys{level} array<bigint>" for level, _ in bands))
+        .withColumn("row", F.monotonically_increasing_id()),
         "sketches",
     )
     key = ["scope", "k1", "k2", "n"]
     classes = materialize(
         sketches.groupBy(*key).agg(
-            F.min(F.struct("id", "exact", "s1", "s2", "tokens")).alias("rep"), F.count_distinct("id").alias("size")
+            F.min(F.struct("id", "exact", "s1", "s2", "tokens", "row")).alias("rep"), F.count_distinct("id").alias("size")
         ),
         "classes",
     )
@@ -310,8 +305,10 @@ def similar(
     )
 
     def banded(ids: DataFrame) -> DataFrame:
-        columns = ["scope", "id", "n", "s1", "s2", *(f"keys{level}" for level, _ in bands)]
-        return semi_join_checked(sketches.select(*columns), ids, ["scope", "id"]).dropDuplicates(["scope", "id"])
+        # the sketch that stands for a class is found by its row, so repeated rows need no shuffle of keys
+        chosen = materialize(semi_join_checked(classes.select("scope", "rep.id", "rep.row"), ids, ["scope", "id"]).select("row"), "rows")
+        columns = ["scope", "id", "n", "s1", "s2", "row", *(f"keys{level}" for level, _ in bands)]
+        return semi_join_checked(sketches.select(*columns), chosen, ["row"]).drop("row")
 
     agree = least_agreeing(threshold, miss)
     pairs = materialize(candidate_pairs(reps, banded, threshold, agree, small, depth), "candidates")
