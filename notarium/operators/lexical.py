@@ -76,20 +76,37 @@ def keyword_lane(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     return best(scored.select("query_id", "record_id", "score"), limit)
 
 
+#: Length of the pieces by which words inside longer words are found.
+GRAM = 3
+
+
+def words_within(terms: DataFrame, needles: DataFrame) -> DataFrame:
+    """(word, term): distinct terms that hold each word as a part of theirs, over pieces of GRAM characters.
+
+    terms has term, needles has word. Both are vocabularies, not texts. A word shorter than GRAM is looked up as a piece itself.
+    """
+    sizes = F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("term")))
+    pieces = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("term") - n + 1), lambda i: F.substring(F.col("term"), i, n))))
+    held = terms.where("term <> ''").distinct().select("term", F.explode(F.array_distinct(pieces)).alias("piece"))
+    wanted = needles.where("word <> ''").distinct().withColumn("piece", F.substring("word", 1, GRAM))
+    return wanted.join(held, "piece").where(F.contains("term", F.col("word"))).select("word", "term")
+
+
 def title_lane(queries: DataFrame, titles: DataFrame, limit: int) -> DataFrame:
-    """Titles or paths holding all terms, with 2 for an equal title, 1 for one that contains the query, 0.5 for such a path.
+    """Titles or paths that hold all terms of a query, or the whole query as it stands, also inside longer words.
 
-    titles has record_id, title, rel_path. The weighted term score counts a title term 1 and a path term 0.4. Records that
-    only contain the query as a substring of words are found through the terms as well, as a term index of whole words is
-    what scales; a query inside a longer word is no match.
+    The score is 1 for each title term and 0.4 for each path term if all terms are there, plus 2 for an equal title, 1 for one that
+    contains the query, 0.5 for such a path. titles has record_id, title, rel_path. What contains the query is searched by its
+    longest word: only titles with a word that holds it are compared. A query without letters and digits finds nothing.
     """
     parts = titles.select("record_id", F.col("title").alias("text"), F.lit(1.0).alias("weight")).unionByName(
         titles.select("record_id", F.regexp_replace("rel_path", r"\.md$", "").alias("text"), F.lit(0.4).alias("weight"))
     )
-    index = (
+    index = materialize(
         parts.select("record_id", "weight", F.explode(F.array_distinct(simple_tokens(F.col("text")))).alias("term"))
         .groupBy("term", "record_id")
-        .agg(F.sum("weight").alias("weight"))
+        .agg(F.sum("weight").alias("weight")),
+        "titles",
     )
     found = (
         query_terms(queries)
@@ -97,17 +114,23 @@ def title_lane(queries: DataFrame, titles: DataFrame, limit: int) -> DataFrame:
         .groupBy("query_id", "record_id")
         .agg(F.count("*").alias("found"), F.first("terms").alias("terms"), F.sum("weight").alias("base"))
         .where(F.col("found") == F.col("terms"))
+        .select("query_id", "record_id", "base")
     )
     needle = queries.select("query_id", F.lower(F.trim("query_text")).alias("needle"))
-    both = found.join(needle, "query_id").join(titles, "record_id")
+    own = F.transform(F.array_distinct(simple_tokens(F.col("needle"))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    longest = materialize(needle.select("query_id", F.array_max(own)["w"].alias("word")).where("word IS NOT NULL"), "needles")
+    within = words_within(index.select("term"), longest.select("word"))
+    inside = longest.join(within, "word").join(index.select("term", "record_id"), "term").select("query_id", "record_id").distinct()
+    both = inside.join(found, ["query_id", "record_id"], "full").join(needle, "query_id").join(titles, "record_id")
     title, path = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("rel_path", F.lit("")))
+    in_title, in_path = F.contains(title, F.col("needle")), F.contains(path, F.col("needle"))
     score = (
-        F.col("base")
+        F.coalesce("base", F.lit(0.0))
         + F.when(title == F.col("needle"), 2.0).otherwise(0.0)
-        + F.when(F.contains(title, F.col("needle")), 1.0).otherwise(0.0)
-        + F.when(F.contains(path, F.col("needle")), 0.5).otherwise(0.0)
+        + F.when(in_title, 1.0).otherwise(0.0)
+        + F.when(in_path, 0.5).otherwise(0.0)
     )
-    return best(both.select("query_id", "record_id", F.round(score, 9).alias("score")), limit)
+    return best(both.where(F.col("base").isNotNull() | in_title | in_path).select("query_id", "record_id", F.round(score, 9).alias("score")), limit)
 
 
 def bm25_lane(queries: DataFrame, index: DataFrame, totals: tuple[int, float], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

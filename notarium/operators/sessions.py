@@ -43,11 +43,11 @@ def overlap(query: Column, candidate: Column) -> Column:
     return F.when((F.size(query) == 0) | (F.size(candidate) == 0), 0.0).otherwise(both)
 
 
-def recency(text: Column, as_of: str) -> Column:
-    """Factor from the first date in a path or title, on the given day."""
+def recency(text: Column, as_of: str | None) -> Column:
+    """Factor from the first date in a path or title, on the given day, or today."""
     rx = r"(20\d{2})[-_/](\d{2})[-_/](\d{2})"
     day = F.try_to_date(F.concat_ws("-", *[F.regexp_extract(text, rx, i) for i in (1, 2, 3)]), "yyyy-MM-dd")
-    age = F.date_diff(F.lit(as_of).cast("date"), day)
+    age = F.date_diff(F.lit(as_of).cast("date") if as_of else F.current_date(), day)
     return F.when(day.isNull(), 1.0).when(age < 0, 0.98).when(age <= 14, 1.08).when(age <= 90, 1.04).when(age <= 365, 1.0).otherwise(0.94)
 
 
@@ -55,7 +55,7 @@ def _clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def with_factor(rows: DataFrame, as_of: str, penalty: float = 0.65) -> DataFrame:
+def with_factor(rows: DataFrame, as_of: str | None, penalty: float = 0.65) -> DataFrame:
     """rows with `factor`, from 0.10 to 0.95 for a session hit: what it shares with the query, against noise, length,
     evidence and age.
 
@@ -96,18 +96,21 @@ def with_factor(rows: DataFrame, as_of: str, penalty: float = 0.65) -> DataFrame
     return own.withColumn("factor", F.round(_clamp(factor, 0.10, 0.95), 6)).select(*rows.columns, "factor")
 
 
-def apply_policy(rows: DataFrame, policy: str = "penalize", most: int = 1) -> DataFrame:
+def apply_policy(rows: DataFrame, policy: str = "penalize", most: int = 1, tie: str = "record_id") -> DataFrame:
     """rows (query_id, rel_path, score, factor) with effective_score and place.
 
     exclude drops sessions; include keeps them as they are; penalize multiplies a session's score by its factor, sorts again
-    by score and path, and keeps the first `most` sessions of a query.
+    by score and path, and keeps the first `most` sessions of a query. Without penalties the order of the column rank holds,
+    if there is one.
     """
     session = is_session(F.col("rel_path"))
     if policy == "exclude":
         rows = rows.where(~session)
     effective = F.when(session, F.round(F.col("score") * F.col("factor"), 9)).otherwise(F.col("score")) if policy == "penalize" else F.col("score")
     ranked = rows.withColumn("effective_score", effective)
-    w = Window.partitionBy("query_id").orderBy(F.desc("effective_score"), "rel_path", "record_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("effective_score"), "rel_path", tie)
+    if policy != "penalize" and "rank" in rows.columns:
+        w = Window.partitionBy("query_id").orderBy("rank")
     if policy == "penalize":
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = ranked.withColumn("_seen", F.sum(session.cast("int")).over(upto)).where(~session | (F.col("_seen") <= most)).drop("_seen")

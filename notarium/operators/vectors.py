@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notarium.functions.text import embedding_tokens
+from notarium.runtime import materialize
 
-#: Queries handled in one pass over the vectors; more of them go in further blocks.
-QUERY_BLOCK = 2048
+#: Queries up to which they travel with the tasks; beyond it, queries and vectors meet in blocks of these sizes.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 65_536
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -23,73 +25,96 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(size == 0, 1.0, size)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): for each query vector the k most similar vectors, itself left out.
+def _arrays(table: pa.Table | pa.RecordBatch, key: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit vectors of the rows whose vector has `dim` numbers and no null."""
+    own = [(k, v) for k, v in zip(table[key].to_pylist(), table["vector"].to_pylist()) if v is not None and len(v) == dim and None not in v]
+    return np.array([k for k, _ in own], np.int64), _unit(np.array([v for _, v in own], float).reshape(-1, dim))
 
-    queries is a stated set (query_id, vector). It goes in blocks of QUERY_BLOCK vectors to every partition of the vectors,
-    where a matrix product scores all rows and keeps k per query, so only k rows per query and partition are shuffled. Vectors
-    that are not of the queries' length, null ones and numbers that are not finite count as missing or 0.
+
+def _keep_best(best: list, names: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int, apart: bool) -> None:
+    for q, name in enumerate(names):
+        keep = keys != name if apart else slice(None)
+        s, i = np.r_[best[q][0], scores[q][keep]], np.r_[best[q][1], keys[keep]]
+        top = np.lexsort((i, -np.round(s, 9)))[:k]
+        best[q] = (s[top], i[top])
+
+
+def _best_rows(names: np.ndarray, best: list) -> list[pa.Array]:
+    q = np.repeat(names, [len(s) for s, _ in best]) if len(names) else np.zeros(0, np.int64)
+    parts = [np.concatenate([b[j] for b in best]) if best else np.zeros(0) for j in (1, 0)]
+    return [pa.array(q, pa.int64()), pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.float64())]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", apart: bool = True) -> DataFrame:
+    """(query_id, id, score, rank): for each query vector the k most similar vectors; with apart, those of other ids only.
+
+    queries is a stated set (query_id, vector). Up to QUERY_BLOCK of them travel with the tasks to every partition of the
+    vectors; more of them are laid out in blocks, of which each meets each block of vectors in a task of its own. Either way a
+    matrix product scores the rows and k per query and task are shuffled. Vectors that are not of the queries' length and null
+    ones are left out, numbers that are not finite count as 0.
     """
-    ids = queries.select("query_id", "vector").where(F.col("vector").isNotNull()).orderBy("query_id")
-    out = None
-    block: list = []
+    asked = materialize(queries.select("query_id", "vector").where(F.col("vector").isNotNull()), "queries")
+    source = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"))
+    few = asked.limit(QUERY_BLOCK + 1).collect()  # a bounded number of rows
+    fields = "query_id bigint, id bigint, score double"
+    if not few:
+        out = vectors.sparkSession.createDataFrame([], fields)
+    elif len(few) <= QUERY_BLOCK:
+        names = np.array([r["query_id"] for r in few], np.int64)
+        matrix = _unit(np.array([[float(x or 0) for x in r["vector"]] for r in few]))
 
-    def scorer(names: list, matrix: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
             for batch in batches:
-                own = [(i, v) for i, v in zip(batch["id"].to_pylist(), batch["vector"].to_pylist()) if v is not None and len(v) == matrix.shape[1] and None not in v]
-                if not own:
-                    continue
-                keys = np.array([i for i, _ in own], np.int64)
-                scores = matrix @ _unit(np.array([v for _, v in own])).T
-                for q, name in enumerate(names):
-                    keep = keys != name
-                    s, i = np.r_[best[q][0], scores[q][keep]], np.r_[best[q][1], keys[keep]]
-                    top = np.lexsort((i, -np.round(s, 9)))[:k]
-                    best[q] = (s[top], i[top])
-            q = np.repeat(np.array(names, np.int64), [len(s) for s, _ in best])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]))],
-                names=["query_id", "id", "score"],
-            )
-
-        return run
-
-    source = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"))
-
-    def flush() -> None:
-        nonlocal out, block
-        if block:
-            part = source.mapInArrow(scorer([b[0] for b in block], _unit(np.array([b[1] for b in block]))), "query_id bigint, id bigint, score double")
-            out = part if out is None else out.unionByName(part)
-            block = []
-
-    for row in ids.toLocalIterator():
-        block.append((row["query_id"], [float(x or 0) for x in row["vector"]]))
-        if len(block) == QUERY_BLOCK:
-            flush()
-    flush()
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double")
+                keys, rows = _arrays(batch, "id", matrix.shape[1])
+                if len(keys):
+                    _keep_best(best, names, keys, matrix @ rows.T, k, apart)
+            yield pa.RecordBatch.from_arrays(_best_rows(names, best), names=["query_id", "id", "score"])
+
+        out = source.mapInArrow(run, fields)
+    else:
+        out = _in_blocks(source, asked, k, apart, fields)
     out = out.withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _in_blocks(source: DataFrame, asked: DataFrame, k: int, apart: bool, fields: str) -> DataFrame:
+    """Each block of queries against each block of vectors."""
+    dim = asked.select(F.size("vector")).first()[0]
+    source = materialize(source, "vectors")
+    many, more = -(-max(source.count(), 1) // VECTOR_BLOCK), -(-asked.count() // QUERY_BLOCK)
+    ours = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(more))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<bigint>")))
+    theirs = source.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(many))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(more - 1)).cast("array<bigint>")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, matrix = _arrays(left, "query_id", dim)
+        keys, rows = _arrays(right, "id", dim)
+        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
+        if len(names) and len(keys):
+            _keep_best(best, names, keys, matrix @ rows.T, k, apart)
+        return pa.Table.from_arrays(_best_rows(names, best), names=["query_id", "id", "score"])
+
+    return ours.groupBy("qb", "vb").cogroup(theirs.groupBy("qb", "vb")).applyInArrow(run, fields)
+
+
 def hash_embedding(dim: int = 64):
-    """Offline embedder as a pandas UDF: signed word counts over hashed dimensions, of unit length; zeros for empty text."""
+    """Offline embedder as a pandas UDF: signed counts of words over hashed dimensions, of unit length; null without words."""
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        rows = []
+        known: dict[str, tuple[int, float]] = {}
+        rows: list[list[float] | None] = []
         for text in texts:
             v = np.zeros(dim)
-            for word in (text or "").lower().split():
-                code = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-                v[code % dim] += 1.0 if (code >> 16) & 1 else -1.0
+            for word in re.findall(r"[^\W_]+", (text or "").lower()):
+                if word not in known:
+                    code = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
+                    known[word] = (code % dim, 1.0 if (code >> 16) & 1 else -1.0)
+                at, sign = known[word]
+                v[at] += sign
             size = float(np.linalg.norm(v))
-            rows.append((v / size if size else v).tolist())
+            rows.append((v / size).tolist() if size else None)
         return pd.Series(rows)
 
     return embed

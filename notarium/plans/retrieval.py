@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notarium.operators import clusters, fusion, lexical, sessions, vectors
+from notarium.operators import clusters, fusion, knowledge, lexical, pipeline, sessions, vectors
 from notarium.operators.graph import graph_signals, inbound_sources
 from notarium.operators.hits import with_payload
 from notarium.plans.store import chunks_of
@@ -66,18 +68,20 @@ def _sparse(spark, folder, limit, asked=None, index=None):
     )
 
 
-def retrieve(spark: SparkSession, folder: str, mode: str, n: int = N) -> DataFrame:
-    """(query_id, record_id, score, retrieval_lanes, rel_path, title, text, ..., place): the results of a search mode."""
-    limit = fusion.lane_limit(mode, n)
-    asked = materialize(searches(spark, folder), "searches")
-    index = lexical.query_index(table(spark, folder, "vq_chunks"), "id", "text_content", asked)
-    lanes = {"title": _title(spark, folder, limit, asked), "keyword": _keyword(spark, folder, limit, asked, index)}
-    if mode != "fast":
-        lanes["semantic"] = _sparse(spark, folder, limit, asked, index)
-    fused = fusion.reciprocal_ranks(lanes, fusion.fused_limit(mode, n))
-    rows = with_payload(fused, *[table(spark, folder, t) for t in ("vq_documents", "vq_chunks", "vq_collections")])
-    _, _, each, fill = fusion.MODES[mode]
-    return fusion.diversify(rows, n, each, fill)
+def corpus_of(spark: SparkSession, folder: str) -> pipeline.Corpus:
+    """The tables that searches read, with a knowledge object per titled chunk."""
+    notes, collections, links = (table(spark, folder, t) for t in ("vq_documents", "vq_collections", "vq_links"))
+    chunks = table(spark, folder, "vq_chunks")
+    return pipeline.Corpus(notes, chunks, collections, links)
+
+
+def retrieve(spark: SparkSession, folder: str, mode: str, n: int = N, objects: bool = False) -> DataFrame:
+    """The results of a search mode for all logged searches; see pipeline.search."""
+    corpus = corpus_of(spark, folder)
+    if objects:
+        known = knowledge.objects_from_sections(chunks_of(spark, folder)).where("object_type = 'concept'")
+        corpus = dataclasses.replace(corpus, objects=known)
+    return pipeline.search(corpus, searches(spark, folder), mode, n, pipeline.Options(as_of=AS_OF))
 
 
 _TERMS = """
@@ -102,15 +106,31 @@ def _kw(limit: int) -> str:
     )
 
 
+def _kw_objects(limit: int) -> str:
+    """Keyword lane over chunks and over concepts (a titled chunk each), merged by score."""
+    chunks = _kw(limit).replace("kw AS (", "kc AS (", 1)
+    objects = _top(
+        "ko",
+        """WITH io AS (SELECT term, record_id, count(*) AS tf FROM (SELECT id * 2 AS record_id, unnest(regexp_extract_all(lower(coalesce(text_content, '')), '[\\p{L}\\p{N}]+')) AS term FROM chunks WHERE coalesce(trim(section_title), '') <> '') GROUP BY ALL)
+    SELECT query_id, record_id, round(sum(CAST(tf AS DOUBLE) / (tf + 1)), 9) AS score FROM qt JOIN io USING (term) GROUP BY query_id, record_id HAVING count(*) = max(terms)""",
+        limit,
+        "knowledge",
+    )
+    return f"""{chunks}, {objects}, kb AS (SELECT *, 0 AS kind FROM kc UNION ALL SELECT *, 1 FROM ko),
+kw AS (SELECT query_id, record_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, rank) AS rank FROM kb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, rank) <= {limit})"""
+
+
 def _tt(limit: int) -> str:
     return _top(
         "tt",
         """WITH p AS (SELECT id AS record_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+'))) AS term, 1.0 AS w FROM vq_documents WHERE status IN ('indexed', 'enriched')
       UNION ALL SELECT id, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(rel_path, '\\.md$', '')), '[\\p{L}\\p{N}]+'))), 0.4 FROM vq_documents WHERE status IN ('indexed', 'enriched')),
     x AS (SELECT term, record_id, sum(CAST(w AS DOUBLE)) AS w FROM p GROUP BY ALL),
-    f AS (SELECT query_id, record_id, sum(w) AS base FROM qt JOIN x USING (term) GROUP BY query_id, record_id HAVING count(*) = max(terms))
-    SELECT f.query_id, f.record_id, round(base + CASE WHEN lower(title) = lower(trim(query_text)) THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(title), lower(trim(query_text))) THEN 1.0 ELSE 0 END
-      + CASE WHEN contains(lower(rel_path), lower(trim(query_text))) THEN 0.5 ELSE 0 END, 9) AS score FROM f JOIN q USING (query_id) JOIN vq_documents d ON d.id = f.record_id""",
+    f AS (SELECT query_id, record_id, sum(w) AS base FROM qt JOIN x USING (term) GROUP BY query_id, record_id HAVING count(*) = max(terms)),
+    s AS (SELECT q.query_id, d.id AS record_id, lower(trim(q.query_text)) AS needle, lower(coalesce(d.title, '')) AS title, lower(d.rel_path) AS path FROM q, vq_documents d WHERE d.status IN ('indexed', 'enriched'))
+    SELECT s.query_id, s.record_id, round(coalesce(base, 0.0) + CASE WHEN title = needle THEN 2.0 ELSE 0 END + CASE WHEN contains(title, needle) THEN 1.0 ELSE 0 END
+      + CASE WHEN contains(path, needle) THEN 0.5 ELSE 0 END, 9) AS score FROM s LEFT JOIN f ON f.query_id = s.query_id AND f.record_id = s.record_id
+    WHERE base IS NOT NULL OR contains(title, needle) OR contains(path, needle)""",
         limit,
         "title",
     )
@@ -137,22 +157,113 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 _PATHS = """paths AS (SELECT 'title:' || id AS record_id, rel_path FROM vq_documents UNION ALL SELECT 'chunk:' || c.id, d.rel_path FROM chunks c JOIN vq_documents d ON d.id = c.document_id)"""
 
 
-def _mode_sql(mode: str, n: int = N) -> str:
-    limit, each, fill = fusion.lane_limit(mode, n), fusion.MODES[mode][2], fusion.MODES[mode][3]
-    ctes = [_TERMS, _tt(limit), _kw(limit)]
-    lanes = [("tt", "title", 0), ("kw", "keyword", 1)]
-    if mode != "fast":
-        ctes.append(_bm(limit))
-        lanes.append(("bm", "semantic", 2))
-    ctes += [_fused(lanes, fusion.fused_limit(mode, n)), _PATHS]
-    ctes.append(f"m AS (SELECT *, row_number() OVER (PARTITION BY query_id, rel_path ORDER BY rank) > {each} AS deferred FROM ranked JOIN paths USING (record_id))")
-    keep = "" if fill else "WHERE NOT deferred"
-    return f"""WITH {', '.join(ctes)} SELECT query_id, record_id, score, retrieval_lanes, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY deferred, rank) AS place
-FROM m {keep} QUALIFY place <= {n}"""
+def _dense(limit: int) -> str:
+    """The hash embedder and the cosine of all pairs, over chunks that have a point id."""
+    vector = """SELECT {key} AS key, CAST('0x' || substr(md5(t), 1, 8) AS UBIGINT) % 64 AS dim, sum(CASE WHEN (CAST('0x' || substr(md5(t), 1, 8) AS UBIGINT) >> 16) & 1 = 1 THEN 1.0 ELSE -1.0 END) AS v
+      FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS t FROM {source}) GROUP BY ALL"""
+    stored = "(SELECT id, text_content FROM chunks WHERE coalesce(trim(qdrant_point_id), '') <> '')"
+    return _top(
+        "ds",
+        f"""WITH a AS ({vector.format(key='query_id', text='query_text', source='q')}), b AS ({vector.format(key='id', text='text_content', source=stored)}),
+    an AS (SELECT key, sqrt(sum(v * v)) AS n FROM a GROUP BY key HAVING n > 0), bn AS (SELECT key, sqrt(sum(v * v)) AS n FROM b GROUP BY key HAVING n > 0),
+    dots AS (SELECT a.key AS q, b.key AS c, sum(a.v * b.v) AS d FROM a JOIN b USING (dim) GROUP BY ALL)
+    SELECT an.key AS query_id, bn.key AS record_id, round(coalesce(d, 0.0) / (an.n * bn.n), 6) AS score FROM an CROSS JOIN bn LEFT JOIN dots ON dots.q = an.key AND dots.c = bn.key""",
+        limit,
+        "chunk",
+    )
+
+
+_SHOWN = """firsts AS (SELECT document_id, first(text_content ORDER BY chunk_index, id) AS text, first(start_line ORDER BY chunk_index, id) AS start_line, min(chunk_index) AS chunk_index FROM chunks GROUP BY document_id),
+shown AS (SELECT 'title:' || d.id AS record_id, d.id AS document_id, d.rel_path, d.title, coalesce(f.text, substring(d.markdown_text, 1, 2000)) AS text, f.start_line, f.chunk_index FROM vq_documents d LEFT JOIN firsts f ON f.document_id = d.id
+  UNION ALL SELECT 'chunk:' || c.id, d.id, d.rel_path, d.title, c.text_content, c.start_line, c.chunk_index FROM chunks c JOIN vq_documents d ON d.id = c.document_id{objects})"""
+_SHOWN_OBJECTS = " UNION ALL SELECT 'knowledge:' || c.id * 2, d.id, d.rel_path, d.title, c.text_content, c.start_line, NULL FROM chunks c JOIN vq_documents d ON d.id = c.document_id WHERE coalesce(trim(c.section_title), '') <> ''"
+_KEY = "regexp_replace(trim(replace({}, '\\', '/'), '/'), '\\.md$', '')"
+_MARKS = ", ".join(f"'{m}'" for m in sessions.MARKERS)
+_DATED = "'^\\d{4}-\\d{2}-\\d{2}'"
+_PREFIX = f"""CASE WHEN len(parts) >= 2 THEN CASE WHEN len(list_filter(range(1, len(parts)), lambda i: lower(parts[i]) IN ({_MARKS}) OR regexp_matches(parts[i], {_DATED}))) > 0
+    THEN array_to_string(parts[1:list_filter(range(1, len(parts)), lambda i: lower(parts[i]) IN ({_MARKS}) OR regexp_matches(parts[i], {_DATED}))[1]], '/')
+    WHEN regexp_matches(parts[len(parts)], {_DATED}) THEN array_to_string(parts[1:len(parts) - 1], '/') END END"""
+
+
+def _linked(source: str, out: str, top_k: int = 20) -> str:
+    """Graph signals over the rows (query_id, record_id, score, rank, rel_path, ...) of a CTE."""
+    return f"""{out}_p AS (SELECT *, {_KEY.format('rel_path')} AS k FROM {source} WHERE rank <= {top_k}),
+{out}_e AS (SELECT DISTINCT {_KEY.format('source_rel_path')} AS f, {_KEY.format('target_identifier')} AS t FROM vq_links),
+{out}_i AS (SELECT b.query_id, b.rel_path, count(DISTINCT a.k) AS inbound FROM (SELECT DISTINCT query_id, k FROM {out}_p) a JOIN {out}_e e ON e.f = a.k AND e.f <> e.t JOIN (SELECT DISTINCT query_id, rel_path, k FROM {out}_p) b ON b.query_id = a.query_id AND b.k = e.t GROUP BY ALL),
+{out}_b AS (SELECT p.* EXCLUDE (score), CASE WHEN i.inbound >= 2 THEN p.score * 1.05 ELSE p.score END AS score, string_split(trim(replace(p.rel_path, '\\', '/'), '/'), '/') AS parts
+  FROM {out}_p p LEFT JOIN {out}_i i ON i.query_id = p.query_id AND i.rel_path = p.rel_path),
+{out}_s AS (SELECT *, {_PREFIX} AS prefix FROM {out}_b),
+{out}_d AS (SELECT * EXCLUDE (score), CASE WHEN prefix IS NOT NULL AND row_number() OVER (PARTITION BY query_id, prefix ORDER BY score DESC, rel_path, rank) > 1 THEN score * 0.95 ELSE score END AS score FROM {out}_s),
+{out} AS (SELECT * EXCLUDE (rank, score, parts, prefix, k), round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rel_path, rank) AS rank FROM {out}_d
+  UNION ALL BY NAME SELECT * EXCLUDE (score), round(score, 9) AS score FROM {source} WHERE rank > {top_k})"""
+
+
+def _mode_sql(mode: str, n: int = N, objects: bool = False) -> str:
+    """The whole pipeline of a mode: lanes, fusion, re-ranking, links, sessions, diversity and windows."""
+    simple = mode in pipeline.SIMPLE
+    linked, focused = mode in pipeline.LINKED, mode == "focused"
+    limits = {k: (n if v is None else max(v[0] * n, v[1])) for k, v in pipeline.SIMPLE[mode].items()} if simple else {k: fusion.lane_limit(mode, n) for k in ("title", "keyword", "semantic") if mode != "fast" or k != "semantic"}
+    cte = {"title": ("tt", _tt), "keyword": ("kw", _kw_objects if objects else _kw), "semantic": ("ds", _dense)}
+    ctes = [_TERMS, *[cte[k][1](v) for k, v in limits.items()]]
+    if len(limits) == 1:
+        (only,) = limits
+        ctes.append(f"ranked AS (SELECT query_id, record_id, score, ['{only}'] AS retrieval_lanes, rank FROM {cte[only][0]})")
+    else:
+        fused = n if simple or mode == "fast" else fusion.fused_limit(mode, n)
+        ctes.append(_fused([(cte[k][0], k, i) for i, k in enumerate(limits)], fused))
+    ctes.append(_SHOWN.format(objects=_SHOWN_OBJECTS if objects else ""))
+    ctes.append("r0 AS (SELECT ranked.*, shown.* EXCLUDE (record_id), q.query_text FROM ranked JOIN shown USING (record_id) JOIN q USING (query_id))")
+    if simple or mode == "fast":
+        ctes.append("r1 AS (SELECT * FROM r0)")
+    else:
+        pool, out = (max(25, 6 * n) if mode == "deep" else 25), max(n, 20) if linked else n
+        ctes.append(f"""rs AS (SELECT * EXCLUDE (score), round(coalesce(len(list_intersect(list_distinct(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}]+')), regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')))
+    / len(list_distinct(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}]+'))), 0), 9) AS score FROM r0 WHERE rank <= {pool}),
+r1 AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM rs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) <= {out})""")
+    ctes.append(_linked("r1", "r2") if linked else "r2 AS (SELECT * FROM r1)")
+    ctes.append(_factor_ctes("SELECT *, retrieval_lanes AS lanes FROM r2"))
+    ctes.append("""es AS (SELECT * EXCLUDE (score), starts_with(rel_path, '88_Agents/sessions/') AS s, CASE WHEN starts_with(rel_path, '88_Agents/sessions/') THEN round(score * factor, 9) ELSE score END AS score FROM factors),
+sc AS (SELECT *, sum(CAST(s AS INTEGER)) OVER (PARTITION BY query_id ORDER BY score DESC, rel_path, rank ROWS UNBOUNDED PRECEDING) AS seen_before FROM es),
+sp AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rel_path, rank) AS rank FROM sc WHERE NOT s OR seen_before <= 1)""")
+    each, keep = (1 if focused else 2), "WHERE NOT deferred" if focused else ""
+    if simple:
+        ctes.append(f"final AS (SELECT *, rank AS place FROM sp WHERE rank <= {n})")
+    else:
+        ctes.append(f"""dv AS (SELECT *, row_number() OVER (PARTITION BY query_id, rel_path ORDER BY rank) > {each} AS deferred FROM sp),
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY deferred, rank) AS place FROM dv {keep} QUALIFY place <= {n})""")
+    columns = "f.query_id, f.record_id, f.score, f.retrieval_lanes, f.rel_path, f.place"
+    if focused:
+        return f"WITH {', '.join(ctes)} SELECT {columns} FROM final f"
+    return f"""WITH {', '.join(ctes)} SELECT {columns}, min(c.start_line) AS window_start_line, max(c.end_line) AS window_end_line, string_agg(trim(c.text_content), chr(10) ORDER BY c.chunk_index) AS window_text
+FROM final f LEFT JOIN chunks c ON c.document_id = f.document_id AND c.chunk_index BETWEEN f.chunk_index - 1 AND f.chunk_index + 1 GROUP BY ALL"""
 
 
 def _listed(rows: DataFrame) -> DataFrame:
-    return rows.select("query_id", "record_id", "score", "retrieval_lanes", "rel_path", "place")
+    own = ["query_id", "record_id", "score", "retrieval_lanes", "rel_path", "place"]
+    return rows.select(*own, *[c for c in ("window_start_line", "window_end_line", "window_text") if c in rows.columns])
+
+
+def _tok(c: str) -> str:
+    stop = ",".join(f"'{w}'" for w in sessions.STOP)
+    return f"list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(coalesce({c}, '')), '[_-]+', ' ', 'g'), '[a-z0-9][a-z0-9]{{2,}}')), lambda w: w NOT IN ({stop}))"
+
+
+def _ov(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / greatest(3, len({a})) END"
+
+
+def _factor_ctes(source: str, placed: str = "chunk_index IS NOT NULL OR start_line IS NOT NULL") -> str:
+    """CTEs up to factors, over rows with query_text, rel_path, title, text and lanes."""
+    return f"""fj AS (SELECT *, {_tok('query_text')} AS qt, {_tok('title')} AS tt, {_tok("replace(rel_path, '/', ' ')")} AS pt, {_tok('text')} AS bt FROM ({source})),
+fk AS (SELECT *, greatest(0, least(1, 0.45 * {_ov('qt', 'bt')} + 0.35 * {_ov('qt', 'tt')} + 0.20 * {_ov('qt', 'pt')} + CASE WHEN list_contains(lanes, 'keyword') THEN 0.08 ELSE 0 END)) AS spec,
+  len(list_filter(list_intersect({sessions.NOISE!r}, list_concat(list_concat(tt, pt), bt)), lambda w: NOT list_contains(qt, w))) AS noise,
+  len(list_intersect({sessions.EVIDENCE!r}, list_concat(list_concat(tt, pt), bt))) AS shown,
+  TRY_CAST(regexp_replace(regexp_extract(rel_path || ' ' || coalesce(title, ''), '20\\d{{2}}[-_/]\\d{{2}}[-_/]\\d{{2}}'), '[_/]', '-', 'g') AS DATE) AS day FROM fj),
+fm AS (SELECT *, least(1, noise / 8.0) AS gen, least(1.12, greatest(0.75, 1.0 + CASE WHEN length(text) > 0 AND length(text) <= 1800 THEN 0.06 WHEN length(text) >= 5000 THEN -0.15 ELSE 0 END + CASE WHEN {placed} THEN 0.04 ELSE 0 END)) AS focus,
+  least(1.18, greatest(0.78, 1 + 0.035 * shown - 0.04 * noise)) AS evid,
+  CASE WHEN day IS NULL THEN 1.0 WHEN DATE '{AS_OF}' - day < 0 THEN 0.98 WHEN DATE '{AS_OF}' - day <= 14 THEN 1.08 WHEN DATE '{AS_OF}' - day <= 90 THEN 1.04 WHEN DATE '{AS_OF}' - day <= 365 THEN 1.0 ELSE 0.94 END AS rec FROM fk),
+fn AS (SELECT *, 0.65 * CASE WHEN spec < 0.12 THEN 0.42 + spec ELSE 0.76 + 0.48 * spec END * focus * evid * rec * (1 - 0.35 * gen) AS f FROM fm),
+factors AS (SELECT * EXCLUDE (qt, tt, pt, bt, spec, noise, shown, day, gen, focus, evid, rec, f), round(least(0.95, greatest(0.10, CASE WHEN spec >= 0.60 AND gen <= 0.30 THEN greatest(f, 0.77) ELSE f END)), 6) AS factor FROM fn)"""
 
 
 @query(f"WITH {_TERMS} SELECT term, count(*) AS records, CAST(sum(tf) AS BIGINT) AS occurrences FROM idx GROUP BY term")
@@ -209,33 +320,66 @@ def keyword_mode_rrf(spark, folder):
 
 @query(_mode_sql("fast"))
 def fast_mode(spark, folder):
-    """Fast mode: title and keyword lanes, two results per note, the rest filled."""
+    """Fast mode: title and keyword lanes, sessions held back, two results per note, the rest filled, with windows."""
     return _listed(retrieve(spark, folder, "fast"))
 
 
 @query(_mode_sql("hybrid"))
 def hybrid_rrf(spark, folder):
-    """Hybrid mode: three lanes, two results per note, the rest filled."""
+    """Hybrid mode: three lanes, re-ranked, links, sessions, two results per note, with windows."""
     return _listed(retrieve(spark, folder, "hybrid"))
 
 
+@query(_mode_sql("hybrid", objects=True))
+def hybrid_objects(spark, folder):
+    """Hybrid mode whose keyword lane also finds knowledge objects."""
+    return _listed(retrieve(spark, folder, "hybrid", objects=True))
+
+
 @query(_mode_sql("focused"))
 def focused_mode(spark, folder):
-    """Focused mode: three lanes, one result per note."""
+    """Focused mode: three short lanes, re-ranked, one result per note."""
     return _listed(retrieve(spark, folder, "focused"))
 
 
 @query(_mode_sql("deep"))
 def deep_mode(spark, folder):
-    """Deep mode: three lanes of fifty, two results per note."""
+    """Deep mode: three lanes of fifty, thirty re-ranked, links, sessions, two results per note."""
     return _listed(retrieve(spark, folder, "deep"))
 
 
-@query()
+@query(_mode_sql("keyword"))
+def keyword_mode(spark, folder):
+    """Keyword mode: title and keyword lanes fused, sessions held back, with windows."""
+    return _listed(retrieve(spark, folder, "keyword"))
+
+
+@query(_mode_sql("title"))
+def title_mode(spark, folder):
+    """Title mode: the title lane alone."""
+    return _listed(retrieve(spark, folder, "title"))
+
+
+@query(_mode_sql("semantic"))
+def semantic_mode(spark, folder):
+    """Semantic mode: the dense lane alone."""
+    return _listed(retrieve(spark, folder, "semantic"))
+
+
+@query(f"WITH {_TERMS}, {_dense(20)} SELECT * FROM ds")
+def dense_lane(spark, folder):
+    """The twenty best chunks by the cosine of hashed words, of each search."""
+    return pipeline.semantic_hits(corpus_of(spark, folder), searches(spark, folder), 20, vectors.hash_embedding())
+
+
+_VIEW = _mode_sql("fast").replace("f.retrieval_lanes, f.rel_path, f.place, min(c.start_line) AS window_start_line, max(c.end_line) AS window_end_line, string_agg(trim(c.text_content), chr(10) ORDER BY c.chunk_index) AS window_text", "f.retrieval_lanes, f.rel_path, f.title, f.start_line, f.chunk_index")
+
+
+@query(_VIEW.replace("f.query_id, f.record_id,", "f.query_id, f.record_id AS id,"))
 def result_views(spark, folder):
-    """Fast mode in the debug view."""
-    rows = retrieve(spark, folder, "fast").withColumnRenamed("record_id", "id")
-    return fusion.shape(rows, "verbose")
+    """Fast mode in the debug view, without the columns that windows change."""
+    rows = fusion.shape(retrieve(spark, folder, "fast").withColumnRenamed("record_id", "id"), "verbose")
+    return rows.select("query_id", "id", "score", "retrieval_lanes", "rel_path", "title", "start_line", "chunk_index")
 
 
 _HITS = """hits AS (SELECT query_id, point_id AS record_id, any_value(rel_path) AS rel_path, max(score) AS score, list_sort(list_distinct(flatten(list(coalesce(retrieval_lanes, []))))) AS lanes
@@ -304,29 +448,9 @@ def rerank_overlap(spark, folder):
     return fusion.rerank(hits, scores).select("query_id", "record_id", "rerank_score", "rank")
 
 
-def _tok(c: str) -> str:
-    stop = ",".join(f"'{w}'" for w in sessions.STOP)
-    return f"list_filter(list_distinct(regexp_extract_all(regexp_replace(lower(coalesce({c}, '')), '[_-]+', ' ', 'g'), '[a-z0-9][a-z0-9]{{2,}}')), lambda w: w NOT IN ({stop}))"
-
-
-def _ov(a: str, b: str) -> str:
-    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / greatest(3, len({a})) END"
-
-
 _FACTOR = f"""{_HITS}, q AS (SELECT query_id, max(query_text) AS query_text FROM search_hits GROUP BY query_id HAVING trim(max(query_text)) <> ''),
 chunks AS (SELECT * FROM vq_chunks QUALIFY row_number() OVER (PARTITION BY id) = 1),
-j AS (SELECT hr.query_id, hr.record_id, hr.score, hr.rank, d.rel_path, d.title, coalesce(c.text_content, '') AS text, hr.lanes,
-  {_tok('q.query_text')} AS qt, {_tok('d.title')} AS tt, {_tok("replace(d.rel_path, '/', ' ')")} AS pt, {_tok('c.text_content')} AS bt
-  FROM hr JOIN q USING (query_id) JOIN chunks c ON 'chunk:' || c.id = hr.record_id JOIN vq_documents d ON d.id = c.document_id),
-k AS (SELECT *, greatest(0, least(1, 0.45 * {_ov('qt', 'bt')} + 0.35 * {_ov('qt', 'tt')} + 0.20 * {_ov('qt', 'pt')} + CASE WHEN list_contains(lanes, 'keyword') THEN 0.08 ELSE 0 END)) AS spec,
-  len(list_filter(list_intersect({sessions.NOISE!r}, list_concat(list_concat(tt, pt), bt)), lambda w: NOT list_contains(qt, w))) AS noise,
-  len(list_intersect({sessions.EVIDENCE!r}, list_concat(list_concat(tt, pt), bt))) AS shown,
-  TRY_CAST(regexp_replace(regexp_extract(rel_path || ' ' || coalesce(title, ''), '20\\d{{2}}[-_/]\\d{{2}}[-_/]\\d{{2}}'), '[_/]', '-', 'g') AS DATE) AS day FROM j),
-m AS (SELECT *, least(1, noise / 8.0) AS gen, least(1.12, greatest(0.75, 1.0 + CASE WHEN length(text) > 0 AND length(text) <= 1800 THEN 0.06 WHEN length(text) >= 5000 THEN -0.15 ELSE 0 END + 0.04)) AS focus,
-  least(1.18, greatest(0.78, 1 + 0.035 * shown - 0.04 * noise)) AS evid,
-  CASE WHEN day IS NULL THEN 1.0 WHEN DATE '{AS_OF}' - day < 0 THEN 0.98 WHEN DATE '{AS_OF}' - day <= 14 THEN 1.08 WHEN DATE '{AS_OF}' - day <= 90 THEN 1.04 WHEN DATE '{AS_OF}' - day <= 365 THEN 1.0 ELSE 0.94 END AS rec FROM k),
-n AS (SELECT *, 0.65 * CASE WHEN spec < 0.12 THEN 0.42 + spec ELSE 0.76 + 0.48 * spec END * focus * evid * rec * (1 - 0.35 * gen) AS f FROM m),
-factors AS (SELECT *, round(least(0.95, greatest(0.10, CASE WHEN spec >= 0.60 AND gen <= 0.30 THEN greatest(f, 0.77) ELSE f END)), 6) AS factor FROM n)"""
+{_factor_ctes("SELECT hr.query_id, hr.record_id, hr.score, hr.rank, d.rel_path, d.title, coalesce(c.text_content, '') AS text, hr.lanes, q.query_text FROM hr JOIN q USING (query_id) JOIN chunks c ON 'chunk:' || c.id = hr.record_id JOIN vq_documents d ON d.id = c.document_id", "TRUE")}"""
 
 
 def _factors(spark, folder) -> DataFrame:
@@ -362,7 +486,7 @@ def recency_factor(spark, folder):
     return table(spark, folder, "vq_documents").select("id", sessions.recency(F.concat_ws(" ", "rel_path", "title"), AS_OF).alias("recency"))
 
 
-@query()
+@query(f"SELECT id, prefix FROM (SELECT id, {_PREFIX} AS prefix FROM (SELECT id, string_split(trim(replace(rel_path, '\\', '/'), '/'), '/') AS parts FROM vq_documents)) WHERE prefix IS NOT NULL")
 def session_prefixes(spark, folder):
     """Session prefix of every note that has one."""
     return table(spark, folder, "vq_documents").select("id", sessions.session_prefix(F.col("rel_path")).alias("prefix")).where("prefix IS NOT NULL")
@@ -380,7 +504,7 @@ def adjacency_boost(spark, folder):
     return inbound_sources(logged_hits(spark, folder).where("rank <= 20"), table(spark, folder, "vq_links"))
 
 
-@query()
+@query(f"WITH {_HITS}, {_linked('hr', 'g')} SELECT query_id, record_id, score, rank AS place FROM g")
 def session_demote(spark, folder):
     """Logged hits re-ranked by links and session prefixes."""
     return graph_signals(logged_hits(spark, folder), table(spark, folder, "vq_links")).select("query_id", "record_id", "score", "place")
