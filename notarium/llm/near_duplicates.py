@@ -14,7 +14,7 @@ it. The representatives are joined as follows.
 * Comparison inside a bucket reads set sizes and a 128-bit signature (low bits of 128 min-hashes): pairs under the number
   of equal bits that a pair at the threshold reaches are dropped. What is left is verified exactly, on all shingles.
 
-Texts are read once for all sketches and bands, and once more if they are in some candidate pair.
+Texts are read once for all sketches and the bands of level 2, and once more if they go deeper or are in some candidate pair.
 
 Shuffles: sampled shingles with id and signature (about R / t rows of 40 bytes a text), the bands of texts in large buckets,
 and the shingles of texts which are in some candidate pair. Texts themselves are shuffled only where more of them than can be
@@ -226,11 +226,11 @@ def _in_blocks(large: DataFrame, threshold: float, agree: int, carried: list[str
 
 
 def candidate_pairs(
-    reps: DataFrame, banded: Callable[[DataFrame], DataFrame], threshold: float, agree: int, small: int = 64, depth: int = 3
+    reps: DataFrame, banded: Callable[[DataFrame, int], DataFrame], threshold: float, agree: int, small: int = 64, depth: int = 3
 ) -> DataFrame:
     """Distinct pairs (scope, a, b), a < b, which meet in a bucket of some level and pass the signature.
 
-    banded gives, for ids (scope, id) of reps, their rows with the keys of all levels above the first.
+    banded gives, for ids (scope, id) of reps and a level, their rows with the keys of that level.
     """
     carried = ["scope", "id", "n", "s1", "s2"]
     found = None
@@ -247,7 +247,7 @@ def candidate_pairs(
             found = found.unionByName(_in_blocks(large, threshold, agree, carried))
             break
         hot = materialize(large.select("scope", "id").distinct(), "hot")
-        frontier = banded(hot).select(*carried, F.explode(f"keys{level + 1}").alias("path"))
+        frontier = banded(hot, level + 1).select(*carried, F.explode("keys").alias("path"))
     return found.distinct()
 
 
@@ -279,14 +279,15 @@ def similar(
     miss = (1 - recall) / (depth + 1)
     runs = math.log(1 / miss)
     id_type = texts.schema["id"].dataType.simpleString()
-    bands = tuple((level, band_count(level, threshold, miss)) for level in range(2, depth + 1))
     fields = f"scope tinyint, id {id_type}, n int, k1 bigint, k2 bigint, s1 bigint, s2 bigint, tokens array<bigint>, exact bigint"
-    sketches = materialize(
-        spread(texts)
-        .mapInArrow(_sketcher(words, min_words, threshold, runs, bands), fields + "".join(f", keys{level} array<bigint>" for level, _ in bands))
-        .withColumn("row", F.monotonically_increasing_id()),
-        "sketches",
-    )
+
+    def sketched(rows: DataFrame, levels: list[int]) -> DataFrame:
+        bands = tuple((level, band_count(level, threshold, miss)) for level in levels)
+        return spread(rows).mapInArrow(
+            _sketcher(words, min_words, threshold, runs, bands), fields + "".join(f", keys{level} array<bigint>" for level in levels)
+        )
+
+    sketches = materialize(sketched(texts, [2] if depth > 1 else []).withColumn("row", F.monotonically_increasing_id()), "sketches")
     key = ["scope", "k1", "k2", "n"]
     classes = materialize(
         sketches.groupBy(*key).agg(
@@ -304,11 +305,14 @@ def similar(
         )
     )
 
-    def banded(ids: DataFrame) -> DataFrame:
-        # the sketch that stands for a class is found by its row, so repeated rows need no shuffle of keys
-        chosen = materialize(semi_join_checked(classes.select("scope", "rep.id", "rep.row"), ids, ["scope", "id"]).select("row"), "rows")
-        columns = ["scope", "id", "n", "s1", "s2", "row", *(f"keys{level}" for level, _ in bands)]
-        return semi_join_checked(sketches.select(*columns), chosen, ["row"]).drop("row")
+    def banded(ids: DataFrame, level: int) -> DataFrame:
+        columns = ["scope", "id", "n", "s1", "s2", F.col(f"keys{level}").alias("keys")]
+        if level == 2:
+            # the sketch that stands for a class is found by its row, so repeated rows need no shuffle of keys
+            chosen = materialize(semi_join_checked(classes.select("scope", "rep.id", "rep.row"), ids, ["scope", "id"]).select("row"), "rows")
+            return semi_join_checked(sketches.select(*columns, "row"), chosen, ["row"]).drop("row")
+        # few texts go this deep: their bands are made when they are needed
+        return sketched(semi_join_checked(texts, ids, ["scope", "id"]), [level]).select(*columns).dropDuplicates(["scope", "id"])
 
     agree = least_agreeing(threshold, miss)
     pairs = materialize(candidate_pairs(reps, banded, threshold, agree, small, depth), "candidates")
