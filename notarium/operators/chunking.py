@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notarium.runtime import spread
 from notarium.operators.stats import MAX_TOKENS, MIN_TOKENS, TARGET_TOKENS
 
 OVERLAP = 0.12
@@ -145,4 +146,4 @@ def chunk_notes(notes: DataFrame, id_col: str = "id", text_col: str = "markdown_
             names = [c.split()[0] for c in CHUNKS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return notes.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, CHUNKS)
+    return spread(notes.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, CHUNKS)

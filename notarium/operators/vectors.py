@@ -165,6 +165,45 @@ def pack_batches(docs: DataFrame, max_tokens: int = 12_000, max_items: int = 32,
     )
 
 
+def _fold(rows: DataFrame, group: str, order: list[str], sizes: list[str], limits: list[int], most: int, out: str) -> DataFrame:
+    """rows with the number of the batch of each row: rows of a group are packed in order until a sum of sizes would pass its
+    limit or the batch has `most` rows. Rows are sorted and folded as they stream by, so a group needs a task but no memory."""
+    ordered = rows.repartition(group).sortWithinPartitions(group, *order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used, count, number = object(), [], 0, 0
+        for batch in batches:
+            numbers = []
+            for key, *own in zip(batch[group].to_pylist(), *[batch[c].to_pylist() for c in sizes]):
+                if key != last:
+                    last, used, count, number = key, own, 1, 0
+                elif count >= most or any(u + o > limit for u, o, limit in zip(used, own, limits)):
+                    used, count, number = own, 1, number + 1
+                else:
+                    used, count = [u + o for u, o in zip(used, own)], count + 1
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, out])
+
+    return ordered.mapInArrow(fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema) + f", {out} bigint")
+
+
+def pack_requests(batches: DataFrame, lanes: int = 64, most: int = 4, most_items: int = 384, most_tokens: int = 40_000) -> DataFrame:
+    """(lane, source_key, batch_no, request_no, items, tokens): whole batches of pack_through packed into requests.
+
+    Sources are spread over `lanes`, which are packed on their own and can be sent side by side.
+    """
+    sized = batches.groupBy("source_key", "batch_no").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
+    laid = sized.withColumn("lane", F.abs("source_key") % lanes)
+    packed = _fold(laid, "lane", ["source_key", "batch_no"], ["items", "tokens"], [most_items, most_tokens], most, "request_no")
+    return packed.select("lane", "source_key", "batch_no", "request_no", "items", "tokens")
+
+
+def pack_points(points: DataFrame, lanes: int = 64, most: int = 400, most_bytes: int = 20 * 1024 * 1024) -> DataFrame:
+    """(lane, id, size, batch_no): points (id, size in bytes) packed into writes of bounded number and bytes, lane by lane."""
+    laid = points.withColumn("lane", F.col("id") % lanes)
+    return _fold(laid, "lane", ["id"], ["size"], [most_bytes], most, "batch_no").select("lane", "id", "size", "batch_no")
+
+
 def pack_through(docs: DataFrame, max_tokens: int = 12_000, max_items: int = 32) -> DataFrame:
     """(source_key, item_no, tokens, batch_no) as of pack_batches, but through the whole source: batches cross the borders of
     blocks and batch_no counts on from 0 without a break.
@@ -173,20 +212,4 @@ def pack_through(docs: DataFrame, max_tokens: int = 12_000, max_items: int = 32)
     but no memory.
     """
     sized = docs.select("source_key", "item_no", embedding_tokens(F.col("text")).alias("tokens"))
-    rows = sized.repartition("source_key").sortWithinPartitions("source_key", "item_no", "tokens")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, used, count, number = object(), 0, 0, 0
-        for batch in batches:
-            numbers = []
-            for key, tokens in zip(batch["source_key"].to_pylist(), batch["tokens"].to_pylist()):
-                if key != source:
-                    source, used, count, number = key, tokens, 1, 0
-                elif used + tokens > max_tokens or count >= max_items:
-                    used, count, number = tokens, 1, number + 1
-                else:
-                    used, count = used + tokens, count + 1
-                numbers.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "batch_no"])
-
-    return rows.mapInArrow(fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", batch_no bigint")
+    return _fold(sized, "source_key", ["item_no", "tokens"], ["tokens"], [max_tokens], max_items, "batch_no")

@@ -523,7 +523,13 @@ def dense_topk_batch(spark, folder):
     return vectors.nearest(all_vectors, asked, N)
 
 
-@query()
+@query(
+    """WITH q AS (SELECT vec_id AS seed, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
+  s AS (SELECT q.seed, e.vec_id AS item, round(list_cosine_similarity(CAST(q.v AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM q JOIN embeddings e ON e.vec_id <> q.seed),
+  g AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, item) AS n FROM s QUALIFY n <= 8 AND score >= 0.35), k AS (SELECT * FROM g WHERE n <= 5),
+  a AS (SELECT q.seed, coalesce(k.item, q.seed) AS anchor FROM q LEFT JOIN k ON k.seed = q.seed AND k.n = 1)
+  SELECT anchor, count(DISTINCT a.seed) AS connection_count, list_sort(list_distinct(list(a.seed))) AS seed_nodes, count(DISTINCT k.item) AS related_count, max(k.score) AS best_score FROM a LEFT JOIN k ON k.seed = a.seed GROUP BY anchor"""
+)
 def semantic_clusters(spark, folder):
     """Every fiftieth vector grouped by its nearest one."""
     all_vectors = table(spark, folder, "embeddings")
@@ -549,8 +555,15 @@ def related_work(spark, folder):
     return rows.select("query_id", "record_id", clusters.connection_reason(F.col("query_text"), text, F.col("lanes")).alias("reason"))
 
 
-@query()
+_THINK = _mode_sql("hybrid").split(" SELECT f.query_id, f.record_id, f.score")[0]
+
+
+@query(
+    _THINK
+    + """, l AS (SELECT *, CASE WHEN place <= 3 AND trim(text) <> '' THEN '- ' || coalesce(CASE WHEN title <> '' THEN title END, rel_path, 'Untitled') || ': ' || substring(replace(trim(text), chr(10), ' '), 1, 360) END AS line FROM final)
+  SELECT query_id, coalesce(string_agg(line, chr(10) ORDER BY place), '') AS answer, list(rel_path ORDER BY place) AS citations FROM l GROUP BY query_id"""
+)
 def think_answer(spark, folder):
     """Cited extract from the results of hybrid mode."""
-    rows = retrieve(spark, folder, "hybrid").withColumn("rank", F.col("place")).withColumnRenamed("record_id", "id")
+    rows = retrieve(spark, folder, "hybrid").drop("rank").withColumnsRenamed({"place": "rank", "record_id": "id"})
     return clusters.answer(rows)

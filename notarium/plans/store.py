@@ -276,10 +276,29 @@ def embed_token_estimate(spark, folder):
     return chunks_of(spark, folder).select("id", T.embedding_tokens(F.col("text_content")).alias("tokens"))
 
 
-@query()
+def _bounded(c: str, most: int) -> str:
+    """Rows (id, bounded) of the CTE src(id, t): the longest run of first words within `most` estimated tokens."""
+    return f"""w AS (SELECT id, {_collapse('t')} AS clean, list_filter(string_split({_collapse('t')}, ' '), lambda x: x <> '') AS own, {_est('t')} AS whole FROM src),
+  o AS (SELECT id, unnest(own) AS word, generate_subscripts(own, 1) AS k FROM w),
+  r AS (SELECT id, k, sum(greatest(2, (length(word) + 2) // 3)) OVER (PARTITION BY id ORDER BY k) AS used, sum(length(word) + 1) OVER (PARTITION BY id ORDER BY k) - 1 AS chars FROM o),
+  f AS (SELECT id, max(chars) AS chars FROM r WHERE greatest(used, (chars + 2) // 3) <= {most} GROUP BY id)
+  SELECT w.id, CASE WHEN whole <= {most} THEN clean WHEN f.chars > 0 THEN substring(clean, 1, CAST(f.chars AS BIGINT)) ELSE trim(substring(clean, 1, {3 * most})) END AS bounded FROM w LEFT JOIN f USING (id)"""
+
+
+@query("BOUNDED")
 def bounded_text(spark, folder):
-    """Every note cut to 200 estimated tokens."""
-    return table(spark, folder, "vq_documents").select("id", T.bounded_text(F.col("markdown_text"), 200).alias("bounded"))
+    """Every note cut to 6000 estimated tokens, the budget of an embedding request."""
+    return table(spark, folder, "vq_documents").select("id", T.bounded_text(F.col("markdown_text")).alias("bounded"))
+
+
+@query("BOUNDED CHUNKS")
+def bounded_chunks(spark, folder):
+    """Every chunk cut to 64 estimated tokens."""
+    return chunks_of(spark, folder).select("id", T.bounded_text(F.col("text_content"), 64).alias("bounded"))
+
+
+SQL["bounded_text"] = "WITH src AS (SELECT id, markdown_text AS t FROM vq_documents), " + _bounded("t", 6000)
+SQL["bounded_chunks"] = f"WITH {_CHUNKS}, src AS (SELECT id, text_content AS t FROM chunks), " + _bounded("t", 64)
 
 
 @query(
@@ -287,19 +306,48 @@ def bounded_text(spark, folder):
   items AS (SELECT document_id AS source_key, chunk_index AS item_no, {_est('text_content')} AS tokens, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS k
     FROM c WHERE coalesce(trim(qdrant_point_id), '') = '' AND document_id IS NOT NULL),
   walk AS (SELECT source_key, item_no, tokens, k, tokens AS used, 1 AS cnt, 0 AS batch_no FROM items WHERE k = 1
-    UNION ALL SELECT i.source_key, i.item_no, i.tokens, i.k, CASE WHEN w.used + i.tokens > 2000 OR w.cnt >= 8 THEN i.tokens ELSE w.used + i.tokens END,
-      CASE WHEN w.used + i.tokens > 2000 OR w.cnt >= 8 THEN 1 ELSE w.cnt + 1 END, CASE WHEN w.used + i.tokens > 2000 OR w.cnt >= 8 THEN w.batch_no + 1 ELSE w.batch_no END
+    UNION ALL SELECT i.source_key, i.item_no, i.tokens, i.k, CASE WHEN w.used + i.tokens > 12000 OR w.cnt >= 32 THEN i.tokens ELSE w.used + i.tokens END,
+      CASE WHEN w.used + i.tokens > 12000 OR w.cnt >= 32 THEN 1 ELSE w.cnt + 1 END, CASE WHEN w.used + i.tokens > 12000 OR w.cnt >= 32 THEN w.batch_no + 1 ELSE w.batch_no END
     FROM walk w JOIN items i ON i.source_key = w.source_key AND i.k = w.k + 1)
   SELECT source_key, item_no, CAST(tokens AS INTEGER) AS tokens, batch_no FROM walk"""
 )
 def embed_batches(spark, folder):
-    """Waiting chunks packed into batches of 2000 tokens and 8 chunks."""
+    """Waiting chunks packed into windows of 12,000 tokens and 32 chunks of one note."""
     waiting = vectors.pending(chunks_of(spark, folder)).where(F.col("document_id").isNotNull())
     return vectors.pack_through(
-        waiting.select(F.col("document_id").alias("source_key"), F.col("chunk_index").alias("item_no"), F.col("text_content").alias("text")), 2000, 8
+        waiting.select(F.col("document_id").alias("source_key"), F.col("chunk_index").alias("item_no"), F.col("text_content").alias("text"))
     )
 
 
+@query(
+    SQL["embed_batches"].replace("SELECT source_key, item_no, CAST(tokens AS INTEGER) AS tokens, batch_no FROM walk", """, g AS (SELECT source_key, batch_no, count(*) AS items, CAST(sum(tokens) AS BIGINT) AS tokens FROM walk GROUP BY ALL),
+  n AS (SELECT *, abs(hash_part) % 64 AS lane FROM (SELECT *, source_key AS hash_part FROM g)), o AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY source_key, batch_no) AS k FROM n),
+  req AS (SELECT lane, source_key, batch_no, items, tokens, k, items AS used, tokens AS used_tokens, 1 AS cnt, 0 AS request_no FROM o WHERE k = 1
+    UNION ALL SELECT o.lane, o.source_key, o.batch_no, o.items, o.tokens, o.k, CASE WHEN f THEN o.items ELSE r.used + o.items END, CASE WHEN f THEN o.tokens ELSE r.used_tokens + o.tokens END,
+      CASE WHEN f THEN 1 ELSE r.cnt + 1 END, CASE WHEN f THEN r.request_no + 1 ELSE r.request_no END
+    FROM (SELECT r.*, o2.k AS nk, r.cnt >= 4 OR r.used + o2.items > 384 OR r.used_tokens + o2.tokens > 40000 AS f FROM req r JOIN o o2 ON o2.lane = r.lane AND o2.k = r.k + 1) r JOIN o ON o.lane = r.lane AND o.k = r.nk)
+  SELECT lane, source_key, batch_no, request_no, items, tokens FROM req""")
+)
+def embed_requests(spark, folder):
+    """Windows packed into requests of 4 windows, 384 chunks and 40,000 tokens, in 64 lanes of notes."""
+    return vectors.pack_requests(embed_batches(spark, folder), 64)
+
+
+@query(
+    f"""WITH RECURSIVE {_CHUNKS}, p AS (SELECT id, 100 + 12 * 64 + octet_length(encode(coalesce(text_content, ''))) AS size, id % 64 AS lane FROM chunks WHERE coalesce(trim(qdrant_point_id), '') = ''),
+  o AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY id) AS k FROM p),
+  w AS (SELECT lane, id, size, k, size AS used, 1 AS cnt, 0 AS batch_no FROM o WHERE k = 1
+    UNION ALL SELECT o.lane, o.id, o.size, o.k, CASE WHEN w.used + o.size > 65536 OR w.cnt >= 40 THEN o.size ELSE w.used + o.size END, CASE WHEN w.used + o.size > 65536 OR w.cnt >= 40 THEN 1 ELSE w.cnt + 1 END,
+      CASE WHEN w.used + o.size > 65536 OR w.cnt >= 40 THEN w.batch_no + 1 ELSE w.batch_no END FROM w JOIN o ON o.lane = w.lane AND o.k = w.k + 1)
+  SELECT lane, id, CAST(size AS INTEGER) AS size, batch_no FROM w"""
+)
+def upsert_batches(spark, folder):
+    """Waiting points packed into writes of 40 points and 64 kB, in 64 lanes."""
+    waiting = vectors.pending(chunks_of(spark, folder))
+    size = (F.lit(100 + 12 * 64) + F.octet_length(F.coalesce("text_content", F.lit("")))).alias("size")
+    return vectors.pack_points(waiting.select("id", size), 64, 40, 65_536)
+
+
 @query(
     f"""WITH {_CHUNKS}, p AS (SELECT id, 0 AS kind_no FROM chunks WHERE coalesce(trim(qdrant_point_id), '') = '' UNION ALL SELECT id, 1 FROM vq_documents WHERE status = 'indexed')
   SELECT id, kind_no FROM (SELECT *, row_number() OVER (PARTITION BY kind_no ORDER BY id) AS n FROM p) WHERE n <= 200 ORDER BY n, kind_no LIMIT 200"""
@@ -311,7 +359,10 @@ def pending_split(spark, folder):
     return vectors.split_limit(first, second, 200, ["id"])
 
 
-@query()
+@query(
+    f"""WITH {_CHUNKS}, h AS (SELECT id, sha1(unhex('{T.NAMESPACE_URL}') || encode('notes:chunk:' || id)) AS h FROM chunks)
+  SELECT id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], format('{{:x}}', (CAST('0x' || h[17:17] AS INTEGER) & 3) | 8) || h[18:20], h[21:32]) AS point_id FROM h"""
+)
 def point_uuid5(spark, folder):
     """Name-based point id of every chunk."""
     return chunks_of(spark, folder).select("id", T.name_uuid(F.concat(F.lit("notes:chunk:"), F.col("id").cast("string"))).alias("point_id"))
@@ -350,22 +401,41 @@ def refresh_classify(spark, folder):
     return refresh.classify_refresh(table(spark, folder, "vq_documents"), listed)
 
 
-@query("SELECT id FROM vq_documents d WHERE NOT EXISTS (SELECT 1 FROM file_listing l WHERE l.collection_id = d.collection_id AND l.rel_path = d.rel_path)")
+@query(
+    """WITH s AS (SELECT DISTINCT collection_id, rel_path FROM file_listing WHERE run_id = (SELECT max(run_id) FROM file_listing))
+  SELECT id FROM vq_documents d WHERE status <> 'deleted' AND NOT EXISTS (SELECT 1 FROM s WHERE s.collection_id = d.collection_id AND s.rel_path = d.rel_path)"""
+)
 def deleted_anti(spark, folder):
-    """Notes whose file no scan has seen."""
-    listed = table(spark, folder, "file_listing").select("collection_id", "rel_path")
-    return table(spark, folder, "vq_documents").join(listed, ["collection_id", "rel_path"], "left_anti").select("id")
+    """Notes whose file the last scan has not seen."""
+    seen = table(spark, folder, "file_listing")
+    last = seen.agg(F.max("run_id").alias("run_id"))
+    listed = seen.join(F.broadcast(last), "run_id").select("collection_id", "rel_path")  # one row
+    notes = table(spark, folder, "vq_documents").where("status <> 'deleted'")
+    return notes.join(listed, ["collection_id", "rel_path"], "left_anti").select("id")
+
+
+_CHANGED = """changed AS (SELECT d.id FROM vq_documents d JOIN (SELECT * FROM file_listing QUALIFY row_number() OVER (PARTITION BY collection_id, rel_path ORDER BY file_mtime DESC, listing_id DESC) = 1) l
+    ON l.collection_id = d.collection_id AND l.rel_path = d.rel_path WHERE regexp_extract(lower(l.file_hash), '([0-9a-f]*)\\s*$', 1) IS DISTINCT FROM regexp_extract(lower(d.file_hash), '([0-9a-f]*)\\s*$', 1))"""
+
+
+def _changed(spark, folder):
+    """Ids of the notes whose latest listed hash is not the stored one."""
+    from notarium.operators.incremental import checksum, latest_sightings
+
+    latest = latest_sightings(table(spark, folder, "file_listing")).select("collection_id", "rel_path", "checksum")
+    stored = table(spark, folder, "vq_documents").select("id", "collection_id", "rel_path", checksum(F.col("file_hash")).alias("stored"))
+    return stored.join(latest, ["collection_id", "rel_path"]).where(~F.col("checksum").eqNullSafe(F.col("stored"))).select("id")
 
 
 @query(
-    f"""WITH {_CHUNKS}, fresh AS (SELECT id, document_id, 2 AS version FROM chunks WHERE chunk_index = 0 AND document_id % 5 = 0)
+    f"""WITH {_CHUNKS}, {_CHANGED}, fresh AS (SELECT id, document_id, 2 AS version FROM chunks WHERE document_id IN (SELECT id FROM changed))
   SELECT id, document_id, version FROM chunks WHERE document_id IS NULL OR document_id NOT IN (SELECT document_id FROM fresh) UNION ALL SELECT * FROM fresh"""
 )
 def replace_chunks(spark, folder):
-    """Chunks after those of every fifth document were written anew."""
-    own = chunks_of(spark, folder).select("id", "document_id", "version", "chunk_index")
-    fresh = own.where("chunk_index = 0 AND document_id % 5 = 0").withColumn("version", F.lit(2))
-    return refresh.replace_rows(own.drop("chunk_index"), fresh.drop("chunk_index"), "document_id")
+    """Chunks after those of all changed notes were written anew."""
+    own = chunks_of(spark, folder).select("id", "document_id", "version")
+    fresh = own.join(_changed(spark, folder).withColumnRenamed("id", "document_id"), "document_id", "left_semi").withColumn("version", F.lit(2))
+    return refresh.replace_rows(own, fresh.select(own.columns), "document_id")
 
 
 @query(
@@ -489,7 +559,10 @@ def keyword_clusters(spark, folder):
     return clusters.label_clusters(labels)
 
 
-@query()
+@query(
+    """WITH h AS (SELECT collection_id, md5(concat_ws(chr(31), rel_path, file_hash)) AS m FROM vq_documents)
+  SELECT collection_id, count(*) AS notes, sha256(CAST(sum(CAST('0x' || m[1:15] AS HUGEINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || m[17:31] AS HUGEINT)) AS VARCHAR)) AS digest FROM h GROUP BY collection_id"""
+)
 def workspace_digest(spark, folder):
     """One hash per collection over all of its notes."""
     return clusters.workspace_digest(table(spark, folder, "vq_documents").select("collection_id", "rel_path", "file_hash"))
@@ -530,13 +603,11 @@ def object_template(spark, folder):
     return windows.object_template(rows).select("id", "embedding_text")
 
 
-@query(
-    f"WITH {_CHUNKS} SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN 'point-' || id END, qdrant_point_id) AS qdrant_point_id FROM chunks"
-)
+@query(f"WITH {_CHUNKS} SELECT id, CASE WHEN coalesce(trim(qdrant_point_id), '') = '' THEN 'point-' || id ELSE qdrant_point_id END AS qdrant_point_id FROM chunks")
 def point_writeback(spark, folder):
-    """Point ids after every third chunk got a new one."""
+    """Point ids after all waiting chunks got one."""
     chunks = chunks_of(spark, folder).select("id", "qdrant_point_id")
-    written = chunks.where("id % 3 = 0").select("id", F.concat(F.lit("point-"), F.col("id").cast("string")).alias("point_id"))
+    written = vectors.pending(chunks).select("id", F.concat(F.lit("point-"), F.col("id").cast("string")).alias("point_id"))
     return mutations.write_point_ids(chunks, written)
 
 
@@ -545,17 +616,17 @@ _LINK_KEY = ", ".join(f"coalesce({k}, '') AS {k}" for k in mutations.KEY)
 
 @query(
     f"""WITH o AS (SELECT {_LINK_KEY}, max(confidence) AS c FROM vq_links GROUP BY ALL),
-  f AS (SELECT {_LINK_KEY}, max(confidence) AS confidence FROM vq_links WHERE id % 4 <> 0 GROUP BY ALL),
+  f AS (SELECT {_LINK_KEY}, max(confidence) AS confidence FROM vq_links WHERE NOT stale GROUP BY ALL),
   s AS (SELECT c.name AS collection_name, d.rel_path AS source_rel_path FROM vq_documents d JOIN vq_collections c ON c.id = d.collection_id WHERE d.status <> 'deleted')
   SELECT o.*  EXCLUDE (c), coalesce(f.confidence, o.c) AS confidence, f.confidence IS NULL AS stale FROM o LEFT JOIN f USING (collection_name, source_rel_path, target_identifier, edge_type, anchor_text, source_kind)
   WHERE EXISTS (SELECT 1 FROM s WHERE s.collection_name = o.collection_name AND s.source_rel_path = o.source_rel_path)"""
 )
 def link_sweep(spark, folder):
-    """Links after an extraction that did not find every fourth one again."""
+    """Links after an extraction that found those again that were not stale."""
     links = table(spark, folder, "vq_links")
     names = table(spark, folder, "vq_collections").select(F.col("id").alias("collection_id"), F.col("name").alias("collection_name"))
     sources = table(spark, folder, "vq_documents").where("status <> 'deleted'").join(names, "collection_id").select("collection_name", "rel_path")
-    return mutations.sweep_links(links, links.where("id % 4 <> 0"), sources)
+    return mutations.sweep_links(links, links.where("NOT stale"), sources)
 
 
 @query(
@@ -576,7 +647,11 @@ def heading_sections(spark, folder):
     return chunk_notes(table(spark, folder, "vq_documents")).groupBy("id", "heading_path").agg(F.count("*").alias("chunks"), F.min("start_line").alias("first_line"))
 
 
-@query()
+@query(
+    f"""WITH {_CHUNKS}, c AS (SELECT id, len(regexp_extract_all(coalesce(text_content, ''), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+')) AS w,
+    len(regexp_extract_all(regexp_replace(coalesce(text_content, ''), '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x0B]', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]')) AS p FROM chunks)
+  SELECT id, CAST(ceil(w * CAST(1.35 AS DOUBLE) + p * CAST(0.35 AS DOUBLE)) AS INTEGER) AS tokens FROM c"""
+)
 def prose_token_estimate(spark, folder):
     """Second token estimate of every chunk."""
     return chunks_of(spark, folder).select("id", T.prose_tokens(F.col("text_content")).alias("tokens"))
