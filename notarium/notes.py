@@ -65,3 +65,49 @@ def capture(root: str, folder: str, text: str, title: str | None, now: datetime,
         path = f"{base}-{n}.md"
     front = f"---\ntype: {kind}\ndomain: {domain}\ncreated: {now:%Y-%m-%d}\n---\n"
     return put(root, path, f"{front}# {head}\n\n{text.strip()}\n")
+
+
+#: Folder of the receipts in a tree; no note lies there.
+RECEIPTS = ".receipts"
+#: Types that kinds of captured text get, and the folders they go to, as fixed values.
+TYPES = {"idea": "concept", "note": "note", "question": "note", "finding": "report", "report": "report", "draft": "draft"}
+FOLDERS = {"idea": "Ideas", "note": "Notes", "question": "Questions", "finding": "Reports", "report": "Reports", "draft": "Inbox"}
+#: Largest note that is written.
+MOST_BYTES = 1_000_000
+
+
+def front_matter(markdown: str) -> dict[str, str]:
+    """The flat fields of a note's front matter."""
+    found = re.match(r"---\n(.*?)\n---(?:\n|$)", markdown, re.S)
+    lines = found[1].split("\n") if found else []
+    return {k.strip(): v.strip().strip("\"'") for k, _, v in (line.partition(":") for line in lines) if _ and not k.startswith((" ", "-", "#"))}
+
+
+def faults(fields: dict[str, str]) -> list[str]:
+    """What is wrong with the front matter of a note that is to be written."""
+    found = [f"missing {name}" for name in ("type", "domain", "created") if not fields.get(name)]
+    if fields.get("created") and not re.fullmatch(r"\d{4}-\d{2}-\d{2}", fields["created"]):
+        found.append("created is no date")
+    return found
+
+
+def perform(operation: str, root: str, given: dict, allowed: tuple[str, ...] = ("",), now: datetime | None = None) -> Written:
+    """One write; ValueError for a path, size or front matter that may not be written."""
+    now = now or datetime.now()
+    if any(len((v or "").encode()) > MOST_BYTES for v in given.values() if isinstance(v, str)):
+        raise ValueError(f"larger than {MOST_BYTES} bytes")
+    if operation == "note_put":
+        wrong = faults(front_matter(given["markdown"]))
+        if wrong:
+            raise ValueError("; ".join(wrong))
+        return put(root, given["rel_path"], given["markdown"], allowed)
+    if operation == "note_append":
+        return append(root, given["rel_path"], given["text"], given.get("heading"), allowed)
+    if operation == "capture":
+        kind = given.get("kind") or "note"
+        checked_path(root, f"{FOLDERS[kind]}/x.md", allowed)
+        return capture(root, FOLDERS[kind], given["text"], given.get("title"), now, TYPES[kind], given.get("domain") or "general")
+    if operation == "note_propose":
+        checked_path(root, "Proposals/x.md", allowed)
+        return capture(root, "Proposals", given["text"], given["title"], now, "draft")
+    raise ValueError(f"no such write: {operation}")

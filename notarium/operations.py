@@ -41,7 +41,55 @@ OPERATIONS = {
     for op in (
         Operation("status", lambda e: e.status()),
         Operation("collection_list", lambda e: e.collections()),
-        Operation("chunk_stats", lambda e, collection_name=None: e.chunk_stats(collection_name), {"collection_name": Param("string")}),
+        Operation(
+            "chunk_stats",
+            lambda e, sample_limit, collection_name=None: e.chunk_stats(collection_name),
+            {"collection_name": Param("string"), "sample_limit": Param("number", default=12)},
+        ),
+        Operation("operation_list", lambda e: e.spark.createDataFrame([(o["name"], o["scope"], o["params"]) for o in list_operations()], "name string, scope string, params map<string,string>")),
+        Operation("background_status", lambda e, collection_name=None: e.background(collection_name), {"collection_name": Param("string")}),
+        Operation(
+            "semantic_clusters",
+            lambda e, seed_limit, related_limit, min_score, session_policy, session_penalty, session_max_per_seed, collection_name=None, seed_prefixes=None, candidate_prefixes=None, exclude_prefixes=None: e.semantic_clusters(
+                collection_name, seed_prefixes, seed_limit=int(seed_limit), keep=int(related_limit), min_score=float(min_score), policy=session_policy, penalty=float(session_penalty),
+                most_sessions=int(session_max_per_seed), candidates=candidate_prefixes or [], excluded=exclude_prefixes or [],
+            ),
+            {
+                "collection_name": Param("string"), "seed_prefixes": Param("array"), "candidate_prefixes": Param("array"), "exclude_prefixes": Param("array"),
+                "seed_limit": Param("number", default=25), "related_limit": Param("number", default=5), "min_score": Param("number", default=0.35),
+                "session_policy": Param("string", default="exclude", among=("exclude", "penalize", "include")), "session_penalty": Param("number", default=0.65),
+                "session_max_per_seed": Param("number", default=1),
+            },
+        ),
+        Operation("fetch", lambda e, point_id: e.fetch(point_id), {"point_id": Param("string", True)}),
+        Operation("write_status", lambda e, collection_name=None: e.write_status(collection_name), {"collection_name": Param("string")}),
+        Operation(
+            "capture",
+            lambda e, text, kind, domain, title=None, collection_name=None: e.write("capture", collection_name, text=text, kind=kind, domain=domain, title=title),
+            {
+                "text": Param("string", True), "kind": Param("string", default="note", among=("idea", "note", "question", "finding", "report", "draft")),
+                "domain": Param("string", default="general"), "title": Param("string"), "collection_name": Param("string"),
+            },
+            scope="write",
+        ),
+        Operation(
+            "note_put",
+            lambda e, rel_path, markdown, collection_name=None: e.write("note_put", collection_name, rel_path=rel_path, markdown=markdown),
+            {"rel_path": Param("string", True), "markdown": Param("string", True), "collection_name": Param("string")},
+            scope="write",
+        ),
+        Operation(
+            "note_append",
+            lambda e, rel_path, text, heading=None, collection_name=None: e.write("note_append", collection_name, rel_path=rel_path, text=text, heading=heading),
+            {"rel_path": Param("string", True), "text": Param("string", True), "heading": Param("string"), "collection_name": Param("string")},
+            scope="write",
+        ),
+        Operation(
+            "note_propose",
+            lambda e, title, body, collection_name=None: e.write("note_propose", collection_name, title=title, text=body),
+            {"title": Param("string", True), "body": Param("string", True), "collection_name": Param("string")},
+            scope="write",
+        ),
         Operation("search", lambda e, query, limit, view: e.search(query, int(limit), "keyword", view), {"query": Param("string", True), "limit": Param("number", default=5), "view": _VIEW}),
         Operation(
             "query",
@@ -78,6 +126,13 @@ def list_operations() -> list[dict[str, Any]]:
     return [{"name": o.name, "scope": o.scope, "params": {k: p.kind + ("!" if p.required else "") for k, p in o.params.items()}} for o in OPERATIONS.values()]
 
 
+def summarize_params(name: str, given: dict[str, Any]) -> dict[str, Any]:
+    """What a call was given, without any value: declared names, the number of others, and the kinds of the values."""
+    known = OPERATIONS[name].params if name in OPERATIONS else {}
+    declared = sorted(k for k in given if k in known)
+    return {"redacted": True, "declared_keys": declared, "unknown_key_count": len(given) - len(declared), "kinds": {k: type(given[k]).__name__ for k in declared}}
+
+
 def check_params(operation: Operation, given: dict[str, Any]) -> dict[str, Any]:
     """The parameters with defaults filled in; ValueError names every fault."""
     faults = [f"unknown parameter {k}" for k in given if k not in operation.params]

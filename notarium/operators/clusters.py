@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notarium.functions.text import matches_prefix, source_class
+
 #: Words that say nothing about relation, and words that make no label, as fixed values.
 RELATED_STOP = "about after agent also and for from idea into like note notes that the this with work".split()
 LABEL_STOP = "about agent agentic and from idea into note notes that the this with workspace".split()
@@ -50,6 +54,78 @@ def anchored_clusters(related: DataFrame, seeds: DataFrame, min_score: float = 0
     )
 
 
+def seed_profile(title: Column, kind: Column, domain: Column, text: Column, most: int = 1600) -> Column:
+    """The text by which a note is searched: its title, kind, domain and the beginning of its text."""
+    parts = [
+        F.trim(title),
+        F.when(F.trim(kind) != "", F.concat(F.lit("type: "), F.trim(kind))),
+        F.when(F.trim(domain) != "", F.concat(F.lit("domain: "), F.trim(domain))),
+        F.substring(F.trim(text), 1, most),
+    ]
+    return F.concat_ws("\n\n", *[F.when(p != "", p) for p in parts])
+
+
+def related_of_seeds(
+    hits: DataFrame,
+    seeds: DataFrame,
+    keep: int = 5,
+    min_score: float = 0.35,
+    policy: str = "exclude",
+    most_sessions: int = 1,
+    prefixes: Sequence[str] = (),
+    excluded: Sequence[str] = (),
+) -> DataFrame:
+    """(seed, item, title, score, n): the related notes of each seed, best first.
+
+    hits has query_id (the seed's id), rel_path, title, score, place and, for the penalize policy, factor; seeds has id, rel_path. Of
+    several hits of a note the first counts. The seed itself, notes outside the prefixes or under an excluded one, sessions
+    where they are excluded, and hits under min_score are left out; penalize multiplies a session's score by its factor and
+    keeps `most_sessions` of a seed.
+    """
+    if policy not in ("exclude", "penalize", "include"):
+        raise ValueError(f"no such session policy: {policy}")
+    session = source_class(F.col("rel_path")) == "agent_session"
+    rows = hits.join(seeds.select(F.col("id").alias("query_id"), F.col("rel_path").alias("seed")), "query_id").where(F.col("rel_path") != F.col("seed"))
+    rows = rows.where(matches_prefix(F.col("rel_path"), list(prefixes)))
+    if excluded:
+        rows = rows.where(~matches_prefix(F.col("rel_path"), list(excluded)))
+    if policy == "exclude":
+        rows = rows.where(~session)
+    score = F.when(session, F.col("score") * F.col("factor")).otherwise(F.col("score")) if policy == "penalize" else F.col("score")
+    rows = rows.withColumn("score", F.round(score, 6)).where(F.col("score") >= min_score)
+    first = Window.partitionBy("seed", "rel_path").orderBy("place")
+    once = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    order = Window.partitionBy("seed").orderBy(F.desc("score"), "rel_path")
+    if policy == "penalize":
+        seen = F.sum(session.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        once = once.withColumn("_s", seen).where(~session | (F.col("_s") <= most_sessions)).drop("_s")
+    ranked = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
+    return ranked.select("seed", F.col("rel_path").alias("item"), "title", "score", "n")
+
+
+def node_clusters(related: DataFrame, seeds: DataFrame, keep: int = 5) -> DataFrame:
+    """Clusters of seed notes around their best related note, with its title as label and the best `keep` related notes.
+
+    One row per cluster: anchor, label, seed_count, seed_paths, related_paths (by score, number of seeds, path), best_score, place.
+    """
+    top = related.where("n = 1").select("seed", F.col("item").alias("anchor"), F.col("title").alias("label"))
+    own = seeds.select(F.col("rel_path").alias("seed"), F.col("title").alias("own")).join(top, "seed", "left")
+    own = own.select("seed", F.coalesce("anchor", "seed").alias("anchor"), F.coalesce("label", "own", "seed").alias("label"))
+    nodes = own.join(related.select("seed", "item", "score"), "seed").groupBy("anchor", "item").agg(F.max("score").alias("score"), F.count("*").alias("links"))
+    order = Window.partitionBy("anchor").orderBy(F.desc("score"), F.desc("links"), "item")
+    nodes = nodes.withColumn("at", F.row_number().over(order)).where(F.col("at") <= keep)
+    listed = nodes.groupBy("anchor").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("related_paths"), F.max("score").alias("best_score")
+    )
+    grouped = own.groupBy("anchor").agg(F.min("label").alias("label"), F.count("*").alias("seed_count"), F.array_sort(F.collect_set("seed")).alias("seed_paths"))
+    rows = grouped.join(listed, "anchor", "left").withColumns(
+        {"related_paths": F.coalesce("related_paths", F.array().cast("array<string>")), "best_score": F.coalesce("best_score", F.lit(0.0))}
+    )
+    # one row per cluster of a bounded number of seeds
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("seed_count"), F.desc("best_score"), "anchor"))
+    return rows.withColumn("place", place)
+
+
 def keyword_label(notes: DataFrame) -> DataFrame:
     """(id, label): each note's most frequent word of four or more letters, first in order among equals; 'general' if none.
 

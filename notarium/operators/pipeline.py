@@ -6,13 +6,14 @@ stages behind the lanes shuffle a few dozen rows a query, whatever the corpus is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notarium.operators import fusion, graph, lexical, sessions, vectors, windows
+from notarium.functions.text import matches_prefix
+from notarium.operators import clusters, fusion, graph, lexical, sessions, vectors, windows
 from notarium.operators.hits import with_payload
 from notarium.runtime import materialize
 
@@ -89,7 +90,7 @@ def semantic_hits(corpus: Corpus, asked: DataFrame, limit: int, embedder: Callab
     return _named(lane.withColumnRenamed("id", "record_id"), "chunk:")
 
 
-def _windows(rows: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
+def with_windows(rows: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
     """rows with the text and lines around their chunk."""
     slim = rows.where("chunk_index IS NOT NULL").select("query_id", "record_id", "document_id", "chunk_index")
     near = windows.neighbour_window(slim, chunks.dropDuplicates(["id"]), radius).drop("document_id", "chunk_index")
@@ -150,4 +151,38 @@ def search(corpus: Corpus, queries: DataFrame, mode: str = "hybrid", n: int = 5,
         rows = fusion.diversify(rows, n, 1 if focused else options.per_document, not focused)
         if focused:
             return rows
-    return _windows(rows, corpus.chunks, options.radius) if options.radius > 0 else rows
+    return with_windows(rows, corpus.chunks, options.radius) if options.radius > 0 else rows
+
+
+def node_clusters(
+    corpus: Corpus,
+    options: Options = Options(),
+    prefixes: Sequence[str] = (),
+    collection_id: int | None = None,
+    seed_limit: int = 25,
+    keep: int = 5,
+    min_score: float = 0.35,
+    policy: str = "exclude",
+    penalty: float = 0.65,
+    most_sessions: int = 1,
+    candidates: Sequence[str] = (),
+    excluded: Sequence[str] = (),
+) -> DataFrame:
+    """Clusters of the newest notes (under prefixes) by what semantic mode finds for their profile; see clusters.node_clusters.
+
+    seed_limit is held to 1..200 and keep to 1..25, so the seeds are a stated, bounded set.
+    """
+    seed_limit, keep = max(1, min(200, seed_limit)), max(1, min(25, keep))
+    notes = corpus.notes.where(F.col("status").isin("indexed", "enriched") & matches_prefix(F.col("rel_path"), list(prefixes)))
+    if collection_id is not None:
+        notes = notes.where(F.col("collection_id") == collection_id)
+    field = lambda name: F.coalesce(F.get_json_object("frontmatter_json", f"$.{name}"), F.lit(""))
+    seeds = notes.orderBy(F.desc("updated_at"), "rel_path", "id").limit(seed_limit)
+    seeds = materialize(seeds.select("id", "rel_path", "title", clusters.seed_profile(F.col("title"), field("type"), field("domain"), F.col("markdown_text")).alias("profile")), "seeds")
+    asked = seeds.select(F.col("id").alias("query_id"), F.col("profile").alias("query_text"))
+    hits = search(corpus, asked, "semantic", max(4 * keep, 8), options)
+    if policy == "penalize":
+        placed = F.col("chunk_index").isNotNull() | F.col("start_line").isNotNull()
+        hits = sessions.with_factor(hits.withColumns({"lanes": F.col("retrieval_lanes"), "placed": placed}), options.as_of, penalty)
+    related = materialize(clusters.related_of_seeds(hits, seeds, keep, min_score, policy, most_sessions, candidates, excluded), "related")
+    return clusters.node_clusters(related, seeds, keep)

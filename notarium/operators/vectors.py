@@ -50,10 +50,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
 
     queries is a stated set (query_id, vector). Up to QUERY_BLOCK of them travel with the tasks to every partition of the
     vectors; more of them are laid out in blocks, of which each meets each block of vectors in a task of its own. Either way a
-    matrix product scores the rows and k per query and task are shuffled. Vectors that are not of the queries' length and null
-    ones are left out, numbers that are not finite count as 0.
+    matrix product scores the rows and k per query and task are shuffled. Null vectors and those that are not of the queries'
+    usual length are left out, as are queries of another length; numbers that are not finite count as 0.
     """
-    asked = materialize(queries.select("query_id", "vector").where(F.col("vector").isNotNull()), "queries")
+    filled = F.transform(F.col("vector").cast("array<double>"), lambda x: F.coalesce(x, F.lit(0.0))).alias("vector")
+    asked = materialize(queries.where(F.col("vector").isNotNull()).select("query_id", filled), "queries")
+    usual = asked.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    dim = usual["dim"] if usual else 0
+    asked = asked.where(F.size("vector") == dim)
     source = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"))
     few = asked.limit(QUERY_BLOCK + 1).collect()  # a bounded number of rows
     fields = "query_id bigint, id bigint, score double"
@@ -61,7 +65,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
         out = vectors.sparkSession.createDataFrame([], fields)
     elif len(few) <= QUERY_BLOCK:
         names = np.array([r["query_id"] for r in few], np.int64)
-        matrix = _unit(np.array([[float(x or 0) for x in r["vector"]] for r in few]))
+        matrix = _unit(np.array([r["vector"] for r in few], float))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
@@ -73,15 +77,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
 
         out = source.mapInArrow(run, fields)
     else:
-        out = _in_blocks(source, asked, k, apart, fields)
+        out = _in_blocks(source, asked, dim, k, apart, fields)
     out = out.withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _in_blocks(source: DataFrame, asked: DataFrame, k: int, apart: bool, fields: str) -> DataFrame:
+def _in_blocks(source: DataFrame, asked: DataFrame, dim: int, k: int, apart: bool, fields: str) -> DataFrame:
     """Each block of queries against each block of vectors."""
-    dim = asked.select(F.size("vector")).first()[0]
     source = materialize(source, "vectors")
     many, more = -(-max(source.count(), 1) // VECTOR_BLOCK), -(-asked.count() // QUERY_BLOCK)
     ours = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(more))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<bigint>")))

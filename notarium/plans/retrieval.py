@@ -555,6 +555,29 @@ def related_work(spark, folder):
     return rows.select("query_id", "record_id", clusters.connection_reason(F.col("query_text"), text, F.col("lanes")).alias("reason"))
 
 
+_Q = _TERMS.split("q AS (", 1)[1].split("),\nqt AS", 1)[0]
+_SEEDS = """seeds AS (SELECT id, rel_path, title, json_extract_string(frontmatter_json, '$.type') AS kind, json_extract_string(frontmatter_json, '$.domain') AS domain, markdown_text FROM vq_documents
+  WHERE status IN ('indexed', 'enriched') AND (starts_with(rel_path, '10_Projects/') OR starts_with(rel_path, 'Daily/')) ORDER BY updated_at DESC, rel_path, id LIMIT 25), """
+_PROFILES = """SELECT id AS query_id, concat_ws(chr(10) || chr(10), CASE WHEN trim(title) <> '' THEN trim(title) END, CASE WHEN trim(kind) <> '' THEN 'type: ' || trim(kind) END,
+  CASE WHEN trim(domain) <> '' THEN 'domain: ' || trim(domain) END, CASE WHEN trim(markdown_text) <> '' THEN substring(trim(markdown_text), 1, 1600) END) AS query_text FROM seeds"""
+
+
+@query(
+    _mode_sql("semantic", 20).split(" SELECT f.query_id, f.record_id, f.score")[0].replace("WITH \n", "WITH ", 1).replace(_Q, _PROFILES, 1).replace("q AS (", _SEEDS + "q AS (", 1)
+    + """, h AS (SELECT s.rel_path AS seed, f.rel_path AS item, f.title, round(f.score, 6) AS score, f.place FROM final f JOIN seeds s ON s.id = f.query_id WHERE f.rel_path <> s.rel_path AND NOT starts_with(f.rel_path, '88_Agents/sessions/') AND f.score >= 0.35),
+  o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY seed, item ORDER BY place) = 1),
+  k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, item) AS n FROM o QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, item) <= 5),
+  a AS (SELECT s.rel_path AS seed, coalesce(k.item, s.rel_path) AS anchor, coalesce(k.title, s.title, s.rel_path) AS label FROM seeds s LEFT JOIN k ON k.seed = s.rel_path AND k.n = 1),
+  m AS (SELECT anchor, item, max(score) AS score, count(*) AS links FROM a JOIN k USING (seed) GROUP BY ALL),
+  b AS (SELECT anchor, list(item ORDER BY score DESC, links DESC, item)[1:5] AS related_paths, max(score) AS best_score FROM m GROUP BY anchor)
+  SELECT a.anchor, min(label) AS label, count(*) AS seed_count, list_sort(list(seed)) AS seed_paths, coalesce(any_value(related_paths), []) AS related_paths, coalesce(any_value(best_score), 0.0) AS best_score,
+    row_number() OVER (ORDER BY count(*) DESC, coalesce(any_value(best_score), 0.0) DESC, a.anchor) AS place FROM a LEFT JOIN b ON b.anchor = a.anchor GROUP BY a.anchor"""
+)
+def node_clusters(spark, folder):
+    """The 25 newest notes of two folders, clustered by what the dense lane finds for them."""
+    return pipeline.node_clusters(corpus_of(spark, folder), pipeline.Options(as_of=AS_OF), prefixes=["10_Projects/", "Daily/"])
+
+
 _THINK = _mode_sql("hybrid").split(" SELECT f.query_id, f.record_id, f.score")[0]
 
 

@@ -8,6 +8,10 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 
+#: How a switch may be written.
+_SWITCH = {"1": True, "true": True, "yes": True, "on": True, "0": False, "false": False, "no": False, "off": False}
+
+
 @dataclass
 class Settings:
     """Numbers that the engine works with; from_env reads NOTARIUM_<NAME>."""
@@ -19,12 +23,16 @@ class Settings:
     rerank_pool: int = 25
     neighbour_radius: int = 1
     results_per_document: int = 2
+    session_policy: str = "penalize"
     session_penalty: float = 0.65
     session_most: int = 1
     graph_top_k: int = 20
     graph_floor_ratio: float = 0.0
+    graph_signals: bool | None = None
+    reranker: bool = True
     embed_batch_tokens: int = 12_000
     embed_batch_items: int = 32
+    write_folders: tuple[str, ...] = ("",)
     poll_seconds: float = 300.0
     new_file_seconds: float = 600.0
     changed_seconds: float = 86_400.0
@@ -40,8 +48,14 @@ class Settings:
             if raw is None or f.name == "extra":
                 continue
             try:
-                setattr(out, f.name, type(getattr(out, f.name))(raw))
-            except ValueError:
+                own = getattr(out, f.name)
+                if f.name == "write_folders":
+                    setattr(out, f.name, tuple(x.strip() for x in raw.split(",")))
+                elif f.name == "graph_signals" or isinstance(own, bool):
+                    setattr(out, f.name, _SWITCH[raw.strip().lower()])
+                else:
+                    setattr(out, f.name, type(own)(raw))
+            except (ValueError, KeyError):
                 continue
         return out
 
