@@ -61,16 +61,27 @@ def best(scored: DataFrame, limit: int, tie: str = "record_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def _frequencies(index: DataFrame) -> DataFrame:
+    """(term, df): records per term."""
+    return index.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def keyword_lane(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
-    """Records holding all terms of a query, scored by the sum of tf / (tf + 1)."""
-    hits = query_terms(queries).join(index, "term")
+    """Records holding all terms of a query, scored by the sum of tf / (tf + 1).
+
+    A query starts from its rarest term: only the records of that one are looked up for the others, so frequent words never
+    join their whole posting lists unless a query has nothing else.
+    """
+    terms = query_terms(queries).join(_frequencies(index), "term")
+    known = terms.groupBy("query_id").agg(F.count("*").alias("present"), F.first("terms").alias("terms"), F.min(F.struct("df", "term")).alias("r"))
+    whole = materialize(known.where("present = terms").select("query_id", "terms", F.col("r.term").alias("term")), "rarest")
+    candidates = whole.select("query_id", "term").join(index, "term").select("query_id", "record_id")
+    wanted = candidates.join(terms.select("query_id", "term"), "query_id")
     scored = (
-        hits.groupBy("query_id", "record_id")
-        .agg(
-            F.count("*").alias("found"),
-            F.first("terms").alias("terms"),
-            F.round(F.sum(F.col("tf") / (F.col("tf") + 1)), 9).alias("score"),
-        )
+        wanted.join(index.select("term", "record_id", "tf"), ["term", "record_id"])
+        .groupBy("query_id", "record_id")
+        .agg(F.count("*").alias("found"), F.round(F.sum(F.col("tf") / (F.col("tf") + 1)), 9).alias("score"))
+        .join(whole.select("query_id", "terms"), "query_id")
         .where(F.col("found") == F.col("terms"))
     )
     return best(scored.select("query_id", "record_id", "score"), limit)
@@ -133,12 +144,39 @@ def title_lane(queries: DataFrame, titles: DataFrame, limit: int) -> DataFrame:
     return best(both.where(F.col("base").isNotNull() | in_title | in_path).select("query_id", "record_id", F.round(score, 9).alias("score")), limit)
 
 
-def bm25_lane(queries: DataFrame, index: DataFrame, totals: tuple[int, float], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Records holding any term of a query, by BM25; index from query_index, totals from lengths (over the whole table)."""
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    hits = query_terms(queries).join(frequency, "term").join(index, "term")
+#: Share of the records from which a term is frequent for bm25_lane.
+FREQUENT = 0.1
+
+
+def bm25_lane(
+    queries: DataFrame, index: DataFrame, totals: tuple[int, float], limit: int, k1: float = 1.2, b: float = 0.75, frequent: float = FREQUENT
+) -> DataFrame:
+    """Records holding any term of a query, by BM25; index from query_index, totals from lengths (over the whole table).
+
+    Frequent terms are looked up late. A frequent term adds at most idf * (k1 + 1). Where a query's `limit`-th best score over its
+    other terms alone is above the sum of these bounds, no record without one of the other terms can be among the best, and of the rest only
+    records within the bounds of that score are completed. Queries that cannot be settled so are scored over all their
+    terms. The result is exact either way.
+    """
     records, mean = totals
-    idf = F.log(1 + (records - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = hits.groupBy("query_id", "record_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return best(scored, limit)
+    weighed = query_terms(queries).join(_frequencies(index), "term")
+    weighed = weighed.withColumns(
+        {"idf": F.log(1 + (records - F.col("df") + 0.5) / (F.col("df") + 0.5)), "late": F.col("df") > frequent * records}
+    ).select("query_id", "term", "idf", "late")
+    weighed = materialize(weighed, "weights")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+
+    def summed(hits: DataFrame) -> DataFrame:
+        return hits.groupBy("query_id", "record_id").agg(F.sum(part).alias("score"))
+
+    first = materialize(summed(weighed.where("NOT late").join(index, "term")), "early")
+    bounds = weighed.groupBy("query_id").agg(F.sum(F.when(F.col("late"), F.col("idf") * (k1 + 1)).otherwise(0.0)).alias("more"))
+    least = best(first, limit).where(F.col("rank") == limit).select("query_id", F.col("score").alias("least"))
+    # scores are rounded at the end, so the bounds keep clear of that
+    judged = materialize(bounds.join(least, "query_id", "left").withColumn("settled", (F.col("more") == 0) | F.coalesce(F.col("least") > F.col("more") + 1e-5, F.lit(False))), "bounds")
+    settled = judged.where("settled").select("query_id", "more", "least")
+    kept = first.join(settled, "query_id").where(F.col("least").isNull() | (F.col("score") + F.col("more") + 1e-5 >= F.col("least"))).select("query_id", "record_id", "score")
+    late = kept.join(weighed.where("late").select("query_id", "term", "idf"), "query_id").drop("score").join(index, ["term", "record_id"])
+    done = kept.unionByName(summed(late)).groupBy("query_id", "record_id").agg(F.sum("score").alias("score"))
+    rest = summed(weighed.join(judged.where("NOT settled").select("query_id"), "query_id", "left_semi").join(index, "term"))
+    return best(done.unionByName(rest).withColumn("score", F.round("score", 6)), limit)

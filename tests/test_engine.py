@@ -195,6 +195,20 @@ def test_semantic_mode_needs_vectors(spark):
     assert not pipeline.has_vectors(bare) and found(spark, bare, "river", "semantic") == [] and found(spark, bare, "river", "hybrid")
 
 
+def test_late_terms_change_no_bm25_result(spark):
+    import random
+
+    r = random.Random(5)
+    words = ["the", "of", "and"] + [f"w{i}" for i in range(40)]
+    texts = spark.createDataFrame([(i, " ".join(r.choice(words[:3]) if r.random() < 0.5 else r.choice(words) for _ in range(r.randrange(1, 30)))) for i in range(300)], "id bigint, t string")
+    asked = [(0, "the of and"), (1, "w1"), (2, "the w2 w3"), (3, "w4 of w5 the"), (4, "nothing here"), (5, "the")] + [(10 + i, " ".join(r.choice(words) for _ in range(3))) for i in range(30)]
+    queries = spark.createDataFrame(asked, "query_id bigint, query_text string")
+    index, totals = lexical.query_index(texts, "id", "t", queries), lexical.lengths(texts, "id", "t")
+    for limit in (3, 10):
+        early, late = (sorted(map(tuple, lexical.bm25_lane(queries, index, totals, limit, frequent=share).collect())) for share in (2.0, 0.1))
+        assert early == late and len(early) > 50
+
+
 def test_words_within(spark):
     terms = spark.createDataFrame([("riverbank",), ("bank",), ("ab",), ("",)], "term string")
     needles = spark.createDataFrame([("bank",), ("verb",), ("b",), ("zzz",)], "word string")
