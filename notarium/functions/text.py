@@ -42,6 +42,11 @@ def clean_nul(text: Column) -> Column:
     return F.translate(text, "\x00", "�")
 
 
+def json_safe(value: Column) -> Column:
+    """A struct, map or array as JSON, NUL characters at any depth replaced by the replacement character."""
+    return F.regexp_replace(F.to_json(value), r"(?<!\\)((?:\\\\)*)\\u0000", "$1\ufffd")
+
+
 def content_hash(text: Column) -> Column:
     """SHA-256 of the cleaned text."""
     return F.sha2(clean_nul(text), 256)
@@ -83,12 +88,36 @@ def bounded_text(text: Column, most: int = 6000) -> Column:
     )
 
 
+def _prose_counts(text: Column) -> tuple[Column, Column]:
+    """Words and punctuation marks of a text."""
+    return F.regexp_count(text, F.lit(r"(?U)\b\w+\b")), F.regexp_count(text, F.lit(r"(?U)[^\w\s]"))
+
+
+def _prose_size(words_: Column, marks: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(words_ * F.lit(1.35) + marks * F.lit(0.35)).cast("int"))
+
+
 def prose_tokens(text: Column) -> Column:
-    """Second estimate: 1.35 per word and 0.35 per punctuation mark, rounded up."""
+    """Second estimate: 1.35 per word and 0.35 per punctuation mark, rounded up, 1 at least."""
+    return _prose_size(*_prose_counts(F.coalesce(text, F.lit(""))))
+
+
+def truncated_prose(text: Column, most: int) -> Column:
+    """The text if its second estimate is within most, else its first words as long as they stay under it; null as ''."""
     own = F.coalesce(text, F.lit(""))
-    w = F.regexp_count(own, F.lit(r"(?U)\b\w+\b"))
-    p = F.regexp_count(own, F.lit(r"(?U)[^\w\s]"))
-    return F.ceil(w * F.lit(1.35) + p * F.lit(0.35)).cast("int")
+
+    def add(state: Column, word: Column) -> Column:
+        w, m = _prose_counts(word)
+        w, m = state["w"] + w, state["m"] + m
+        fits = ~state["full"] & (_prose_size(w, m) < most)
+        return F.struct(
+            F.when(fits, w).otherwise(state["w"]).alias("w"), F.when(fits, m).otherwise(state["m"]).alias("m"),
+            F.when(fits, state["kept"] + 1).otherwise(state["kept"]).alias("kept"), (~fits).alias("full"),
+        )
+
+    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("m"), F.lit(0).alias("kept"), F.lit(False).alias("full"))
+    kept = F.aggregate(words(own), start, add, lambda s: s["kept"])
+    return F.when(prose_tokens(own) <= most, own).otherwise(F.array_join(F.slice(words(own), F.lit(1), kept), " "))
 
 
 def slug(text: Column) -> Column:
@@ -202,6 +231,17 @@ def derived_title(title: Column, name: Column, body: Column, path: Column) -> Co
     return F.coalesce(*given, F.when(heading != "", heading), stem_of(path))
 
 
+def workspace_title(text: Column, path: Column) -> Column:
+    """The first heading of level one, or the file's stem in words with capitals."""
+    heading = F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?m)^# +(\S.*)$", 1))
+    return F.when(heading != "", heading).otherwise(F.initcap(F.regexp_replace(stem_of(path), "[-_]+", " ")))
+
+
+def normal_topics(topics: Column) -> Column:
+    """Topics in lower case without blanks around, each once, blank ones left out."""
+    return F.array_distinct(F.filter(F.transform(topics, lambda t: F.lower(F.trim(t))), lambda t: t != ""))
+
+
 def target_parts(target: Column) -> Column:
     """Collection and path of an address such as scheme://collection/path; null without a scheme."""
     rx = r"^[A-Za-z]+://([^/]+)/?(.*)$"

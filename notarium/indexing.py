@@ -35,6 +35,13 @@ class Indexer:
         self.spark, self.store = spark, store
         self.embedder = embedder or vectors.hash_embedding()
 
+    def init(self, reset: bool = False) -> list[str]:
+        """Create the tables that are missing, or all of them anew; their names."""
+        names = [n for n in TABLES if reset or self.store.version(n) is None]
+        for name in names:
+            self.store.write(name, self.spark.createDataFrame([], TABLES[name]))
+        return names
+
     def table(self, name: str) -> DataFrame:
         """The current version of a table, or an empty one."""
         if self.store.version(name) is None:

@@ -2,8 +2,8 @@
 
 Each note is cut within its row, in Arrow batches: sections by headings, sections into pieces of at most `most` tokens, small
 pieces merged forward, and an overlap with the piece before. Lines count from 1 in the whole text. Headings in fenced code
-are none, and text before the first heading is a section of its own. Tokens are words and punctuation marks, as no public
-tokenizer of the usual service is at hand; another counter can be passed.
+are none, and text before the first heading is a section of its own. Tokens are words and punctuation marks unless a counter
+over a public vocabulary is passed.
 """
 
 from __future__ import annotations
@@ -131,15 +131,18 @@ def chunk_text(
     return out
 
 
-def chunk_notes(notes: DataFrame, id_col: str = "id", text_col: str = "markdown_text") -> DataFrame:
-    """Chunks (see CHUNKS) of every note."""
+def chunk_notes(
+    notes: DataFrame, id_col: str = "id", text_col: str = "markdown_text", counter: Callable[[], Callable[[str], int]] | None = None, most: int = MAX_TOKENS
+) -> DataFrame:
+    """Chunks (see CHUNKS) of every note; counter makes a token counter in each task, such as vocabulary.token_counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter() if counter else count_tokens
         for batch in batches:
             rows = [
                 (i, n, path, title, text, tokens, len(text), first, last)
                 for i, note in zip(batch["id"].to_pylist(), batch["text"].to_pylist())
-                for n, (text, path, title, tokens, first, last) in enumerate(chunk_text(note))
+                for n, (text, path, title, tokens, first, last) in enumerate(chunk_text(note, most=most, count=count))
             ]
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             columns = list(zip(*rows)) if rows else [()] * 9

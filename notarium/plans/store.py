@@ -650,8 +650,49 @@ def heading_sections(spark, folder):
 @query(
     f"""WITH {_CHUNKS}, c AS (SELECT id, len(regexp_extract_all(coalesce(text_content, ''), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+')) AS w,
     len(regexp_extract_all(regexp_replace(coalesce(text_content, ''), '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x0B]', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]')) AS p FROM chunks)
-  SELECT id, CAST(ceil(w * CAST(1.35 AS DOUBLE) + p * CAST(0.35 AS DOUBLE)) AS INTEGER) AS tokens FROM c"""
+  SELECT id, greatest(1, CAST(ceil(w * CAST(1.35 AS DOUBLE) + p * CAST(0.35 AS DOUBLE)) AS INTEGER)) AS tokens FROM c"""
 )
 def prose_token_estimate(spark, folder):
     """Second token estimate of every chunk."""
     return chunks_of(spark, folder).select("id", T.prose_tokens(F.col("text_content")).alias("tokens"))
+
+
+_W = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]"
+
+
+@query(
+    f"""WITH {_CHUNKS}, s AS (SELECT id, coalesce(text_content, '') AS t, list_filter(string_split({_collapse('text_content')}, ' '), lambda x: x <> '') AS own FROM chunks),
+  o AS (SELECT id, unnest(own) AS word, generate_subscripts(own, 1) AS k FROM s),
+  c AS (SELECT id, k, word, len(regexp_extract_all(word, '{_W}+')) AS w, len(regexp_extract_all(word, '[^{_W[1:-1]}]')) AS m FROM o),
+  r AS (SELECT id, k, word, greatest(1, ceil(sum(w) OVER (PARTITION BY id ORDER BY k) * CAST(1.35 AS DOUBLE) + sum(m) OVER (PARTITION BY id ORDER BY k) * CAST(0.35 AS DOUBLE))) AS size FROM c),
+  e AS (SELECT id, max(size) AS whole, coalesce(string_agg(word, ' ' ORDER BY k) FILTER (WHERE size < 64), '') AS cut FROM r GROUP BY id)
+  SELECT s.id, CASE WHEN coalesce(e.whole, 1) <= 64 THEN s.t ELSE e.cut END AS truncated FROM s LEFT JOIN e USING (id)"""
+)
+def truncated_prose(spark, folder):
+    """Every chunk cut to 64 tokens of the second estimate."""
+    return chunks_of(spark, folder).select("id", T.truncated_prose(F.col("text_content"), 64).alias("truncated"))
+
+
+@query(
+    f"WITH {_OBJECTS} SELECT document_id, count(*) AS segments, min(line_start) AS line_start, max(line_end) AS line_end, string_agg(body_text, chr(10) ORDER BY line_start, id) AS body_text "
+    "FROM objects WHERE object_type = 'segment_summary' GROUP BY document_id"
+)
+def document_spans(spark, folder):
+    """The segment summaries of every document in one, with the lines they span."""
+    return knowledge.document_spans(knowledge.objects_from_sections(chunks_of(spark, folder)))
+
+
+@query(SQL["context_template"].replace("SELECT l.id, k.name,", "SELECT l.id, l.qdrant_point_id, k.name,") + " WHERE coalesce(trim(qdrant_point_id), '') = ''")
+def pending_chunks(spark, folder):
+    """The text that is embedded for every chunk that waits for a vector, with the texts around it."""
+    waiting = vectors.pending(chunks_of(spark, folder)).select("id")
+    return context_template(spark, folder).join(waiting, "id", "left_semi")
+
+
+@query(
+    """SELECT id, CASE WHEN trim(regexp_extract(coalesce(markdown_text, ''), '(?m)^# +(\\S.*)$', 1)) <> '' THEN trim(regexp_extract(markdown_text, '(?m)^# +(\\S.*)$', 1))
+    ELSE array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_extract(rel_path, '[^/]*$'), '(.)\\.[^.]*$', '\\1'), '[-_]+', ' ', 'g'), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') END AS title FROM vq_documents"""
+)
+def workspace_titles(spark, folder):
+    """First heading, or the file name in words, of every note."""
+    return table(spark, folder, "vq_documents").select("id", T.workspace_title(F.col("markdown_text"), F.col("rel_path")).alias("title"))

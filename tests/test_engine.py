@@ -292,3 +292,58 @@ def test_all_operations_run(spark, small, tmp_path):
     assert len(list_operations()) == len(OPERATIONS) == 21
     summary = summarize_params("capture", {"text": "private note", "kind": "idea", "weird_secret": "abc"})
     assert summary["declared_keys"] == ["kind", "text"] and summary["unknown_key_count"] == 1 and "private note" not in str(summary)
+
+
+# --- small parts ----------------------------------------------------------------------------------
+
+
+def test_json_is_safe_at_any_depth(spark):
+    from notarium.functions import text as T
+
+    row = spark.range(1).select(F.struct(F.lit("a\x00b").alias("x"), F.array(F.struct(F.lit("\\\\u0000").alias("y"), F.lit("\x00").alias("z"))).alias("l")).alias("v"))
+    import json
+
+    got = json.loads(row.select(T.json_safe(F.col("v"))).first()[0])
+    assert got == {"x": "a\ufffdb", "l": [{"y": "\\\\u0000", "z": "\ufffd"}]}
+
+
+def test_a_token_budget_waits():
+    from notarium.operators.knowledge import TokenBudget
+
+    now = {"t": 0.0}
+    budget = TokenBudget(100, lambda: now["t"], lambda s: now.update(t=now["t"] + s))
+    for n in (60, 40, 10, 500, 1):
+        budget.take(n)
+    assert now["t"] == 180.0
+
+
+def test_documents_are_summarised(spark):
+    from notarium.operators import knowledge
+
+    rows = [(1, 5, "segment_summary", "t", "one", [1], 4, 9, 0.5), (2, 5, "segment_summary", "t", "two", [2], 1, 3, 0.5), (3, 6, "concept", "t", "x", [3], 1, 1, 0.5), (4, 7, "segment_summary", "t", "", [4], 1, 1, 0.5)]
+    df = spark.createDataFrame(rows, "id bigint, document_id bigint, object_type string, title string, body_text string, source_chunk_ids array<bigint>, line_start int, line_end int, confidence double")
+    got = knowledge.summarise_documents(df, lambda: str.upper).collect()
+    assert [tuple(r) for r in got] == [(5, "document_summary", "TWO\nONE", 1, 9)]
+
+
+def test_chunks_by_a_public_vocabulary(spark):
+    import os
+
+    from notarium.functions.vocabulary import ranks_of, token_counter
+    from notarium.operators.chunking import chunk_notes
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no vocabularies here")
+    counter = token_counter(ranks_of(path))
+    text = "# H\n\n" + " ".join(f"Sentence number {i} about zusammengesetzte words." for i in range(200))
+    rows = chunk_notes(spark.createDataFrame([(1, text), (2, None)], "id bigint, markdown_text string"), counter=counter).collect()
+    count = counter()
+    assert len(rows) > 5 and all(r["token_count"] == count(r["text_content"]) <= 340 for r in rows)
+
+
+def test_a_store_is_made_and_reset(spark, indexer):
+    assert set(indexer.init()) == set(indexing.TABLES) and indexer.init() == []
+    indexer.store.write("vq_vectors", spark.createDataFrame([("p", [1.0], {})], indexing.TABLES["vq_vectors"]))
+    indexer.init(reset=True)
+    assert indexer.table("vq_vectors").count() == 0
