@@ -199,7 +199,7 @@ def object_template(rows: DataFrame) -> DataFrame:
 
 
 def context_template(rows: DataFrame) -> DataFrame:
-    """rows with embedding_text: the passage with where it stands and what surrounds it.
+    """rows with embedding_text: the passage with where it stands and what surrounds it. The labels are fixed values.
 
     rows has collection_name, rel_path, title, heading_path, segment_summary, document_summary, contexts (array), prev_text,
     next_text and text_content.
