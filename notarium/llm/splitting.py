@@ -1,10 +1,10 @@
 """Cutting oversized items at natural boundaries, by content-defined chunking.
 
 Words are runs of non-blank characters. A rolling hash over the last words marks landmarks that depend on the content only.
-From the start of a piece the first landmark between the least and the greatest size is taken and snaps to the nearest
-natural boundary (before a heading, at a blank line, at a sentence end, at a line end, in this order of worth); where a range
-has no landmark, its last boundary of the best kind is the cut, and where it has none at all, the size limit. So an edit
-moves the neighbouring cuts only. Each piece repeats the last words of the piece before.
+From the start of a piece the first landmark between the least and the greatest size that has a natural boundary (before a
+heading, at a blank line, at a sentence end) within EVERY words snaps to the nearest one; where there is none, the last
+boundary of the best kind in the range is the cut (a line end is the least kind), and where it has none at all, a landmark or the
+size limit. So an edit moves the neighbouring cuts only. Each piece repeats the last words of the piece before.
 
 Everything happens within one row (a note or a chunk), in Arrow batches without any shuffle but the one that brings a
 chunk to its note's collection; that one carries only chunks which are too long for the smallest limit.
@@ -16,6 +16,7 @@ time. Repeated rows give the same pieces once; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ PIECES = (
 )
 #: Landmarks come once in so many words, and depend on so many words.
 EVERY, ROLL = 24, 4
+_BASE, _MODULUS = 1_000_003, 2**32
 
 _WORD = re.compile(r"\S+")
 _HEADING = re.compile(r"(#{1,6})[ \t]+(\S.*?)\s*$")
@@ -85,6 +87,21 @@ def boundaries(text: str) -> tuple[list[tuple[int, int]], list[int]]:
     return spans, [*worth, 5] if spans else []
 
 
+def landmarks(codes: list[int]) -> list[int]:
+    """Numbers of words behind which a landmark stands: the rolling hash of the last ROLL words is a multiple of EVERY.
+
+    The hash is a polynomial: a step takes the word that leaves the window out and the new one in.
+    """
+    leaving = pow(_BASE, ROLL, _MODULUS)
+    found, rolled = [], 0
+    for i, code in enumerate(codes):
+        out = codes[i - ROLL] if i >= ROLL else 0
+        rolled = (rolled * _BASE + code - out * leaving) % _MODULUS
+        if rolled % EVERY == 0:
+            found.append(i + 1)
+    return found
+
+
 def cuts(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Spans of the words and the (first, past last) words of each piece."""
     spans, worth = boundaries(text)
@@ -92,7 +109,8 @@ def cuts(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int]], li
     if n <= limit:
         return spans, [(0, n)] if n else []
     overlap = max(0, min(overlap, limit - 1))
-    codes = [zlib.crc32(text[a:b].encode("utf-8", "surrogatepass")) for a, b in spans]
+    marks = landmarks([zlib.crc32(text[a:b].encode("utf-8", "surrogatepass")) for a, b in spans])
+    natural = [i + 1 for i, w in enumerate(worth) if w >= 2]
     pieces, start = [], 0
     while start < n:
         room = limit - (overlap if pieces else 0)
@@ -100,22 +118,19 @@ def cuts(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int]], li
             cut = n
         else:
             least, most = start + max(1, room // 3), start + room
+            inside = natural[bisect.bisect_left(natural, least) : bisect.bisect_right(natural, most)]
             cut = 0
-            for i in range(least, most + 1):
-                rolled = 0
-                for code in codes[max(0, i - ROLL) : i]:
-                    rolled = (rolled * 1000003 + code) & 0xFFFFFFFF
-                if rolled % EVERY == 0:
-                    cut = i
+            # the first landmark that has a natural boundary close by
+            for mark in marks[bisect.bisect_left(marks, least) : bisect.bisect_right(marks, most)]:
+                at = bisect.bisect_left(inside, mark)
+                close = [i for i in inside[max(0, at - 1) : at + 1] if abs(i - mark) <= EVERY]
+                if close:
+                    cut = min(close, key=lambda i: (abs(i - mark), -worth[i - 1], i))
                     break
-            near = range(least, most + 1)
-            best = max(worth[i - 1] for i in near)
-            if cut:
-                # nearest boundary of at least a sentence's worth, or the nearest of any worth
-                natural = [i for i in near if worth[i - 1] >= min(best, 2)] if best else [cut]
-                cut = min(natural, key=lambda i: (abs(i - cut), -worth[i - 1], i))
-            else:
-                cut = max(i for i in near if worth[i - 1] == best) if best else most
+            if not cut:
+                near = range(least, most + 1)
+                best = max(worth[i - 1] for i in near)
+                cut = max(i for i in near if worth[i - 1] == best) if best else next(iter(marks[bisect.bisect_left(marks, least) : bisect.bisect_right(marks, most)]), most)
         pieces.append((max(0, start - overlap) if pieces else 0, cut))
         start = cut
     return spans, pieces

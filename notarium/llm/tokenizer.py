@@ -35,7 +35,7 @@ TOKENIZER_DIR = "/opt/tokenizers"
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 8192
 #: Folded words whose share of all occurrences is at least 1 / HOT are broadcast.
-HOT = 10_000
+HOT = 50_000
 #: Bytes of a word from which it is cut where no token can lie.
 LONG = 48
 NO_RANK = 2**31 - 1
