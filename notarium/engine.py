@@ -172,6 +172,10 @@ class Engine:
 
         return link_extract(self.spark, self.folder)
 
+    def refreshed_links(self) -> DataFrame:
+        """The link table after all notes were read again, to be written in place of the old one."""
+        return graph.refresh(*[self._table(t) for t in ("vq_links", "vq_documents", "vq_collections")])
+
     def refresh_plan(self, listed: DataFrame) -> DataFrame:
         """What a refresh would do with every listed file."""
         return refresh.classify_refresh(self._table("vq_documents"), listed)

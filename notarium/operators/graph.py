@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notarium.functions.text import clean_path
+from notarium.operators.mutations import sweep_links
 from notarium.operators.sessions import session_prefix
 from notarium.runtime import materialize
 
@@ -101,6 +102,31 @@ def expand_basenames(links: DataFrame, notes: DataFrame, most: int = 10) -> Data
     return links.unionByName(extra.select(*links.columns))
 
 
+def extract(notes: DataFrame, collections: DataFrame, basenames: bool = True) -> DataFrame:
+    """Links of all notes (collection_name, source_rel_path, target, edge_type, anchor, source_kind, confidence), those that are
+    too large left out; with basenames also the notes that plain wiki links name by file name.
+
+    notes has collection_id, rel_path, markdown_text, frontmatter_json; collections has id, name.
+    """
+    names = collections.select(F.col("id").alias("collection_id"), F.col("name").alias("collection_name"))
+    own = notes.join(names, "collection_id")
+    fields = F.from_json(F.coalesce("frontmatter_json", F.lit("{}")), "map<string,string>")
+    rows = own.select("collection_name", F.col("rel_path").alias("source_rel_path"), F.explode(links_in(F.col("markdown_text"), fields)).alias("l"))
+    rows = rows.select("collection_name", "source_rel_path", "l.*")
+    if basenames:
+        rows = expand_basenames(rows, own.select("collection_name", "rel_path"))
+    return rows.where(indexable(F.col("source_rel_path"), F.col("target"), F.col("edge_type"), F.col("anchor"), F.col("source_kind"), F.col("collection_name")))
+
+
+def refresh(stored: DataFrame, notes: DataFrame, collections: DataFrame) -> DataFrame:
+    """The link table after all notes were read again: found links are added or marked current, others of the same notes become
+    stale, and links of notes that are gone are dropped; see mutations.sweep_links."""
+    alive = notes.where(~F.col("status").eqNullSafe("deleted"))
+    found = extract(alive, collections).withColumnsRenamed({"target": "target_identifier", "anchor": "anchor_text"})
+    names = collections.select(F.col("id").alias("collection_id"), F.col("name").alias("collection_name"))
+    return sweep_links(stored, materialize(found, "links"), alive.join(names, "collection_id").select("collection_name", "rel_path"))
+
+
 def collapse_edges(edges: DataFrame) -> DataFrame:
     """One row per (source, target, type): how often it occurs, its kinds and anchors, and the greatest confidence."""
     return edges.groupBy("source_rel_path", "target_identifier", "edge_type").agg(

@@ -88,12 +88,14 @@ def graph_bfs(spark, folder):
 @query()
 def link_extract(spark, folder):
     """Links in the texts and front matter of all notes."""
-    names = table(spark, folder, "vq_collections").select(F.col("id").alias("collection_id"), F.col("name").alias("collection_name"))
-    fields = F.from_json(F.coalesce("frontmatter_json", F.lit("{}")), "map<string,string>")
-    notes = table(spark, folder, "vq_documents").join(names, "collection_id")
-    rows = notes.select("collection_name", "rel_path", F.explode(graph.links_in(F.col("markdown_text"), fields)).alias("l"))
-    ok = graph.indexable(F.col("rel_path"), F.col("l.target"), F.col("l.edge_type"), F.col("l.anchor"), F.col("l.source_kind"), F.col("collection_name"))
-    return rows.where(ok).select("collection_name", "rel_path", "l.*")
+    notes, names = table(spark, folder, "vq_documents"), table(spark, folder, "vq_collections")
+    return graph.extract(notes, names, basenames=False).withColumnRenamed("source_rel_path", "rel_path")
+
+
+@query()
+def link_refresh(spark, folder):
+    """The link table after all notes were read again."""
+    return graph.refresh(*[table(spark, folder, t) for t in ("vq_links", "vq_documents", "vq_collections")])
 
 
 @query(

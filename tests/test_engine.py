@@ -294,6 +294,17 @@ def test_all_operations_run(spark, small, tmp_path):
     assert summary["declared_keys"] == ["kind", "text"] and summary["unknown_key_count"] == 1 and "private note" not in str(summary)
 
 
+def test_links_follow_the_notes(spark):
+    from notarium.operators import graph
+
+    notes = spark.createDataFrame([(1, "a.md", "[[b]] and [x](c.md)", None, "indexed"), (1, "sub/b.md", "text", '{"related": "a"}', "indexed"), (1, "gone.md", "[[a]]", None, "deleted")], "collection_id bigint, rel_path string, markdown_text string, frontmatter_json string, status string")
+    names = spark.createDataFrame([(1, "main")], "id bigint, name string")
+    fields = "collection_name string, source_rel_path string, target_identifier string, edge_type string, anchor_text string, source_kind string, confidence double, stale boolean"
+    stored = spark.createDataFrame([("main", "a.md", "old", "links_to", "", "wikilink", 1.0, False), ("main", "gone.md", "a", "links_to", "", "wikilink", 1.0, False), ("main", "a.md", "b", "links_to", "", "wikilink", 0.5, True)], fields)
+    got = {(r["source_rel_path"], r["target_identifier"], r["edge_type"]): r["stale"] for r in graph.refresh(stored, notes, names).collect()}
+    assert got == {("a.md", "b", "links_to"): False, ("a.md", "sub/b", "wikilink_basename"): False, ("a.md", "c", "links_to"): False, ("a.md", "old", "links_to"): True, ("sub/b.md", "a", "related"): False}
+
+
 # --- small parts ----------------------------------------------------------------------------------
 
 
