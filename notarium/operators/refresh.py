@@ -35,7 +35,7 @@ def classify_refresh(stored: DataFrame, listed: DataFrame) -> DataFrame:
         "collection_id",
         "rel_path",
         metadata_number(F.col("metadata_json"), "file_size").alias("old_size"),
-        F.floor(metadata_number(F.col("metadata_json"), "file_mtime_ns") / 1000).cast("bigint").alias("old_time"),
+        F.call_function("div", metadata_number(F.col("metadata_json"), "file_mtime_ns"), F.lit(1000)).alias("old_time"),
         F.unix_micros(F.col("updated_at").cast("timestamp")).alias("row_time"),
         F.lit(True).alias("was"),
     )

@@ -57,6 +57,16 @@ def test_index_run_follows_the_files(spark, tree, indexer):
     assert indexer.run(1, str(tree), paths=["new.md"], force=True)["indexed"] == 1
 
 
+def test_stamps_are_compared_to_the_microsecond(spark):
+    from notarium.operators import refresh
+
+    times = [1_764_166_773_000_000 + 1000 * i for i in range(2000)]
+    stored = spark.createDataFrame([(1, str(t), f'{{"file_size": 1, "file_mtime_ns": {t * 1000}}}') for t in times], "collection_id bigint, rel_path string, metadata_json string")
+    stored = stored.withColumn("updated_at", F.lit("2025-01-01").cast("timestamp"))
+    listed = spark.createDataFrame([(1, str(t), 1, t) for t in times], "collection_id bigint, rel_path string, file_size bigint, t bigint").withColumn("file_mtime", F.timestamp_micros("t"))
+    assert refresh.classify_refresh(stored, listed).where("action <> 'unchanged'").count() == 0
+
+
 def test_a_touched_file_keeps_its_chunks_and_an_unstamped_row_gets_its_stamp(spark, tree, indexer):
     import os
 
