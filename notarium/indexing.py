@@ -142,7 +142,7 @@ class Indexer:
         made = waiting.select(
             "id", point.alias("point_id"), self.embedder(T.bounded_text(F.col("text_content"))).cast("array<float>").alias("embedding"), payload.alias("payload")
         )
-        made = materialize(made.where("embedding IS NOT NULL"), "vectors")
+        made = materialize(made.where(F.exists("embedding", lambda x: x != 0)), "vectors")
         stored = mutations.delete_points(self.table("vq_vectors"), made.select("point_id")).unionByName(made.select("point_id", "embedding", "payload"))
         self.store.write("vq_vectors", stored, max_records=max_points)
         written = made.select("id", "point_id")

@@ -84,9 +84,10 @@ def has_vectors(corpus: Corpus) -> bool:
 
 def semantic_hits(corpus: Corpus, asked: DataFrame, limit: int, embedder: Callable[[Column], Column]) -> DataFrame:
     """Dense lane over the chunks that have a vector."""
-    stored = corpus.chunks.where(F.coalesce(F.trim("qdrant_point_id"), F.lit("")) != "").select("id", embedder(F.col("text_content")).alias("vector"))
+    stored = corpus.chunks.where(F.coalesce(F.trim("qdrant_point_id"), F.lit("")) != "").dropDuplicates(["id"]).select("id", embedder(F.col("text_content")).alias("vector"))
     wanted = asked.select("query_id", embedder(F.col("query_text")).alias("vector"))
-    lane = vectors.nearest(stored.dropDuplicates(["id"]), wanted, limit, "id", "vector", apart=False)
+    said = F.exists("vector", lambda x: x != 0)  # a text without words is near to nothing
+    lane = vectors.nearest(stored.where(said), wanted.where(said), limit, "id", "vector", apart=False)
     return _named(lane.withColumnRenamed("id", "record_id"), "chunk:")
 
 

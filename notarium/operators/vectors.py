@@ -102,12 +102,12 @@ def _in_blocks(source: DataFrame, asked: DataFrame, dim: int, k: int, apart: boo
 
 
 def hash_embedding(dim: int = 64):
-    """Offline embedder as a pandas UDF: signed counts of words over hashed dimensions, of unit length; null without words."""
+    """Offline embedder as a pandas UDF: signed counts of words over hashed dimensions, of unit length; zeros without words."""
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
         known: dict[str, tuple[int, float]] = {}
-        rows: list[list[float] | None] = []
+        rows: list[list[float]] = []
         for text in texts:
             v = np.zeros(dim)
             for word in re.findall(r"[^\W_]+", (text or "").lower()):
@@ -117,7 +117,7 @@ def hash_embedding(dim: int = 64):
                 at, sign = known[word]
                 v[at] += sign
             size = float(np.linalg.norm(v))
-            rows.append((v / size).tolist() if size else None)
+            rows.append((v / size if size else v).tolist())
         return pd.Series(rows)
 
     return embed
