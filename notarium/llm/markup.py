@@ -12,7 +12,7 @@ between the line where the sum surges and the line where it dives.
   family rises from nothing and falls to nothing again. A record has the families of which it has a block.
 * Text. What is left after stripping is summed per line, the text of links left out. A block of text surges where the sum
   passes a threshold (a share of the record's densest window) and dives where it falls to a quarter of it. The record's
-  content reaches from its first surge to its last dive; headings that stand right before it belong to it. Lines outside are
+  content reaches from its first surge to its last dive; code, formulas, and headings that stand right before it belong to it. Lines outside are
   page chrome and are dropped, and so are runs of lines inside that hold links only. Only pages (records with HTML blocks) lose
   lines, as chrome comes with pages; in other notes short lines are headings, lists and tables, which must stay.
 
@@ -278,6 +278,8 @@ def _plain_line_markup(text: str) -> str:
         text = _CELL.sub("\t", _ITEM.sub("\n- ", text))
         text = _ANCHOR.sub("\x01\\1\x02", text)
         text = _together(_TAG.sub("", _BREAK.sub("\n", text)))
+    if "\\\\" in text and "&" in text:
+        text = _TABULAR.sub(lambda m: re.sub(r"[ \t]*(?<!\\)&[ \t]*", "\t", m[1]).rstrip(), text)
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
     if "\\" in text:
@@ -317,10 +319,13 @@ def _plain_line_markup(text: str) -> str:
 
 
 _LINKED = re.compile(r"\x01([^\x01\x02]*)\x02")
-_HEAD_LINE = re.compile(r"#{1,6} ")
+_HEAD_LINE = re.compile(r"(?:\x00\d+\x00)?#{1,6} ")
+#: A field of a box, and a row of a LaTeX table.
+_FIELD = re.compile(r"\s*\w[\w ]{0,30}[ \t]=[ \t]\S")
+_TABULAR = re.compile(r"(?m)^([^\n&]*(?:(?<!\\)&[^\n&]*)+?)\\\\[ \t]*$")
 #: Lines without a heading that a heading may stand above the content.
 NEAR = 3
-#: Least length of a row of a table.
+#: Least length of a row of a table or box.
 ROW = 20
 
 
@@ -335,12 +340,9 @@ def line_lengths(lines: list[str], kept: list[tuple[str, str]]) -> tuple[list[in
             kind, content = kept[int(m[1])]
             size += len("".join(content.split())) if kind in ("fence", "pre", "code", "math") else 0
         own = "".join(_HIDDEN.sub("", bare).split())
-        if "\t" in bare.strip():
-            text.append(max(len(own), ROW) if own else 0)
-            links.append(linked)
-            continue
         # marks of lists and separators between links are no text
-        text.append(size + len(own.strip("-|•·>#/0123456789.)")))
+        length = len(own.strip("-|•·>#/"))
+        text.append(size + (max(length, ROW) if length and ("\t" in bare.strip() or _FIELD.match(bare)) else length))
         links.append(linked)
     return text, links
 
@@ -383,6 +385,10 @@ def content_lines(lines: list[str], kept: list[tuple[str, str]]) -> list[bool]:
     if not blocks:
         return [True] * len(lines)
     first, last = blocks[0][0], blocks[-1][1]
+    # code and formulas are content, however short
+    for i, line in enumerate(lines):
+        if "\x00" in line and any(kept[int(m[1])][0] in ("fence", "pre", "math") for m in _HIDDEN.finditer(line)):
+            first, last = min(first, i), max(last, i)
     # headings right before the content
     at, passed = first - 1, 0
     while at >= 0 and passed < NEAR:

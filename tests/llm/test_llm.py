@@ -73,6 +73,14 @@ def test_chrome_around_content_goes_and_its_parts_stay():
         assert kept in out
 
 
+def test_short_parts_at_the_rims_of_a_page_stay():
+    text = f"---\na: b\n---\n# Head\n\n<p>{prose(1, 40)}.</p>\n\n## Code\n\n```\nx\n```\n"
+    assert markup.clean(text)[0] == f"# Head\n\n{prose(1, 40)}.\n\n## Code\n\n```\nx\n```"
+    box = "{| class=x\n|-\n| k || v\n|}\nspan = 4 metres\nmade = in 1901\nname = Old bridge\n"
+    out = markup.clean(f"{box}\n<p>{prose(2, 40)}</p>\n\\begin{{tabular}}{{ll}}\na & b \\\\\nc & d \\\\\ne & f \\\\\n\\end{{tabular}}\n")[0]
+    assert "span = 4 metres" in out and "a\tb" in out and "e\tf" in out
+
+
 def test_runs_of_links_inside_go():
     links = "".join(f"<p><a href='/{i}'>Read more {i}</a></p>" for i in range(5))
     out = markup.clean(f"<div><p>{prose(1, 40)}</p>{links}<p>{prose(2, 40)}, see <a href='x'>the map</a>.</p></div>")[0]
