@@ -46,16 +46,15 @@ def reciprocal_ranks(lanes: dict[str, DataFrame], limit: int, k: int = RRF_K) ->
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def rerank(candidates: DataFrame, scores: DataFrame, pool: int = 25) -> DataFrame:
-    """Candidates re-ordered by rerank scores; those without one come after, in their old order. Only the pool is kept."""
+def reorder(rows: DataFrame) -> DataFrame:
+    """rows ranked by their rerank_score; those without one come after, in their old order."""
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
-    return (
-        candidates.where(F.col("rank") <= pool)
-        .join(scores, ["query_id", "record_id"], "left")
-        .withColumn("new_rank", F.row_number().over(w))
-        .drop("rank")
-        .withColumnRenamed("new_rank", "rank")
-    )
+    return rows.withColumn("new_rank", F.row_number().over(w)).drop("rank").withColumnRenamed("new_rank", "rank")
+
+
+def rerank(candidates: DataFrame, scores: DataFrame, pool: int = 25) -> DataFrame:
+    """Candidates re-ordered by rerank scores (query_id, record_id, rerank_score). Only the pool is kept."""
+    return reorder(candidates.where(F.col("rank") <= pool).join(scores, ["query_id", "record_id"], "left"))
 
 
 def overlap_score(query: Column, text: Column) -> Column:

@@ -128,12 +128,14 @@ def search(corpus: Corpus, queries: DataFrame, mode: str = "hybrid", n: int = 5,
         names = ["title", "keyword"] + (["semantic"] if mode != "fast" and has_vectors(corpus) else [])
         lanes = {lane: run[lane](fusion.lane_limit(mode, n)) for lane in names}
         fused = fusion.reciprocal_ranks(lanes, n if mode == "fast" else fusion.fused_limit(mode, n))
+    # the lanes run once; what follows reads their few rows several times
+    fused = materialize(fused, "fused")
     rows = with_payload(fused, corpus.notes, corpus.chunks, corpus.collections, corpus.objects).join(asked, "query_id")
     out = max(n, options.top_k) if linked else n
     if mode not in SIMPLE and mode != "fast" and options.scorer is not None:
         pool = max(options.rerank_pool, 6 * n) if mode == "deep" else options.rerank_pool
-        scores = rows.select("query_id", "record_id", options.scorer(F.col("query_text"), F.coalesce("text", F.lit(""))).alias("rerank_score"))
-        rows = fusion.rerank(rows, scores, pool).where(F.col("rank") <= out)
+        scored = rows.where(F.col("rank") <= pool).withColumn("rerank_score", options.scorer(F.col("query_text"), F.coalesce("text", F.lit(""))))
+        rows = fusion.reorder(scored).where(F.col("rank") <= out)
         rows = rows.withColumn("score", F.coalesce("rerank_score", "score")).drop("rerank_score")
     elif mode not in SIMPLE and mode != "focused":
         rows = rows.where(F.col("rank") <= out)
