@@ -1,4 +1,8 @@
-"""Command line: python -m notarium.cli FOLDER OPERATION [key=value ...]."""
+"""Command line: python -m notarium.cli FOLDER OPERATION [key=value ...].
+
+OPERATION is one of the registry, `operations` for their list, or a run over the snapshot store in FOLDER: `init`
+(reset=true), `index` (collection_id=1 root=/notes pattern=*.md force=true limit=10), `embed` (limit=100).
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,12 @@ import json
 from pyspark.sql import SparkSession
 
 from notarium.engine import Engine
+from notarium.indexing import Indexer
 from notarium.operations import OPERATIONS, list_operations, run
+from notarium.sources.snapshots import SnapshotStore
+
+#: Runs over a snapshot store, by name.
+RUNS = {"init": Indexer.init, "index": Indexer.run, "embed": Indexer.embed}
 
 
 def _value(text: str):
@@ -22,14 +31,18 @@ def main(argv: list[str] | None = None) -> int:
     """Run one operation and print its rows as JSON lines."""
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("folder")
-    parser.add_argument("operation", choices=[*OPERATIONS, "operations"])
+    parser.add_argument("operation", choices=[*OPERATIONS, *RUNS, "operations"])
     parser.add_argument("params", nargs="*", help="key=value")
     given = parser.parse_args(argv)
     if given.operation == "operations":
         print(json.dumps(list_operations(), indent=2))
         return 0
     params = {k: _value(v) for k, v in (p.split("=", 1) for p in given.params)}
-    engine = Engine(SparkSession.builder.appName("notarium").getOrCreate(), given.folder)
+    spark = SparkSession.builder.appName("notarium").getOrCreate()
+    if given.operation in RUNS:
+        print(json.dumps(RUNS[given.operation](Indexer(spark, SnapshotStore(spark, given.folder)), **params)))
+        return 0
+    engine = Engine(spark, given.folder)
     result = run(engine, given.operation, params)
     if not result["ok"]:
         print(json.dumps(result))

@@ -315,6 +315,18 @@ def test_links_follow_the_notes(spark):
     assert got == {("a.md", "b", "links_to"): False, ("a.md", "sub/b", "wikilink_basename"): False, ("a.md", "c", "links_to"): False, ("a.md", "old", "links_to"): True, ("sub/b.md", "a", "related"): False}
 
 
+def test_command_line_runs(spark, tree, tmp_path, capsys):
+    import json
+
+    from notarium import cli
+
+    store = "file://" + str(tmp_path / "store")
+    assert cli.main([store, "init"]) == 0 and set(json.loads(capsys.readouterr().out)) == set(indexing.TABLES)
+    assert cli.main([store, "index", "collection_id=1", f"root={tree}"]) == 0 and json.loads(capsys.readouterr().out)["indexed"] == 3
+    assert cli.main([store, "embed"]) == 0 and json.loads(capsys.readouterr().out)["embedded"] >= 3
+    assert cli.main([store, "operations"]) == 0 and len(json.loads(capsys.readouterr().out)) == len(OPERATIONS)
+
+
 # --- small parts ----------------------------------------------------------------------------------
 
 
