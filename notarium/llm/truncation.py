@@ -9,8 +9,9 @@ Two kinds of evidence meet.
   aligned on their words: where the shorter text ends, the longer one either goes on inside a word or a sentence (then the
   shorter one is cut) or not. The number of bands brings pairs at that threshold, edits spread evenly, together with a chance
   of RECALL at least; plain cut copies agree in all bands. Buckets with many texts are split by the last words of the shorter
-  ones, which the longer ones must hold too; of what is still large, a text first meets PROBES longer ones, and all others only
-  if it is contained in none of these.
+  ones, which the longer ones must hold too, or the ends cannot align. There a text meets PROBES longer ones first, and then all
+  others that can still change its verdict: none if it is cut against one; if it is whole against one, those where it may be
+  cut; else all. So the result is that of all pairs, whatever the size of a bucket.
 * Closing words. Whatever a tool appended is taken off first (cut markers, signatures, addresses, tags). Cut markers are learnt:
   a bracketed phrase at the end is one if at least half of the texts that end with it stop in running text before it. A text is
   whole if it then ends a sentence, a code block, a table row or an element; cut if an element of markup was begun and not
@@ -52,7 +53,7 @@ from notarium.runtime import materialize, semi_join_checked, spread
 WORDS, CONTAINED, RECALL = 5, 0.8, 0.999
 #: Shingles of the first beginning; each further one has twice as many. Min-hashes of a band.
 FIRST, ROWS = 4, 2
-#: Pairs of a bucket up to which all are aligned, and longer copies that a text of a larger one meets at first.
+#: Pairs of a bucket up to which all are aligned at once, and longer copies that a text of a larger one meets at first.
 BUCKET_PAIRS, PROBES = 4096, 16
 #: Occurrences from which a word, shape or phrase is known; share of the usual closing rate under which a word is no end; chance.
 LEAST, TERMINAL, CHANCE = 3, 0.3, 0.005
@@ -387,12 +388,33 @@ def contained(short: str, long: str) -> float:
     return len(own & _shingles(re.findall(r"[^\W_]+", long.lower()))) / len(own) if own else 0.0
 
 
-def anchors(text: str) -> tuple[int | None, list[int]]:
-    """Hash of the six words before a text's last one, and hashes of all six words that something follows."""
+def _words_key(words: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(words)) - 2**63
+
+
+def tail(text: str) -> tuple[int | None, str | None, str | None, str | None]:
+    """Key of the inner four of the six words before a text's last one, the first and sixth of these, and the last word."""
     own = _body(text).split()
-    all_words = text.split()
-    end = xxhash.xxh64_intdigest(" ".join(own[-7:-1])) - 2**63 if len(own) >= 8 else None
-    return end, [xxhash.xxh64_intdigest(" ".join(all_words[i : i + 6])) - 2**63 for i in range(len(all_words) - 6)]
+    if len(own) < 8:
+        return None, None, None, None
+    return _words_key(own[-6:-2]), own[-7], own[-2], own[-1].rstrip("-") or own[-1]
+
+
+def windows(text: str) -> list[tuple[int, str, str, str | None, bool]]:
+    """All places at which a shorter text's tail may stand: key of four words, the words before, behind and after that, and goes on.
+
+    Only the inner words of a tail must be whole words here: ends_early also finds a tail whose rims are parts of words. The
+    last value tells whether a text that ends with the word after that stops inside a sentence.
+    """
+    spans = list(re.finditer(r"\S+", text))
+    words = [m[0] for m in spans]
+    stops = [w.rstrip(_CLOSERS)[-1:] in tuple(_STOPS) or w[-1] in _STOPS for w in words]
+    goes_on = [not stops[j] and text[spans[j].end()] not in "\n\r" for j in range(len(words) - 1)] + [False, False]
+    found = [
+        (_words_key(words[i : i + 4]), words[i - 1], words[i + 4], words[i + 5] if i + 5 < len(words) else None, goes_on[i + 5])
+        for i in range(1, len(words) - 4)
+    ]
+    return list(dict.fromkeys(found))
 
 
 def ends_early(short: str, long: str) -> str:
@@ -435,13 +457,22 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["k1"], batch["k2"], pa.array(verdicts, pa.string())], names=["k1", "k2", "ends"])
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [anchors(t) for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch["id"], pa.array([e for e, _ in found], pa.int64()), pa.array([sorted(set(a)) for _, a in found], pa.list_(pa.int64()))],
-            names=["id", "end", "within"],
-        )
+        found = [tail(t) for t in batch["text"].to_pylist()]
+        columns = [pa.array([f[i] for f in found], pa.string() if i else pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([batch["s"], *columns], names=["s", "end", "first", "sixth", "last"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
+    for whole in batches:
+        for batch in _slices(whole, "text"):
+            found = [windows(t) for t in batch["text"].to_pylist()]
+            owners = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            rows = [row for f in found for row in f]
+            columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch["g"].take(pa.array(owners)), *columns], names=["g", "end", "before", "behind", "after", "goes_on"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,24 +513,33 @@ def copies_of(rows: DataFrame, bodies: DataFrame, bucket_pairs: int = BUCKET_PAI
     if not full.where("large").limit(1).count():
         return _ended(ends)
     # large buckets: the longer copy must hold the last words of the shorter one
+    ends = materialize(ends, "ends")
     shorts, longs = materialize(shorts.where("large").drop("large"), "asking"), longs.where("large").drop("large")
     hot = materialize(shorts.select(F.col("s").alias("id")).union(longs.select("g")).distinct(), "hot")
+    texts = materialize(semi_join_checked(bodies, hot, ["id"]).dropDuplicates(["id"]), "texts")
     id_type = "struct<k1:bigint,k2:bigint>"
-    words = materialize(
-        semi_join_checked(bodies, hot, ["id"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(_anchored, f"id {id_type}, end bigint, within array<bigint>"), "anchors"
+    enders = texts.join(shorts.select(F.col("s").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("s"), "text")
+    tails = materialize(enders.mapInArrow(_tails, f"s {id_type}, end bigint, first string, sixth string, last string").where("end IS NOT NULL"), "tails")
+    ending = materialize(shorts.join(tails, "s"), "ending")
+    asked = materialize(tails.select("end").distinct(), "asked")
+    places = texts.select(F.col("id").alias("g"), "text").mapInArrow(
+        _windows, f"g {id_type}, end bigint, before string, behind string, after string, goes_on boolean"
     )
-    ending = materialize(shorts.join(words.where("end IS NOT NULL").select(F.col("id").alias("s"), "end"), "s"), "ending")
-    asked = materialize(ending.select("end").distinct(), "ends")
-    within = semi_join_checked(words.select(F.col("id").alias("g"), F.explode("within").alias("end")), asked, ["end"])
-    holding = materialize(longs.join(within, "g"), "holding")
+    holding = materialize(longs.join(semi_join_checked(places, asked, ["end"]), "g"), "holding")
+    inside = F.startswith("behind", F.concat("sixth", "last"))
+    follows = (F.col("behind") == F.col("sixth")) & F.startswith("after", "last")
+    meets = longer & F.endswith("before", "first") & (inside | follows)
+    may_cut = inside | (F.col("after") != F.col("last")) | F.col("goes_on")
     first = Window.partitionBy("band", "end").orderBy(F.xxhash64("g"))
     few = holding.withColumn("at", F.row_number().over(first)).where(F.col("at") <= probes).drop("at")
-    probed = materialize(ending.join(few, ["band", "end"]).where(longer).select("s", "g").distinct(), "probed")
-    tried = materialize(aligned(probed, bodies), "tried")
-    settled = tried.where(~F.col("ends").isin("apart", "")).select(F.col("id").alias("s")).distinct()
-    rest = ending.join(settled, "s", "left_anti").join(holding, ["band", "end"]).where(longer).select("s", "g").distinct()
+    probed = materialize(ending.join(few, ["band", "end"]).where(meets).select("s", "g").distinct(), "probed")
+    tried = materialize(aligned(probed, texts), "tried")
+    # a text that is cut against one longer copy is cut; all others meet every longer copy that can still change that
+    settled = materialize(_ended(ends.unionByName(tried)).withColumnRenamed("id", "s"), "settled")
+    left = ending.join(settled, "s", "left").where(~F.coalesce("copy_cut", F.lit(False)))
+    rest = left.join(holding, ["band", "end"]).where(meets & (F.col("copy_cut").isNull() | may_cut)).select("s", "g").distinct()
     rest = materialize(rest.join(probed, ["s", "g"], "left_anti"), "rest")
-    return _ended(ends.unionByName(tried).unionByName(aligned(rest, bodies)))
+    return _ended(ends.unionByName(tried).unionByName(aligned(rest, texts)))
 
 
 def _ended(ends: DataFrame) -> DataFrame:

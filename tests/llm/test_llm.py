@@ -541,6 +541,46 @@ def test_large_buckets_lose_no_copy(spark):
         assert got == want
 
 
+def test_probes_that_call_a_text_whole_do_not_hide_a_cut(spark):
+    """In large buckets a text meets every longer copy: many in which it ends a line, one in which its sentence goes on."""
+    rows, want = [], set()
+    for family in range(4):
+        w = prose(3000 + family, 70).split()
+        own, rim = " ".join(w[:60]), " ".join([*w[:53], "(" + w[53], *w[54:60]])
+        rows.append((100 * family, own, "a", 0))
+        rows += [(100 * family + 1 + i, f"{own}\nThen came {prose(3100 + 100 * family + i, 4 + i)}.", "a", 0) for i in range(24)]
+        # in odd families the copy's tail begins inside a word, in the others it is the same
+        rows.append((100 * family + 50, f"{rim if family % 2 else own} {' '.join(w[60:])}.", "a", 0))
+        want.add(100 * family)
+    df = spark.createDataFrame(rows, DOCS).withColumn("length", F.length("text"))
+    fields = "doc_id bigint, source string, length int, k1 bigint, k2 bigint, verdict string, kind string, word string, phrase string, verdict2 string, kind2 string, word2 string, own int, asked array<bigint>, answers array<bigint>, counts array<struct<kind:string,word:string,n:bigint,e:bigint>>"
+    read = df.select("doc_id", "source", "text", "length").mapInArrow(truncation._reader(truncation.band_count()), fields).cache()
+    bodies = df.select("text").mapInArrow(truncation._keyed, "k1 bigint, k2 bigint, text string").select(F.struct("k1", "k2").alias("id"), "text")
+    names = {(r["k1"], r["k2"]): r["doc_id"] for r in read.select("k1", "k2", "doc_id").collect()}
+    for bucket, probes in ((4096, 16), (4, 1), (4, 2)):
+        got = {names[tuple(r["id"])] for r in truncation.copies_of(read, bodies, bucket, probes).where("copy_cut").collect()}
+        assert got == want, (bucket, probes)
+
+
+def test_tails_stand_wherever_ends_align():
+    """windows brings every pair that ends_early aligns, and every place where it may say cut."""
+    r, seen = random.Random(4), set()
+    for _ in range(4000):
+        w = [r.choice(["a", "ab", "b", "ba", "a.", "b-", "(a", "b)"]) for _ in range(r.randrange(9, 16))]
+        long = "".join(x + r.choice([" ", " ", " ", "\n"]) for x in w).strip()
+        body = long[: r.randrange(8, len(long))].strip()
+        short = " ".join([*body.split()[:-7], *[body.split()[-7][-1], *body.split()[-6:]]]) if len(body.split()) >= 8 else body
+        verdict, (end, first, sixth, last) = truncation.ends_early(short, long), truncation.tail(short)
+        met, cut = False, False
+        for key, before, behind, after, goes_on in truncation.windows(long) if end is not None else []:
+            if key == end and before.endswith(first):
+                inside, follows = behind.startswith(sixth + last), behind == sixth and (after or "").startswith(last)
+                met, cut = met or inside or follows, cut or inside or (follows and (after != last or goes_on))
+        assert (met or verdict == "") and (cut or verdict != "cut"), (short, long)
+        seen.add(verdict)
+    assert seen == {"", "cut", "whole"}
+
+
 def test_bands_reach_their_recall():
     """Beginnings of which one holds 0.8 of the other's shingles meet with the chance asked for."""
     import pyarrow as pa
