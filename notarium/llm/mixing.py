@@ -8,8 +8,8 @@ texts. A cell's weight is the mean number of times one of its texts is to be use
 Languages are those of the data: every value of lang (trimmed, lower case) with at least LEAST_LANGUAGE of the usable tokens
 is one, all others are 'other', so there are at most 1 / LEAST_LANGUAGE. Topics come from the texts: the distinct words of a
 text are hashed into DIMENSIONS signed counts, from which the mean of the text's language over all usable texts is taken,
-and the nearest of TOPICS directions is its topic. Only these directions are fitted on a sample, of about SAMPLE texts with
-the least hash; every text gets its topic by them.
+and the nearest of TOPICS directions is its topic. The directions are fitted on all usable texts, a pass for each first
+direction and for each round, in whole multiples of 1 / UNIT: all sums are exact, so the order of the rows changes nothing.
 
 Whole repeats are given to every text of a cell. The remaining fraction is sampled with its calibrated probability by
 sequential Poisson sampling: texts are ordered by a permanent random number divided by their probability and taken until the
@@ -37,9 +37,9 @@ from notarium.runtime import materialize, spread
 
 #: Share of the usable tokens from which a language is raked on its own.
 LEAST_LANGUAGE = 0.005
-#: Topics, dimensions of the hashed words, and texts on which the topics' directions are fitted.
-TOPICS, DIMENSIONS, SAMPLE = 8, 64, 8192
-RANGES = 1024
+#: Topics, dimensions of the hashed words, and steps of a direction's length (exact sums of up to 2 ** 33 texts a task).
+TOPICS, DIMENSIONS, UNIT = 8, 64, 2.0**20
+RANGES, PART = 1024, 1024
 ROUNDS, TOLERANCE = 500, 1e-9
 
 
@@ -67,11 +67,10 @@ def _token_counter(ranks: dict[bytes, int]):
         for whole in batches:
             for batch in _slices(whole, "text"):
                 sizes = [len(coder.encode_ordinary(t)) for t in batch["text"].to_pylist()]
-                vectors = word_counts(batch)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * DIMENSIONS), pa.array(vectors.reshape(-1)))
+                vectors = pa.array([v.tobytes() for v in word_counts(batch)], pa.binary())
                 columns = [batch[c] for c in ("doc_id", "source", "lang", "k1", "k2")]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, lists, pa.array(sizes, pa.int64())], names=["doc_id", "source", "lang", "k1", "k2", "vector", "tokens"]
+                    [*columns, vectors, pa.array(sizes, pa.int64())], names=["doc_id", "source", "lang", "k1", "k2", "vector", "tokens"]
                 )
 
     return count
@@ -83,29 +82,118 @@ def _centred(vectors: np.ndarray, means: np.ndarray) -> np.ndarray:
     return rows / np.where(size == 0, 1.0, size)
 
 
-def directions(rows: np.ndarray, k: int = TOPICS, rounds: int = 30) -> np.ndarray:
-    """k unit vectors that rows of unit length group around (spherical k-means, first ones spread apart, no chance)."""
-    if not len(rows):
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices whose rows of doubles stay in a core's cache."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, PART):
+            yield batch.slice(begin, PART)
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    column = batch["vector"].cast(pa.binary())
+    if not len(column):
+        return np.zeros((0, DIMENSIONS), np.int8)
+    _, offsets, data = column.buffers()
+    begin, end = np.frombuffer(offsets, np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(data, np.int8)[begin:end].reshape(-1, DIMENSIONS)
+
+
+def _unit_rows(batch: pa.RecordBatch, means: dict[str, np.ndarray]) -> np.ndarray:
+    """The texts' vectors without the mean of their language, of length UNIT and rounded, so that products and sums are exact.
+
+    A text that is its language's mean, as one that is alone in it, has no direction there; the mean of all, under '', is taken off.
+    """
+    langs, vectors = batch["lang"].dictionary_encode(), _vectors(batch)
+    if not len(vectors):
+        return np.zeros((0, DIMENSIONS))
+    rows = vectors - np.stack([means[x] for x in langs.dictionary.to_pylist()])[langs.indices.to_numpy()]
+    alone = ~rows.any(axis=1)
+    rows[alone] = vectors[alone] - means[""]
+    size = np.sqrt((rows * rows).sum(axis=1))
+    rows *= (UNIT / np.where(size == 0, 1.0, size))[:, None]
+    return np.rint(rows, out=rows)
+
+
+def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, n, sums): one row per language and task."""
+    sums: dict[str, np.ndarray] = {}
+    counts: dict[str, int] = {}
+    for batch in batches:
+        langs = batch["lang"].dictionary_encode()
+        which, vectors = langs.indices.to_numpy(), _vectors(batch)
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            rows = vectors[which == i]
+            sums[lang] = sums.get(lang, 0) + rows.sum(axis=0, dtype=np.int64)
+            counts[lang] = counts.get(lang, 0) + len(rows)
+    columns = [pa.array(list(sums), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))]
+    yield pa.RecordBatch.from_arrays(columns, names=["lang", "n", "sums"])
+
+
+def _farthest(means: dict[str, np.ndarray], centres: np.ndarray):
+    """(near, k1, k2, row): a task's text that is least like its nearest centre, of equal ones that with the least key."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple] = []
+        for batch in _parts(batches):
+            rows = _unit_rows(batch, means)
+            near = (rows @ centres.T).max(axis=1, initial=-np.inf)
+            some = np.flatnonzero(rows.any(axis=1))
+            if len(some):
+                k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
+                least = some[near[some] == near[some].min()]
+                at = least[np.lexsort((k2[least], k1[least]))[0]]
+                best = [min([*best, (float(near[at]), int(k1[at]), int(k2[at]), rows[at].tolist())])]
+        kinds = (pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([b[i] for b in best], kind) for i, kind in enumerate(kinds)], names=["near", "k1", "k2", "row"])
+
+    return find
+
+
+def _centre_sums(means: dict[str, np.ndarray], centres: np.ndarray):
+    """(topic, sums): the sums of a task's rows by their nearest centre."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(centres.shape)
+        for batch in _parts(batches):
+            rows = _unit_rows(batch, means)
+            own = np.argmax(rows @ centres.T, axis=1)
+            sums += (own == np.arange(len(centres))[:, None]).astype(float) @ rows
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(centres)), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["topic", "sums"])
+
+    return add
+
+
+def directions(texts: DataFrame, means: dict[str, np.ndarray], k: int = TOPICS, rounds: int = 30) -> np.ndarray:
+    """k vectors of length UNIT that all texts (lang, vector, k1, k2) group around (spherical k-means, first ones spread apart, no chance).
+
+    Every pass brings at most k rows per task to the driver.
+    """
+    centres = np.zeros((0, DIMENSIONS))
+    keyed = texts.select("lang", "vector", "k1", "k2")
+    while len(centres) < k:
+        found = keyed.mapInArrow(_farthest(means, centres), "near double, k1 bigint, k2 bigint, row array<double>").collect()
+        row = np.array(min(found)["row"]) if found else None
+        if row is None or (centres == row).all(axis=1).any():
+            break
+        centres = np.vstack([centres, row])
+    if not len(centres):
         return np.zeros((1, DIMENSIONS))
-    chosen = [rows[int(np.argmax(np.linalg.norm(rows, axis=1)))]]
-    nearest = rows @ chosen[0]
-    for _ in range(min(k, len(rows)) - 1):
-        chosen.append(rows[int(np.argmin(nearest))])
-        nearest = np.maximum(nearest, rows @ chosen[-1])
-    centres = np.array(chosen)
+    slim = texts.select("lang", "vector")
     for _ in range(rounds):
-        own = np.argmax(np.round(rows @ centres.T, 9), axis=1)
-        sums = np.stack([rows[own == j].sum(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))])
-        centres = _centred(sums, np.zeros(DIMENSIONS))
+        before, sums = centres, np.zeros(centres.shape, np.int64)
+        for r in slim.mapInArrow(_centre_sums(means, centres), "topic int, sums array<double>").collect():
+            sums[r["topic"]] += np.array(r["sums"]).astype(np.int64)
+        moved = np.rint(_centred(sums.astype(float), np.zeros(DIMENSIONS)) * UNIT)
+        centres = np.where(sums.any(axis=1, keepdims=True), moved, before)
+        if (centres == before).all():
+            break
     return centres
 
 
-def _topics(means: dict[str, list[float]], centres: np.ndarray, names: list[str]):
+def _topics(means: dict[str, np.ndarray], centres: np.ndarray, names: list[str]):
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = np.array(batch["vector"].flatten().to_numpy(zero_copy_only=False), float).reshape(-1, DIMENSIONS)
-            own = np.array([means[x] for x in batch["lang"].to_pylist()]).reshape(-1, DIMENSIONS)
-            topics = np.argmax(np.round(_centred(vectors, own) @ centres.T, 9), axis=1) if len(vectors) else np.zeros(0, np.int64)
+            topics = np.argmax(_unit_rows(batch, means) @ centres.T, axis=1)
             columns = [batch[c] for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([f"topic-{t}" for t in topics], pa.string())], names=[*names, "topic"])
 
@@ -166,26 +254,23 @@ def sized_texts(df: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZ
     )
     kinds = f"doc_id {id_type}, source string, lang string, text string, k1 bigint, k2 bigint"
     counted = spread(base).mapInArrow(_hashed, kinds).mapInArrow(
-        _token_counter(read_ranks(name, folder)), f"doc_id {id_type}, source string, lang string, k1 bigint, k2 bigint, vector array<tinyint>, tokens bigint"
+        _token_counter(read_ranks(name, folder)), f"doc_id {id_type}, source string, lang string, k1 bigint, k2 bigint, vector binary, tokens bigint"
     )
     return materialize(counted, "sizes")
 
 
-def with_topics(texts: DataFrame, least: float = LEAST_LANGUAGE, topics: int = TOPICS, sample: int = SAMPLE) -> DataFrame:
-    """texts with lang narrowed to the frequent languages and topic instead of vector."""
-    spark = texts.sparkSession
+def with_topics(texts: DataFrame, least: float = LEAST_LANGUAGE, topics: int = TOPICS) -> DataFrame:
+    """texts (a materialized table, which is read once a pass) with lang narrowed to the frequent languages and topic instead of vector."""
     sizes = texts.groupBy("lang").agg(F.sum("tokens").alias("tokens"))
-    whole, rows = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    whole = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     frequent = [r["lang"] for r in sizes.where((F.col("tokens") >= least * whole) & (F.col("lang") != "")).collect()]  # at most 1 / least rows
     known = texts.withColumn("lang", F.when(F.col("lang").isin(frequent), F.col("lang")).otherwise("other") if frequent else F.lit("other"))
-    mean = known.groupBy("lang").agg(*[F.avg(F.get("vector", F.lit(i))).alias(f"m{i}") for i in range(DIMENSIONS)])
-    means = {r["lang"]: [float(x) for x in r[1:]] for r in mean.collect()}
-    # a text is in the sample if its hash is small, so the sample has about the given size and does not depend on partitions
-    part = min(1.0, sample / max(rows, 1))
-    drawn = known.where(F.pmod(F.xxhash64("k2", "k1"), F.lit(2**40)) < int(part * 2**40)).select("lang", "vector", "k1", "k2").limit(2 * sample).collect()
-    drawn = sorted(drawn, key=lambda r: (r["k1"], r["k2"]))
-    vectors = np.array([r["vector"] for r in drawn], float).reshape(-1, DIMENSIONS)
-    centres = directions(_centred(vectors, np.array([means[r["lang"]] for r in drawn]).reshape(-1, DIMENSIONS)), topics)
+    summed = known.select("lang", "vector").mapInArrow(_language_sums, "lang string, n bigint, sums array<bigint>")
+    summed = summed.groupBy("lang").agg(F.sum("n"), *[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(DIMENSIONS)])
+    sums = {r["lang"]: np.array(r[1:], np.int64) for r in summed.collect()}  # at most 1 / least rows and 'other'; '' is no language there
+    sums[""] = sum(sums.values(), np.zeros(DIMENSIONS + 1, np.int64))
+    means = {lang: row[1:] / max(row[0], 1) for lang, row in sums.items()}
+    centres = directions(known, means, topics)
     names = [c for c in known.columns if c != "vector"]
     fields = ", ".join(f"{c} {dict(known.dtypes)[c]}" for c in names)
     return known.mapInArrow(_topics(means, centres, names), f"{fields}, topic string")

@@ -439,6 +439,38 @@ def test_topics_and_languages_come_from_the_corpus(spark):
     assert shares["a"] == pytest.approx(0.6, abs=0.01)
 
 
+@needs_vocabulary
+def test_topics_are_fitted_on_all_texts(spark):
+    """The topics of 12000 texts are those of a plain fit in memory over all of them, whatever the partitions."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(8)
+    words = [f"{a}{b}{c}" for a in ("zu", "qi", "xo", "ka") for b in "aeiou" for c in "kmnprst"]
+    texts = [" ".join(r.choice(words[20 * (i % 5) : 20 * (i % 5) + 60]) for _ in range(12)) + f" n{i}" for i in range(12000)]
+    langs = ["xx" if i % 3 else "yy" for i in range(12000)]
+    df = spark.createDataFrame([(i, t, x, "a") for i, (t, x) in enumerate(zip(texts, langs))], "doc_id bigint, text string, lang string, source string")
+    sized = mixing.sized_texts(df)
+    keys = {x["doc_id"]: (x["k1"], x["k2"]) for x in sized.select("doc_id", "k1", "k2").collect()}
+    order = sorted(range(12000), key=keys.get)
+    rows = mixing.word_counts(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])).astype(float)
+    for x in ("xx", "yy"):
+        own = [i for i in range(12000) if langs[i] == x]
+        rows[own] -= rows[own].mean(axis=0)
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True))[order]
+    centres = rows[:1]
+    for _ in range(4):
+        centres = np.vstack([centres, rows[np.argmin((rows @ centres.T).max(axis=1))]])
+    for _ in range(30):
+        own = np.argmax(rows @ centres.T, axis=1)
+        centres = np.stack([rows[own == j].sum(axis=0) for j in range(5)])
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    want = {order[at]: f"topic-{t}" for at, t in enumerate(np.argmax(rows @ centres.T, axis=1))}
+    got = [{x["doc_id"]: x["topic"] for x in mixing.with_topics(sized.repartition(n), topics=5).collect()} for n in (1, 7)]
+    assert got[0] == got[1] and len(set(want.values())) == 5
+    assert sum(got[0][i] == want[i] for i in want) >= 0.999 * len(want)  # the fit rounds to steps of 2 ** -20
+
+
 # --- truncation -----------------------------------------------------------------------------------
 
 
