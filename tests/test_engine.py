@@ -1,6 +1,9 @@
 """The engine end to end: index runs over files, vectors, look-ups, operations and the stages of a search."""
 
+import math
+import re
 import shutil
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -219,6 +222,55 @@ def test_late_terms_change_no_bm25_result(spark):
         assert early == late and len(early) > 50
 
 
+@pytest.fixture
+def shelves(spark):
+    """Texts with many equal scores, queries that share their terms, and what a loop over all pairs finds."""
+    import random
+
+    r = random.Random(11)
+    words = ["the", "of"] + [f"w{i}" for i in range(12)]
+    held = {i * 7: " ".join(r.choice(words) for _ in range(r.randrange(1, 12))) for i in range(400)}
+    asked = {i: " ".join(r.choice([*words, "gone"]) for _ in range(r.randrange(1, 4))) for i in range(80)} | {90: "W1 the", 91: "the w1!", 92: "w3", 93: "w3 w3", 94: "?"}
+    texts = spark.createDataFrame([*held.items(), *list(held.items())[:9]], "id bigint, t string")  # nine were delivered twice
+    return texts, spark.createDataFrame(list(asked.items()), "query_id bigint, query_text string"), held, asked
+
+
+def _direct(held, asked, limit, digits, part, every):
+    want = set()
+    for q, text in asked.items():
+        terms, scored = set(re.findall(r"\w+", text.lower())), []
+        for i, own in held.items():
+            own = own.split()
+            there = [t for t in terms if t in own]
+            if there and (not every or len(there) == len(terms)):
+                scored.append((-round(sum(part(t, own) for t in there), digits), i))
+        want |= {(q, i, round(-s, digits), n + 1) for n, (s, i) in enumerate(sorted(scored)[:limit])}
+    return want
+
+
+def _meets_in_blocks(lane):
+    plan = lane._jdf.queryExecution().executedPlan().toString()
+    return "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("block, part", [(1 << 19, 1 << 20), (300, 40)])
+def test_bm25_over_blocks_equals_all_pairs(spark, shelves, monkeypatch, block, part):
+    monkeypatch.setattr(lexical, "BLOCK", block)
+    monkeypatch.setattr(lexical, "PART", part)
+    texts, queries, held, asked = shelves
+    records, mean = len(held), sum(len(t.split()) for t in held.values()) / len(held)
+    df = Counter(w for t in held.values() for w in set(t.split()))
+
+    def score(t, own):
+        tf = own.count(t)
+        return math.log(1 + (records - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+
+    index, totals = lexical.query_index(texts, "id", "t", queries), lexical.lengths(texts, "id", "t")
+    lane = lexical.bm25_lane(queries, index, totals, 6)
+    assert _meets_in_blocks(lane)  # pairs of queries and records are not shuffled
+    assert set(map(tuple, lane.collect())) == _direct(held, asked, 6, 6, score, False)
+
+
 def test_words_within(spark):
     terms = spark.createDataFrame([("riverbank",), ("bank",), ("ab",), ("",)], "term string")
     needles = spark.createDataFrame([("bank",), ("verb",), ("b",), ("zzz",)], "word string")
