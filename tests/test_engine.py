@@ -271,6 +271,16 @@ def test_bm25_over_blocks_equals_all_pairs(spark, shelves, monkeypatch, block, p
     assert set(map(tuple, lane.collect())) == _direct(held, asked, 6, 6, score, False)
 
 
+@pytest.mark.parametrize("block, part", [(1 << 19, 1 << 20), (300, 40)])
+def test_keyword_lane_over_blocks_equals_all_pairs(spark, shelves, monkeypatch, block, part):
+    monkeypatch.setattr(lexical, "BLOCK", block)
+    monkeypatch.setattr(lexical, "PART", part)
+    texts, queries, held, asked = shelves
+    lane = lexical.keyword_lane(queries, lexical.query_index(texts, "id", "t", queries), 6)
+    assert _meets_in_blocks(lane)
+    assert set(map(tuple, lane.collect())) == _direct(held, asked, 6, 9, lambda t, own: own.count(t) / (own.count(t) + 1), True)
+
+
 def test_words_within(spark):
     terms = spark.createDataFrame([("riverbank",), ("bank",), ("ab",), ("",)], "term string")
     needles = spark.createDataFrame([("bank",), ("verb",), ("b",), ("zzz",)], "word string")
