@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notarium.functions.text import simple_tokens
@@ -36,18 +36,26 @@ def query_index(df: DataFrame, id_col: str, text_col: str, queries: DataFrame) -
     beyond it both sides shuffle. The result is written once, as several lanes read it. Rows that were delivered twice (equal ids) count once: their counts are divided by the
     number of copies, which takes a shuffle of ids instead of texts.
     """
-    copies = materialize(df.groupBy(F.col(id_col).alias("record_id")).agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
-    if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        copies = F.broadcast(copies)
+    asked = materialize(query_terms(queries).select("term").distinct(), "terms")
+    counted = semi_join_checked(_tokens(df, id_col, text_col), asked, ["term"]).groupBy("term", "record_id", "length").agg(F.count("*").alias("n"))
+    return materialize(_once(counted, df, id_col), "index")
+
+
+def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(record_id, length, term): a row per token."""
     own = simple_tokens(F.col(text_col))
-    tokens = spread(df.select(id_col, text_col)).select(F.col(id_col).alias("record_id"), own.alias("own")).select(
+    return spread(df.select(id_col, text_col)).select(F.col(id_col).alias("record_id"), own.alias("own")).select(
         "record_id", F.size("own").alias("length"), F.explode("own").alias("term")
     )
-    asked = materialize(query_terms(queries).select("term").distinct(), "terms")
-    counted = semi_join_checked(tokens, asked, ["term"]).groupBy("term", "record_id", "length").agg(F.count("*").alias("n"))
+
+
+def _once(counted: DataFrame, df: DataFrame, id_col: str) -> DataFrame:
+    """counted (term, record_id, length, n) with n divided by the copies of the record, as tf."""
+    copies = materialize(df.groupBy(F.col(id_col).alias("record_id")).agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
     each = F.coalesce("copies", F.lit(1))
-    once = counted.join(copies, "record_id", "left").select("term", "record_id", "length", (F.col("n") / each).cast("bigint").alias("tf"))
-    return materialize(once, "index")
+    return counted.join(copies, "record_id", "left").select("term", "record_id", "length", (F.col("n") / each).cast("bigint").alias("tf"))
 
 
 def lengths(df: DataFrame, id_col: str, text_col: str) -> tuple[int, float]:
@@ -205,6 +213,25 @@ def keyword_lane(queries: DataFrame, index: DataFrame, limit: int) -> DataFrame:
     return all_terms(_query_sets(queries), index, limit)
 
 
+def stemmed_lane(queries: DataFrame, df: DataFrame, id_col: str, text_col: str, stem: Callable[[str], Column], limit: int) -> DataFrame:
+    """Keyword lane over stems: records that hold words of all stems of a query.
+
+    stem gives the stem of a column of words, null for words that count for nothing. Words are stemmed once each; only those whose stem a
+    query has are counted in the texts.
+    """
+    terms = query_terms(queries)
+    stems = terms.select("term").distinct().withColumn("stem", stem("term")).where("stem IS NOT NULL")
+    own = materialize(terms.join(stems, "term").groupBy("query_id").agg(F.array_sort(F.collect_set("stem")).alias("own")), "stems")
+    sets = term_sets(own)
+    tokens = _tokens(df, id_col, text_col)
+    words = materialize(tokens.select("term").distinct(), "words").withColumn("stem", stem("term"))
+    wanted = materialize(words.join(own.select(F.explode("own").alias("stem")).distinct(), "stem", "left_semi").select("term", "stem"), "wanted")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = tokens.join(F.broadcast(wanted) if few else wanted, "term").select("record_id", "length", F.col("stem").alias("term"))
+    counted = held.groupBy("term", "record_id", "length").agg(F.count("*").alias("n"))
+    return all_terms(sets, materialize(_once(counted, df, id_col), "index"), limit)
+
+
 #: Length of the pieces by which words inside longer words are found.
 GRAM = 3
 

@@ -295,19 +295,7 @@ def english_lane(spark, folder):
     """Keyword lane over English stems: the twenty best chunks of each search."""
     from notarium.functions.stemming import english_term
 
-    index, terms = _index(spark, folder), lexical.query_terms(searches(spark, folder))
-    stems = index.select("term").union(terms.select("term")).distinct().withColumn("stem", english_term("term")).where("stem IS NOT NULL")
-    own = index.join(stems, "term").groupBy("record_id", "stem").agg(F.sum("tf").alias("tf"))
-    asked = terms.join(stems, "term").select("query_id", "stem").distinct()
-    wanted = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
-    scored = (
-        asked.join(own, "stem")
-        .groupBy("query_id", "record_id")
-        .agg(F.count("*").alias("found"), F.round(F.sum(F.col("tf") / (F.col("tf") + 1)), 9).alias("score"))
-        .join(wanted, "query_id")
-        .where(F.col("found") == F.col("terms"))
-    )
-    return lexical.best(scored.select("query_id", "record_id", "score"), 20)
+    return lexical.stemmed_lane(searches(spark, folder), table(spark, folder, "vq_chunks"), "id", "text_content", english_term, 20)
 
 
 @query(

@@ -281,6 +281,22 @@ def test_keyword_lane_over_blocks_equals_all_pairs(spark, shelves, monkeypatch,
     assert set(map(tuple, lane.collect())) == _direct(held, asked, 6, 9, lambda t, own: own.count(t) / (own.count(t) + 1), True)
 
 
+def test_stemmed_lane_over_blocks_equals_all_pairs(spark, monkeypatch):
+    from notarium.functions.stemming import STOP_WORDS, english_term, stem
+
+    monkeypatch.setattr(lexical, "BLOCK", 60)
+    words = ["river", "rivers", "run", "running", "runs", "the", "ledger", "ledgers", "walked", "walking"]
+    held = {i: " ".join(words[(i * 3 + j * (1 + i % 4)) % 10] for j in range(1 + i % 6)) for i in range(90)}
+    asked = {0: "Rivers", 1: "the river", 2: "walk running", 3: "the", 4: "ledger gone", 5: "runs the ledgers", 6: "run ledger"}
+    texts = spark.createDataFrame([*held.items(), *list(held.items())[:5]], "id bigint, t string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id bigint, query_text string")
+    lane = lexical.stemmed_lane(queries, texts, "id", "t", english_term, 4)
+    assert _meets_in_blocks(lane)
+    cut = lambda text: " ".join(stem(w) for w in text.lower().split() if w not in STOP_WORDS)
+    stems = {i: cut(t) for i, t in held.items()}, {i: cut(t) for i, t in asked.items()}
+    assert set(map(tuple, lane.collect())) == _direct(*stems, 4, 9, lambda t, own: own.count(t) / (own.count(t) + 1), True)
+
+
 def test_words_within(spark):
     terms = spark.createDataFrame([("riverbank",), ("bank",), ("ab",), ("",)], "term string")
     needles = spark.createDataFrame([("bank",), ("verb",), ("b",), ("zzz",)], "word string")
